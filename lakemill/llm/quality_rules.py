@@ -26,7 +26,7 @@ BASE_LEAST_WORDS = 10
 BASE_MOST_REPEATED = 0.20
 #: The method's own limits: repeats of so many words or more count, they may cover this part
 #: of a text at most, and none may be longer than this.
-MIN_REPEAT = 12
+MIN_REPEAT = 20
 MAX_COVERED = 0.15
 MAX_LONGEST = 400
 
