@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from lakemill.llm import quality_rules
+from lakemill.llm import license_scan, mixing, quality_rules, sharding, url_filter
 
 
 def queries() -> dict:
-    return {"op9_quality_rules": quality_rules.op9_quality_rules}
+    return {
+        "op1_license_scan": license_scan.op1_license_scan,
+        "op3_mixing": mixing.op3_mixing,
+        "op4_url_filter": url_filter.op4_url_filter,
+        "op9_quality_rules": quality_rules.op9_quality_rules,
+        "op10_sharding": sharding.op10_sharding,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": quality_rules.SQL}
+    return {"op4_url_filter": url_filter.SQL, "op9_quality_rules": quality_rules.SQL}
