@@ -21,6 +21,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakemill.functions.lineage import settle
 from lakemill.sources.tables import read_table
 
 #: Base phrases and their labels.
@@ -82,9 +83,9 @@ def votes(docs: DataFrame, grams: DataFrame) -> DataFrame:
 
     ``words`` stands beside the exploded places only within the stage of the join.
     """
-    places = F.transform(F.col("words"), lambda w, i: F.struct(i.alias("pos"), gram_hash(F.col("words"), i, BASE_GRAM).alias("h2"), gram_hash(F.col("words"), i, GRAM).alias("h4")))
-    hashed = docs.select("row", "words", places.alias("places"))
-    each = hashed.select("row", "words", F.explode("places").alias("p")).select("row", "words", "p.pos", F.explode(F.array("p.h2", "p.h4")).alias("hash"))
+    places = lambda k: F.transform(F.col("words"), lambda w, i: F.struct(i.alias("pos"), gram_hash(F.col("words"), i, k).alias("hash")))
+    hashed = docs.select("row", "words", F.concat(places(BASE_GRAM), places(GRAM)).alias("places"))
+    each = hashed.select("row", "words", F.explode("places").alias("p")).select("row", "words", "p.pos", "p.hash")
     same = (each["hash"] == grams["hash"]) & (F.slice(F.col("words"), F.col("pos") + 1, F.col("k")) == F.col("gram"))
     return each.join(F.broadcast(grams), same).select("row", "is_base", "label", "phrase", "length", "k", "at", F.col("pos").cast("long").alias("pos"))
 
@@ -122,8 +123,9 @@ def spans(diagonal: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, base=BASE) -> DataFrame:
     """One row for each row of ``docs``: key, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    rows = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("sum")).alias("row"), lowered_words(F.col(text)).alias("words"))
-    found = spans(diagonals(votes(rows, template_grams(docs.sparkSession, templates, base))))
+    #: A generator of one row keeps the optimizer from splitting a text anew for each of its words.
+    rows = docs.select(F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("sum")).alias("row"), F.explode(F.array(lowered_words(F.col(text)))).alias("words"))
+    found = spans(settle(diagonals(votes(rows, template_grams(docs.sparkSession, templates, base)))))
     at = F.when(F.col("is_base"), F.col("start"))
     listed = lambda labels: F.array_join(F.array_sort(labels), ",")
     summed = found.groupBy(F.col("row").alias("found")).agg(
