@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from lakemill.llm import license_scan, mixing, quality_rules, sharding, url_filter
+from lakemill.llm import bpe, license_scan, mixing, quality_rules, sharding, substring_dedup, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
+        "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op7_bpe": bpe.op7_bpe,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_sharding": sharding.op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_url_filter": url_filter.SQL, "op9_quality_rules": quality_rules.SQL}
+    return {"op2_substring_dedup": substring_dedup.SQL, "op4_url_filter": url_filter.SQL, "op9_quality_rules": quality_rules.SQL}
