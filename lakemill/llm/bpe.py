@@ -244,10 +244,10 @@ def build_lexicon(docs: DataFrame, vocabulary: str, text: str = "text", most: in
     merge = Vocabulary(vocabulary).merge
     content = compile_lexicon({w: merge(w) for w in (r["word"].encode() for r in frequent)})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    with tempfile.TemporaryDirectory() as folder:
-        path = Path(folder, name)
-        path.write_bytes(content)
-        docs.sparkSession.sparkContext.addFile(str(path))
+    #: Executors fetch the file from the driver when their first task needs it, so it stays for the session.
+    path = Path(tempfile.mkdtemp(prefix="lexicon-"), name)
+    path.write_bytes(content)
+    docs.sparkSession.sparkContext.addFile(str(path))
     return name
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lakemill.llm import bpe, license_scan, mixing, quality_rules, sharding, substring_dedup, url_filter
+from lakemill.llm import bpe, jaccard_join, license_scan, mixing, quality_rules, sharding, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_mixing": mixing.op3_mixing,
         "op4_url_filter": url_filter.op4_url_filter,
+        "op6_jaccard_join": jaccard_join.op6_jaccard_join,
         "op7_bpe": bpe.op7_bpe,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_sharding": sharding.op10_sharding,
@@ -18,4 +19,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substring_dedup.SQL, "op4_url_filter": url_filter.SQL, "op9_quality_rules": quality_rules.SQL}
+    return {
+        "op2_substring_dedup": substring_dedup.SQL,
+        "op4_url_filter": url_filter.SQL,
+        "op6_jaccard_join": jaccard_join.SQL,
+        "op9_quality_rules": quality_rules.SQL,
+    }

@@ -179,7 +179,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple
     answers = index.groupBy("range").applyInArrow(earlier_blocks, "block int, range int, n int, flags binary, firsts binary")
     kind = T.StructType([f for f in rows.schema.fields if f.name.startswith("c")])
     kind = kind.add("key", "long").add("text", "string").add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    kind = kind.add("factors", "array<struct<start:bigint,length:bigint,block:bigint>>")
+    kind = kind.add("factors", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "block")])))
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(without_repeats, kind)
 
 
@@ -201,11 +201,11 @@ SQL = f"""
 WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
 p AS (SELECT r, doc_id, i, words[i:i + {WINDOW - 1}] AS win FROM w, LATERAL unnest(range(1, len(words) - {WINDOW - 2})) u(i)),
 f AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY win) AS least FROM p) WHERE least < doc_id),
-c AS (SELECT DISTINCT r, i + j AS at FROM f, LATERAL unnest(range(0, {WINDOW})) u(j)),
-k AS (SELECT w.r, w.doc_id, n.at, w.words[n.at] AS word FROM w, LATERAL unnest(range(1, len(w.words) + 1)) n(at)),
+c AS (SELECT DISTINCT r, i + j AS pos FROM f, LATERAL unnest(range(0, {WINDOW})) u(j)),
+k AS (SELECT w.r, w.doc_id, n.pos, w.words[n.pos] AS word FROM w, LATERAL unnest(range(1, len(w.words) + 1)) n(pos)),
 s AS (
-  SELECT k.r, count(c.at) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY k.at) FILTER (c.at IS NULL), '') AS kept
-  FROM k LEFT JOIN c ON c.r = k.r AND c.at = k.at GROUP BY k.r
+  SELECT k.r, count(c.pos) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY k.pos) FILTER (c.pos IS NULL), '') AS kept
+  FROM k LEFT JOIN c ON c.r = k.r AND c.pos = k.pos GROUP BY k.r
 )
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN s USING (r)
