@@ -230,8 +230,8 @@ c AS (SELECT t, any_value(words) AS words, min(doc_id) AS rep, count(*) AS copie
 s AS (
   SELECT DISTINCT rep, words[i:i + {SHINGLE - 1}] AS sh FROM c, LATERAL unnest(range(1, greatest(len(words) - {SHINGLE - 2}, least(len(words), 1) + 1))) u(i)
 ), n AS (SELECT rep, count(*) AS size FROM s GROUP BY rep),
-o AS (SELECT a.rep AS x, b.rep AS y, count(*) AS both FROM s a JOIN s b ON a.sh = b.sh AND a.rep <> b.rep GROUP BY ALL),
-l AS (SELECT x, y FROM o JOIN n a ON a.rep = x JOIN n b ON b.rep = y WHERE 10 * both >= 8 * (a.size + b.size - both)),
+o AS (SELECT a.rep AS x, b.rep AS y, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.rep <> b.rep GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN n a ON a.rep = x JOIN n b ON b.rep = y WHERE 10 * shared >= 8 * (a.size + b.size - shared)),
 r AS (SELECT rep AS x, rep AS y FROM c UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
 k AS (SELECT x AS rep, min(y) AS class_id FROM r GROUP BY x),
 d AS (SELECT x AS rep, count(*) AS links FROM l GROUP BY x)
