@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakemill.plans import kpi, models
+from lakemill.plans import kpi, models, patterns
 
-PARTS = (kpi, models)
+PARTS = (kpi, models, patterns)
 
 
 def queries() -> dict:
