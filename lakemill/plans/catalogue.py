@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakemill.plans import kpi, models, patterns
+from lakemill.plans import checks, kpi, models, patterns
 
-PARTS = (kpi, models, patterns)
+PARTS = (kpi, models, patterns, checks)
 
 
 def queries() -> dict:
