@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakemill.plans import checks, kpi, models, patterns
+from lakemill.plans import checks, kpi, models, movement, patterns
 
-PARTS = (kpi, models, patterns, checks)
+PARTS = (kpi, models, patterns, checks, movement)
 
 
 def queries() -> dict:
