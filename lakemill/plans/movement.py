@@ -61,6 +61,10 @@ def _landed(spark, sf_dir, root: str) -> DataFrame:
     return ingest.build_manifest(spark, root, "orders", DAY, "batch-1")
 
 
+def _bronze(spark, target: str) -> DataFrame:
+    return spark.read.schema(f"{ingest.landing_schema(ORDERS)}, _loaded_at timestamp_ntz").parquet(f"{target}/orders")
+
+
 def landing_to_bronze(spark, sf_dir):
     """A day's landing files, verified, loaded twice into its bronze partition: rows come once."""
     root, target = scratch(spark, "landing"), scratch(spark, "bronze")
@@ -69,7 +73,7 @@ def landing_to_bronze(spark, sf_dir):
         raise ValueError("landing files do not match their manifest")
     for _ in range(2):
         ingest.load_partition(spark, root, target, "orders", DAY, F.lit(datetime(1998, 6, 16, 2)))
-    return spark.read.parquet(f"{target}/orders").select(*SHOWN, "_ingestion_date")
+    return _bronze(spark, target).select(*SHOWN, "_ingestion_date")
 
 
 def replayed(spark, sf_dir):
@@ -78,7 +82,7 @@ def replayed(spark, sf_dir):
     manifest = _landed(spark, sf_dir, root)
     ingest.replay_all(spark, root, target, "orders", manifest, F.lit(datetime(1998, 6, 16, 2)))
     days = ingest.list_partitions(spark, root, "orders")
-    return spark.read.parquet(f"{target}/orders").groupBy("_ingestion_date").agg(F.count(F.lit(1)).alias("rows")).join(F.broadcast(days), F.col("_ingestion_date") == F.col("dt"), "left_semi")
+    return _bronze(spark, target).groupBy("_ingestion_date").agg(F.count(F.lit(1)).alias("rows")).join(F.broadcast(days), F.col("_ingestion_date") == F.col("dt"), "left_semi")
 
 
 def _days(spark, sf_dir) -> DataFrame:

@@ -31,6 +31,15 @@ def with_extract_metadata(df: DataFrame, batch: str, mode: str, at: Column, sour
     return df.withColumns({"_extract_batch_id": F.lit(batch), "_extract_mode": F.lit(mode), "_extracted_at": at, "_source_file": F.lit(source_file), "_ingestion_date": F.lit(day)})
 
 
+def landing_schema(contract: Contract) -> str:
+    """Columns of a landing file, known without one: an empty day may have no file at all."""
+    return f"{contract.columns}, _extract_batch_id string, _extract_mode string, _extracted_at timestamp_ntz, _source_file string, _ingestion_date date"
+
+
+def read_landing(spark: SparkSession, root: str, contract: Contract, day: date) -> DataFrame:
+    return spark.read.schema(landing_schema(contract)).parquet(f"{root}/{contract.name}/dt={day}")
+
+
 def write_landing(df: DataFrame, root: str, contract: Contract, day: date, ordered: bool = False) -> str:
     """Parquet under the table's folder for the day; the committer makes the write whole or nothing."""
     if ordered:
@@ -44,7 +53,7 @@ def build_manifest(spark: SparkSession, root: str, table: str, day: date, batch:
     """One row for each landing file of the day: size and checksum, with the rows of the whole artifact."""
     path = f"{root}/{table}/dt={day}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    rows = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("parquet_rows"))
+    rows = read_landing(spark, root, CONTRACTS[table], day).agg(F.count(F.lit(1)).alias("parquet_rows"))
     hashed = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     return hashed.join(F.broadcast(rows)).withColumns({"table_name": F.lit(table), "dt": F.lit(day), "batch_id": F.lit(batch), "status": F.lit("complete")})
 
@@ -64,7 +73,7 @@ def list_partitions(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 def load_partition(spark: SparkSession, root: str, bronze: str, table: str, day: date, at: Column) -> int:
     """Replace exactly the day's partition of bronze by its landing rows; a row of another day is refused."""
-    rows = spark.read.parquet(f"{root}/{table}/dt={day}").withColumn("_loaded_at", at)
+    rows = read_landing(spark, root, CONTRACTS[table], day).withColumn("_loaded_at", at)
     checked = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_ingestion_date").eqNullSafe(F.lit(day))).alias("strange")).first()
     if checked["strange"]:
         raise ValueError(f"{checked['strange']} rows of {table} do not belong to {day}")
@@ -74,7 +83,7 @@ def load_partition(spark: SparkSession, root: str, bronze: str, table: str, day:
 
 def replay_all(spark: SparkSession, root: str, bronze: str, table: str, manifest: DataFrame, at: Column) -> int:
     """Build the whole bronze table anew from all landing days in one job; the count must be the manifest's."""
-    rows = spark.read.parquet(f"{root}/{table}").drop("dt").withColumn("_loaded_at", at)
+    rows = spark.read.schema(landing_schema(CONTRACTS[table])).parquet(f"{root}/{table}").drop("dt").withColumn("_loaded_at", at)
     wanted = manifest.filter(F.col("table_name") == table).select("dt", "parquet_rows").distinct().agg(F.sum("parquet_rows")).first()[0]
     found = rows.count()
     if wanted != found:
@@ -144,7 +153,3 @@ def check_freshness(source: DataFrame, bronze: DataFrame, cursor: str) -> DataFr
     """One row: bronze must hold nothing newer than the source."""
     newest = source.agg(F.max(cursor).alias("source_newest")).join(F.broadcast(bronze.agg(F.max(cursor).alias("bronze_newest"))))
     return newest.withColumn("passed", F.coalesce(F.col("bronze_newest") <= F.col("source_newest"), F.lit(True)))
-
-
-def contract_of(table: str) -> Contract:
-    return CONTRACTS[table]
