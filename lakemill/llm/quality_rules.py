@@ -41,6 +41,8 @@ def suffix_order(words: np.ndarray, text_of: np.ndarray, ends: np.ndarray) -> tu
     ``ends`` has for each position the end of its text.
     """
     n = len(words)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     first = text_of * (int(words.max(initial=0)) + 1) + words
     order = np.argsort(first, kind="stable")
     fresh = np.r_[True, first[order][1:] != first[order][:-1]]
