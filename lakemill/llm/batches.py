@@ -6,6 +6,8 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters that the numpy work of one step covers; a longer text makes a step of its own.
 STEP_CHARS = 2_000_000
@@ -24,6 +26,18 @@ def slices(texts: list[str | None], most: int = STEP_CHARS) -> Iterator[tuple[in
         yield start, len(texts)
 
 
+def slices_of(column: pa.Array, most: int = STEP_CHARS) -> Iterator[tuple[int, int]]:
+    """The same from an Arrow column, by bytes, before any text is a Python string."""
+    start, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if held and held + n > most:
+            yield start, i
+            start, held = i, 0
+        held += n
+    if start < len(column):
+        yield start, len(column)
+
+
 def numbered_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Words between ASCII white space: their numbers, words a text, and the distinct words.
 

@@ -12,33 +12,33 @@ encoded one by one; other columns pass through. The special token's own string i
 
 from __future__ import annotations
 
-import bisect
 import json
-import mmap
 import re
-import struct
 import tempfile
 import uuid
+from collections import Counter
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakemill.llm.batches import slices
+from lakemill.llm.batches import slices_of
 from lakemill.sources.tables import read_table
 
 #: Words in the automaton at most, and how often a word must stand in the corpus to be counted as frequent.
-LEXICON_WORDS = 60_000
+LEXICON_WORDS = 150_000
 LEAST_COUNT = 3
-#: Distinct words that a worker remembers, and distinct words that a counting step holds before it passes them on.
-REMEMBERED = 150_000
-COUNTED_AT_ONCE = 150_000
+#: Pieces that a worker remembers before it starts anew, and pieces that a counting step holds before it passes them on.
+REMEMBERED = 200_000
+COUNTED_AT_ONCE = 300_000
+NO_PAIR = np.int64(1) << 60
 #: Fixed value: the pattern that cuts a text into words for this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space and the run after it never share a word with what follows, so texts are cut here first.
@@ -66,30 +66,43 @@ class Vocabulary:
         self.bytes_of = {i: raw(t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
         self.byte_id = [vocab[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])]
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
-        self.merged = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(merges)}
-
-    def merge(self, word: bytes) -> list[int]:
-        """The ids of one word: the pair of the lowest rank merges first, leftmost first among equals."""
-        ids = [self.byte_id[b] for b in word]
-        known = self.merged.get
-        while len(ids) > 1:
-            found = [known(pair) for pair in zip(ids, ids[1:])]
-            best = min((f for f in found if f), default=None)
-            if best is None:
-                break
-            out, i = [], 0
-            while i < len(ids):
-                if i < len(found) and found[i] == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-
-def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
+        #: Rank and merged id in one number, by both ids in one number.
+        merged = {vocab[a] << 20 | vocab[b]: rank << 20 | vocab[a + b] for rank, (a, b) in enumerate(merges)}
+        self.pairs = np.array(sorted(merged), np.int64)
+        self.results = np.array([merged[k] for k in self.pairs.tolist()], np.int64)
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of many words, as bytes of 32-bit numbers.
+
+        In each round every word merges its pair of the lowest rank, the leftmost among equals; words
+        without such a pair are done and leave.
+        """
+        out: list[bytes] = [b""] * len(words)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        ids = np.array(self.byte_id, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.arange(len(words))
+        while len(word):
+            starts = np.cumsum(lengths) - lengths
+            key = ids << 20
+            key[:-1] |= ids[1:]
+            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            rank = np.where(self.pairs[at] == key, self.results[at], NO_PAIR)
+            rank[starts + lengths - 1] = NO_PAIR
+            best = np.minimum.reduceat(rank, starts)
+            place = np.arange(len(ids))
+            first = np.minimum.reduceat(np.where(rank == np.repeat(best, lengths), place, len(ids)), starts)
+            done = best == NO_PAIR
+            ready, ended = ids.astype(np.int32), starts + lengths
+            for i in np.flatnonzero(done).tolist():
+                out[word[i]] = ready[starts[i] : ended[i]].tobytes()
+            ids[first[~done]] = best[~done] & 0xFFFFF
+            kept = np.repeat(~done, lengths)
+            kept[first[~done] + 1] = False
+            ids, word, lengths = ids[kept], word[~done], lengths[~done] - 1
+        return out
+
+
+def compile_lexicon(words: dict[bytes, bytes]) -> bytes:
     """The minimal acyclic automaton of ``words`` with their ids, as flat arrays.
 
     Words come in order; when a branch is left, its states are looked up by their content, so equal
@@ -123,49 +136,59 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> bytes:
     for depth in range(len(before), 0, -1):
         path[depth - 1][1].append((before[depth - 1], close(path.pop())))
     root = close(path[0])
-    first = np.cumsum([0, *map(len, edges)]).astype(np.int32)
     label, target, skip = [], [], []
     for state, out in enumerate(edges):
         run = int(final[state])
         for byte, to in out:
-            label.append(byte)
+            label.append(state << 8 | byte)
             target.append(to)
             skip.append(run)
             run += counts[to]
     ids = [words[w] for w in ordered]
-    offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-    arrays = [first, np.array(final, np.int32), np.array(label, np.int32), np.array(target, np.int32), np.array(skip, np.int32), offsets, np.array(list(chain(*ids)), np.int32)]
-    return struct.pack("<8i", root, *map(len, arrays)) + b"".join(a.tobytes() for a in arrays)
+    offsets = np.cumsum([0, *map(len, ids)]) // 4
+    arrays = [np.array(x, np.int32) for x in (final, label, target, skip, offsets)] + [np.frombuffer(b"".join(ids), np.int32)]
+    return np.array([root, *map(len, arrays)], np.int32).tobytes() + b"".join(a.tobytes() for a in arrays)
 
 
 class Lexicon:
-    """The automaton in a mapped file."""
+    """The automaton in a file that is mapped, not read."""
 
     def __init__(self, path: str) -> None:
-        with open(path, "rb") as f:
-            held = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        self.root, *lengths = struct.unpack_from("<8i", held)
-        at, arrays = 32, []
-        for n in lengths:
-            arrays.append(memoryview(held)[at : at + 4 * n].cast("i"))
-            at += 4 * n
-        self.first, self.final, self.label, self.target, self.skip, self.offsets, self.ids = arrays
-
-    def get(self, word: bytes) -> list[int] | None:
-        state, number = self.root, 0
-        first, label = self.first, self.label
-        for byte in word:
-            end = first[state + 1]
-            edge = bisect.bisect_left(label, byte, first[state], end)
-            if edge == end or label[edge] != byte:
-                return None
-            number += self.skip[edge]
-            state = self.target[edge]
-        return self.ids[self.offsets[number] : self.offsets[number + 1]].tolist() if self.final[state] else None
+        mapped = np.asarray(np.memmap(path, np.int32, "r"))
+        self.root, at = int(mapped[0]), 7
+        parts = []
+        for n in mapped[1:7].tolist():
+            parts.append(mapped[at : at + n])
+            at += n
+        self.final, self.edge, self.target, self.skip, self.offsets, self.ids = parts
+
+    def find(self, words: list[bytes]) -> list[bytes | None]:
+        """The ids of each word that is there, as bytes; all words take a step together."""
+        n = len(words)
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        starts = np.cumsum(lengths) - lengths
+        text = np.frombuffer(b"".join(words), np.uint8)
+        state, number = np.full(n, self.root), np.zeros(n, np.int64)
+        alive = np.arange(n if len(self.edge) else 0)
+        for step in range(int(lengths.max(initial=0))):
+            alive = alive[lengths[alive] > step]
+            key = state[alive] << 8 | text[starts[alive] + step]
+            at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            there = self.edge[at] == key
+            state[alive[~there]] = -1
+            alive, at = alive[there], at[there]
+            number[alive] += self.skip[at]
+            state[alive] = self.target[at]
+            alive = alive[state[alive] >= 0]
+            if not len(alive):
+                break
+        good = (state >= 0) & (self.final[state] > 0)
+        first, last = self.offsets[np.where(good, number, 0)], self.offsets[np.where(good, number + 1, 0)]
+        return [self.ids[a:b].tobytes() if ok else None for ok, a, b in zip(good.tolist(), first.tolist(), last.tolist())]
 
 
 class Encoder:
-    """Texts to ids in one worker; remembers the ids of pieces up to a bound."""
+    """Texts to ids in one worker; ids are kept as the bytes of 32-bit numbers, so pieces join without a loop."""
 
     def __init__(self, vocabulary: str, lexicon: str | None) -> None:
         self.vocabulary = Vocabulary(vocabulary)
@@ -173,59 +196,49 @@ class Encoder:
         self.words = regex.compile(PATTERN).findall
         self.chunks = re.compile(CHUNK).findall
         self.special = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")") if self.vocabulary.special else None
-        self.known: dict[str, list[int]] = {}
-        self.seen: dict[str, list[int]] = {}
-
-    def word(self, word: str) -> list[int]:
-        ids = self.seen.get(word)
-        if ids is None:
-            raw = word.encode("utf-8")
-            ids = self.lexicon.get(raw) if self.lexicon else None
-            if ids is None:
-                ids = self.vocabulary.merge(raw)
-            if len(self.seen) >= REMEMBERED:
-                self.seen.clear()
-            self.seen[word] = ids
-        return ids
-
-    def plain(self, text: str) -> list[list[int]]:
-        """Ids of the pieces of a text without special tokens."""
-        known, out = self.known, []
-        for chunk in self.chunks(text):
-            ids = known.get(chunk)
-            if ids is None:
-                ids = [i for w in self.words(chunk) for i in self.word(w)]
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[chunk] = ids
-            out.append(ids)
+        self.known: dict[str, bytes] = {}
+        self.known_words: dict[str, bytes] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        """Ids of chunks that are not known yet; what is remembered starts anew when it is full."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        fresh = [c for c in chunks if c not in self.known]
+        if len(self.known_words) > REMEMBERED:
+            self.known_words.clear()
+        cut = list(map(self.words, fresh))
+        new = list(set(chain.from_iterable(cut)).difference(self.known_words))
+        raw = [w.encode("utf-8") for w in new]
+        ids = self.lexicon.find(raw) if self.lexicon else [None] * len(raw)
+        missing = [i for i, x in enumerate(ids) if x is None]
+        for i, x in zip(missing, self.vocabulary.merge([raw[i] for i in missing])):
+            ids[i] = x
+        self.known_words.update(zip(new, ids))
+        of_word = self.known_words.__getitem__
+        self.known.update(zip(fresh, (b"".join(map(of_word, words)) for words in cut)))
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        parts = [(self.special.split(t) if self.special else [t]) if t else [] for t in texts]
+        chunks = [[p if i % 2 else self.chunks(p) for i, p in enumerate(ps)] for ps in parts]
+        self.learn(set().union(*(c for ps in chunks for c in ps[::2])))
+        of_chunk, out = self.known.__getitem__, []
+        for ps in chunks:
+            pieces = [np.int32(self.vocabulary.special[p]).tobytes() if i % 2 else b"".join(map(of_chunk, p)) for i, p in enumerate(ps)]
+            out.append(np.frombuffer(b"".join(pieces), np.int32))
         return out
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        parts = self.special.split(text) if self.special else [text]
-        pieces = []
-        for i, part in enumerate(parts):
-            if i % 2:
-                pieces.append([self.vocabulary.special[part]])
-            elif part:
-                pieces += self.plain(part)
-        return list(chain.from_iterable(pieces))
-
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all texts; each task sums up before the shuffle."""
 
     def count(batches):
-        cut, chunks, held = regex.compile(PATTERN).findall, re.compile(CHUNK).findall, {}
+        cut, chunks, held = regex.compile(PATTERN).findall, re.compile(CHUNK).findall, Counter()
         for batch in batches:
-            for value in batch.column(0):
-                for chunk in chunks(value.as_py() or ""):
-                    held[chunk] = held.get(chunk, 0) + 1
+            for value in batch.column(0).to_pylist():
+                held.update(chunks(value or ""))
                 if len(held) >= COUNTED_AT_ONCE:
-                    yield from flush(held, cut)
-        yield from flush(held, cut)
+                    yield flush(held, cut)
+        yield flush(held, cut)
 
     def flush(held, cut):
         words: dict[str, int] = {}
@@ -233,7 +246,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             for word in cut(chunk):
                 words[word] = words.get(word, 0) + n
         held.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
     return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -241,8 +254,8 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 def build_lexicon(docs: DataFrame, vocabulary: str, text: str = "text", most: int = LEXICON_WORDS) -> str:
     """Name of the automaton file that every executor can open; at most ``most`` words reach the driver."""
     frequent = word_counts(docs, text).filter(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(most).collect()
-    merge = Vocabulary(vocabulary).merge
-    content = compile_lexicon({w: merge(w) for w in (r["word"].encode() for r in frequent)})
+    words = [r["word"].encode("utf-8") for r in frequent]
+    content = compile_lexicon(dict(zip(words, Vocabulary(vocabulary).merge(words))))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     #: Executors fetch the file from the driver when their first task needs it, so it stays for the session.
     path = Path(tempfile.mkdtemp(prefix="lexicon-"), name)
@@ -251,36 +264,60 @@ def build_lexicon(docs: DataFrame, vocabulary: str, text: str = "text", most: in
     return name
 
 
-def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, text: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text; ``vocabulary`` is a tokenizer file's content."""
+class Decoder:
+    """Lists of ids to texts; bytes that are not UTF-8 become U+FFFD."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.table = np.empty(max(vocabulary.bytes_of) + 1, object)
+        self.table[list(vocabulary.bytes_of)] = list(vocabulary.bytes_of.values())
+
+    def decode(self, column: pa.ListArray) -> pa.Array:
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+        return pa.array([b"".join(self.table[flat[a:b]]).decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends)], pa.string())
+
+
+def as_lists(lists: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
+
+
+def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each text; ``vocabulary`` is a tokenizer file's content.
+
+    With ``decoded``, the text of the ids comes along under that name, from the same worker, so the ids
+    need not be sent to another one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     made = []
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def ids(column: pa.Array) -> pa.Array:
+    @F.arrow_udf(kind)
+    def pieces(column: pa.Array) -> pa.Array:
         if not made:
             made.append(Encoder(shared.value, SparkFiles.get(lexicon) if lexicon else None))
-        parts = []
-        texts = column.to_pylist()
-        for a, b in slices(texts):
-            lists = [np.array(made[0].encode(t), np.int32) for t in texts[a:b]]
-            offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-            parts.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists))))
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+            made.append(Decoder(made[0].vocabulary))
+        ids, texts = [], []
+        for a, b in slices_of(column):
+            ids.append(as_lists(made[0].encode(column[a:b].to_pylist())))
+            texts.append(made[1].decode(ids[-1]) if decoded else pa.nulls(b - a, pa.string()))
+        join = lambda parts, kind: pa.concat_arrays(parts) if parts else pa.array([], kind)
+        return pa.StructArray.from_arrays([join(ids, pa.list_(pa.int32())), join(texts, pa.string())], ["ids", "decoded"])
 
-    return docs.withColumn(into, ids.asNondeterministic()(F.col(text)))
+    both = docs.withColumn("__pieces", pieces.asNondeterministic()(F.col(text))).withColumn(into, F.col("__pieces.ids"))
+    return (both.withColumn(decoded, F.col("__pieces.decoded")) if decoded else both).drop("__pieces")
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
-    """``docs`` with the text of each list of ids; bytes that are not UTF-8 become U+FFFD."""
+    """``docs`` with the text of each list of ids."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     made = []
 
     @F.arrow_udf(T.StringType())
     def texts(column: pa.Array) -> pa.Array:
         if not made:
-            made.append(Vocabulary(shared.value).bytes_of.__getitem__)
-        return pa.array([b"".join(map(made[0], x.as_py() or ())).decode("utf-8", "replace") for x in column], pa.string())
+            made.append(Decoder(Vocabulary(shared.value)))
+        return made[0].decode(column)
 
     return docs.withColumn(into, texts.asNondeterministic()(F.col(ids)))
 
@@ -296,8 +333,8 @@ def vocabulary_file(path: str | None = None) -> str:
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode all texts, decode them again, and give sizes and checksums of both."""
     vocabulary = vocabulary_file(path)
-    encoded = encode(docs.select("doc_id", "text"), vocabulary, build_lexicon(docs, vocabulary)).drop("text")
-    return decode(encoded, vocabulary).select(
+    encoded = encode(docs.select("doc_id", "text"), vocabulary, build_lexicon(docs, vocabulary), decoded="decoded")
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
