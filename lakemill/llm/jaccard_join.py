@@ -37,6 +37,8 @@ from lakemill.sources.tables import read_table
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
+#: Bands of each round in which candidates are grouped: the first from, and the first not any more.
+ROUNDS = ((0, 6), (6, BANDS))
 TOLERANCE = 1e-9
 #: Sketch values compared at a time, and classes in a tile.
 STEP = 16
@@ -171,12 +173,32 @@ def node_of(text: Column) -> Column:
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(node, label) for classes that share a band with another, directly or over others."""
-    bands = F.array(*[F.xxhash64(F.substring("sketch", 4 * ROWS * b + 1, 4 * ROWS), F.lit(b)) for b in range(BANDS)])
-    placed = classes.filter("sketch IS NOT NULL").select("node", F.explode(bands).alias("band"))
-    heads = placed.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head <> last")
-    stars = placed.join(heads, "band").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
-    return components(stars)
+    """(node, label) for classes that share a band with another, directly or over others.
+
+    The bands come in rounds. What a round has joined counts as one in the next, so a large group of near
+    copies, whose members meet in most bands, gives edges for the first few bands only.
+    """
+    sketched = classes.filter("sketch IS NOT NULL").select("node", "sketch")
+    labels = None
+    for first, last in ROUNDS:
+        bands = F.array(*[F.xxhash64(F.substring("sketch", 4 * ROWS * b + 1, 4 * ROWS), F.lit(b)) for b in range(first, last)])
+        at = F.col("node")
+        members = sketched
+        if labels is not None:
+            members = sketched.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+            at = F.coalesce("label", "node")
+        placed = members.select(at.alias("at"), F.explode(bands).alias("band"))
+        heads = placed.groupBy("band").agg(F.min("at").alias("head"), F.max("at").alias("last")).filter("head <> last").select("band", "head")
+        stars = placed.join(heads, "band").filter("at <> head").select(F.col("at").alias("a"), F.col("head").alias("b"))
+        joined = components(stars)
+        if labels is None:
+            labels = joined
+        else:
+            upper = joined.select(F.col("node").alias("u"), F.col("label").alias("upper"))
+            below = labels.join(upper, F.col("label") == F.col("u"), "left").select("node", F.coalesce("upper", "label").alias("label"))
+            others = upper.join(labels.select(F.col("node").alias("n")), F.col("u") == F.col("n"), "left_anti").select(F.col("u").alias("node"), F.col("upper").alias("label"))
+            labels = settle(below.unionByName(others))
+    return labels
 
 
 def verified_links(rows: DataFrame, classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
@@ -192,32 +214,43 @@ def verified_links(rows: DataFrame, classes: DataFrame, threshold: float, tolera
     return dealt.groupBy("group", "a", "b").applyInArrow(lambda t: compare(t, threshold, tolerance), LINKED)
 
 
+def text_classes(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """One row for each distinct text of ``rows`` (key, node, text): node, rep (its smallest key), copies, links, and
+    the head of its class, the text with the class's smallest key (head_rep, head_node)."""
+    sketched = rows.select("key", "node", sketches.asNondeterministic()(F.col("text")).alias("sketch"))
+    classes = settle(sketched.groupBy("node").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch")))
+    found = settle(verified_links(rows, classes, threshold, tolerance))
+    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "j")
+    degrees = found.groupBy(F.col("node").alias("d")).agg(F.sum("links").alias("links"))
+    known = classes.select("node", "rep", "copies").join(joined, F.col("node") == F.col("j"), "left").join(degrees, F.col("node") == F.col("d"), "left")
+    known = settle(known.select("node", "rep", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
+    first = F.min(F.struct(F.col("rep").isNull(), F.col("rep").alias("rep"), F.col("node").alias("node")))
+    heads = known.groupBy(F.col("label").alias("l")).agg(first.alias("head"))
+    return known.join(heads, F.col("label") == F.col("l")).select("node", "rep", "copies", "links", F.col("head.rep").alias("head_rep"), F.col("head.node").alias("head_node"))
+
+
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("key"), node_of(F.col(text)).alias("node"), F.col(text).alias("text"))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """One row for each row of ``docs``: key, class_id (the smallest key of its class), n_links, n_copies.
 
     ``n_links`` counts other texts at the threshold or above, ``n_copies`` rows with the same text.
     """
-    rows = docs.select(F.col(key).cast("long").alias("key"), node_of(F.col(text)).alias("node"), F.col(text).alias("text"))
-    sketched = rows.select("key", "node", sketches.asNondeterministic()(F.col("text")).alias("sketch"))
-    classes = settle(sketched.groupBy("node").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch")))
-    found = settle(verified_links(rows, classes, threshold, tolerance))
-    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    degrees = found.groupBy(F.col("node").alias("d")).agg(F.sum("links").alias("links"))
-    known = classes.select("node", "rep", "copies").join(joined.withColumnRenamed("node", "j"), F.col("node") == F.col("j"), "left")
-    known = settle(known.join(degrees, F.col("node") == F.col("d"), "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links")))
-    least = known.groupBy(F.col("label").alias("l")).agg(F.min("rep").alias("class_id"))
-    done = known.join(least, F.col("label") == F.col("l")).select(F.col("node").alias("n"), "class_id", "links", "copies")
-    return rows.select("key", "node").join(done, F.col("node") == F.col("n")).select(
-        F.col("key").alias(key), "class_id", F.col("links").cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies")
+    rows = keyed(docs, key, text)
+    classes = text_classes(rows, threshold, tolerance).withColumnRenamed("node", "n")
+    return rows.select("key", "node").join(classes, F.col("node") == F.col("n")).select(
+        F.col("key").alias(key), F.col("head_rep").alias("class_id"), F.col("links").cast("long").alias("n_links"), F.col("copies").cast("long").alias("n_copies")
     )
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row for each class: the row with the class's smallest key."""
-    classes = near_duplicates(docs, key, text).select(F.col("class_id").alias("__keep")).distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept = docs.join(classes, F.col(key).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.select(*columns).dropDuplicates([key])
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """``docs`` with one row for each class, the one with the smallest key; of equal rows one."""
+    heads = text_classes(keyed(docs, key, text), threshold, tolerance).filter(F.col("node") == F.col("head_node")).select(F.col("node").alias("__n"), F.col("rep").alias("__rep"))
+    numbered = docs.withColumns({"__node": node_of(F.col(text)), "__key": F.col(key).cast("long")})
+    kept = numbered.join(heads, (F.col("__node") == F.col("__n")) & F.col("__key").eqNullSafe(F.col("__rep")), "left_semi")
+    return kept.dropDuplicates(["__node", "__key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
