@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakemill.functions.lineage import settle
 from lakemill.llm.batches import slices_of
 from lakemill.sources.tables import read_table
 
@@ -253,7 +254,16 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def build_lexicon(docs: DataFrame, vocabulary: str, text: str = "text", most: int = LEXICON_WORDS) -> str:
     """Name of the automaton file that every executor can open; at most ``most`` words reach the driver."""
-    frequent = word_counts(docs, text).filter(F.col("n") >= LEAST_COUNT).orderBy(F.desc("n"), "word").limit(most).collect()
+    counted = settle(word_counts(docs, text).filter(F.col("n") >= LEAST_COUNT))
+    #: A row for each eighth of a power of two; the lowest one from which on the words are few enough is the limit.
+    level = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for row in counted.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("level")).collect():
+        held += row["words"]
+        if held > most:
+            break
+        least = row["level"]
+    frequent = counted.filter(level >= least).select("word").collect() if least is not None else []
     words = [r["word"].encode("utf-8") for r in frequent]
     content = compile_lexicon(dict(zip(words, Vocabulary(vocabulary).merge(words))))
     name = f"lexicon-{uuid.uuid4().hex}.bin"
