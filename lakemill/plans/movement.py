@@ -161,7 +161,8 @@ def stream_without_replays(spark, sf_dir):
     path = _staged(spark, sf_dir, "orders")
     stream = jobs.stream_landing(spark, spark.read.parquet(path).schema, path)
     kept = jobs.without_replays(stream, "order_id", "updated_at", "100000 days")
-    return jobs.run_to_table(kept.select("order_id", "order_status"), f"kept_{uuid.uuid4().hex}").groupBy("order_status").agg(F.count(F.lit(1)).alias("versions"))
+    rows = jobs.run_to_files(kept.select("order_id", "order_status"), scratch(spark, "kept"), scratch(spark, "kept-progress"))
+    return rows.groupBy("order_status").agg(F.count(F.lit(1)).alias("versions"))
 
 
 def stream_day_counts(spark, sf_dir):
