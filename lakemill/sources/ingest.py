@@ -27,7 +27,7 @@ def window_counts(df: DataFrame, cursor: str, window: Window) -> DataFrame:
     return df.filter(window.predicate(cursor, "incremental")).agg(F.count(F.lit(1)).alias("source_rows"), F.count_if(inside).alias("rows_in_window"), F.count_if(~inside).alias("rows_in_lookback"))
 
 
-def with_extract_metadata(df: DataFrame, batch: str, mode: str, at: Column, source_file: str, day: date) -> DataFrame:
+def with_extract_metadata(df: DataFrame, batch: str, mode: str, at: Column, source_file: str, day: date | Column) -> DataFrame:
     return df.withColumns({"_extract_batch_id": F.lit(batch), "_extract_mode": F.lit(mode), "_extracted_at": at, "_source_file": F.lit(source_file), "_ingestion_date": F.lit(day)})
 
 
@@ -49,6 +49,14 @@ def write_landing(df: DataFrame, root: str, contract: Contract, day: date, order
     return path
 
 
+def write_landing_days(df: DataFrame, root: str, contract: Contract) -> str:
+    """Landing files of many days in one write: each row goes under the folder of its ``_ingestion_date``."""
+    path = f"{root}/{contract.name}"
+    rows = df.withColumn("dt", F.col("_ingestion_date"))
+    rows.repartitionByRange("dt", contract.key).sortWithinPartitions("dt", contract.key).write.mode("overwrite").option("compression", "zstd").partitionBy("dt").parquet(path)
+    return path
+
+
 def build_manifest(spark: SparkSession, root: str, table: str, day: date, batch: str) -> DataFrame:
     """One row for each landing file of the day: size and checksum, with the rows of the whole artifact."""
     path = f"{root}/{table}/dt={day}"
@@ -58,6 +66,19 @@ def build_manifest(spark: SparkSession, root: str, table: str, day: date, batch:
     return hashed.join(F.broadcast(rows)).withColumns({"table_name": F.lit(table), "dt": F.lit(day), "batch_id": F.lit(batch), "status": F.lit("complete")})
 
 
+def _landing_files(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """(dt, file, bytes, sha256) of all landing files of the table."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/{table}")
+    day = F.expr("try_to_date(regexp_extract(path, '/dt=([^/]+)/', 1), 'yyyy-MM-dd')").alias("dt")
+    return files.select(day, F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def build_manifest_days(spark: SparkSession, root: str, table: str, extracted: DataFrame, batch: str) -> DataFrame:
+    """The manifest of all landing days: one row for each file, with the rows that were extracted for its day."""
+    rows = extracted.groupBy(F.col("_ingestion_date").alias("dt")).agg(F.count(F.lit(1)).alias("parquet_rows"))
+    return rows.join(_landing_files(spark, root, table), "dt", "left").withColumns({"table_name": F.lit(table), "batch_id": F.lit(batch), "status": F.lit("complete")})
+
+
 def verify_landing(spark: SparkSession, root: str, manifest: DataFrame, table: str, day: date) -> DataFrame:
     """Files that are missing, new or changed against the manifest; none if all is well."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{root}/{table}/dt={day}").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.sha2("content", 256).alias("found"))
@@ -65,6 +86,13 @@ def verify_landing(spark: SparkSession, root: str, manifest: DataFrame, table: s
     return wanted.join(found, "file", "full").filter(~F.col("sha256").eqNullSafe(F.col("found")))
 
 
+def verify_landing_days(spark: SparkSession, root: str, manifest: DataFrame, table: str) -> DataFrame:
+    """``verify_landing`` over all days of the table; files of two days may bear one name."""
+    found = _landing_files(spark, root, table).select("dt", "file", F.col("sha256").alias("found"))
+    wanted = manifest.filter(F.col("table_name") == table).select("dt", "file", "sha256")
+    return wanted.join(found, ["dt", "file"], "full").filter(~F.col("sha256").eqNullSafe(F.col("found")))
+
+
 def list_partitions(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Days that have landing files; folders with other names are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/{table}")
