@@ -11,9 +11,10 @@ bounded by visits, not by the size of a leaf.
 Scores are cosines in double precision, each computed row by row from the original vectors, so equal
 vectors have equal scores. Ties go to the smaller id.
 
-Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, neither
-as query nor as candidate; vectors of another length than the first in the sample take no part; a query
-without candidates has no row. Repeated ids are separate candidates.
+Defined results: rows with a null id and vectors that are null, zero, or hold a null or non-finite component
+take no part, neither as query nor as candidate; nor do vectors of another length than the most frequent one
+(the smaller of two that are equally frequent). A query without candidates has no row. Rows with one id are
+separate candidates and separate queries: each has its own ranks, and sees the others but not itself.
 """
 
 from __future__ import annotations
@@ -141,32 +142,36 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def best_in_part(queries: pa.Table, part: pa.Table, k: int) -> pa.Table:
     """The k best of one part of a leaf for each of its queries."""
-    out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+    out: dict[str, list] = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
     if queries.num_rows and part.num_rows:
-        ids, vectors = part.column("stored_id").to_numpy(), matrix(part.column("stored"))
-        asked, wanted = queries.column("id").to_numpy(), matrix(queries.column("vector"))
+        ids, rows, vectors = part.column("stored_id").to_numpy(), part.column("stored_row").to_numpy(), matrix(part.column("stored"))
+        asked, own, wanted = queries.column("id").to_numpy(), queries.column("row").to_numpy(), matrix(queries.column("vector"))
         rough = normed(wanted) @ normed(vectors).T
         lengths = np.sqrt((vectors * vectors).sum(axis=1))
         for i, q in enumerate(asked):
-            rough[i, ids == q] = -2
+            rough[i, rows == own[i]] = -2
             line = rough[i]
             cut = np.partition(line, len(line) - k)[len(line) - k] if len(line) > k else -1.5
             near = np.flatnonzero((line >= cut - 1e-9) & (line > -1.5))
             exact = (vectors[near] * wanted[i]).sum(axis=1) / (lengths[near] * np.sqrt((wanted[i] * wanted[i]).sum()))
             for j in np.lexsort((ids[near], -exact))[:k]:
+                out["query_row"].append(int(own[i]))
                 out["query_id"].append(int(q))
                 out["vec_id"].append(int(ids[near[j]]))
                 out["score"].append(float(exact[j]))
-    return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
+    return pa.table({"query_row": pa.array(out["query_row"], pa.int64()), "query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
 
 def search(table: DataFrame, queries: F.Column, key: str = "vec_id", vector: str = "embedding", k: int = NEAREST, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row of ``table`` that ``queries`` picks."""
     spark = table.sparkSession
-    rows = table.filter(usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    rows = table.filter(usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter("id is not null")
+    common = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").first()
+    width = common["width"] if common else 1
+    #: The numbers tell apart rows with one id; they are settled, so that a row keeps its own.
+    rows = settle(rows.filter(F.size("vector") == width).withColumn("row", F.monotonically_increasing_id()))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    width = len(sample[0]["vector"]) if sample else 1
-    points = normed(np.array([r["vector"] for r in sample if len(r["vector"]) == width]).reshape(-1, width)) if sample else np.zeros((0, width))
+    points = normed(np.array([r["vector"] for r in sample])) if sample else np.zeros((0, width))
     tree = Tree.fit(points)
     most = calibrated_visits(tree, points, recall) if len(points) > k else tree.leaves or 1
     shared = spark.sparkContext.broadcast((tree.centres, tree.children, tree.leaves))
@@ -180,17 +185,16 @@ def search(table: DataFrame, queries: F.Column, key: str = "vec_id", vector: str
         walk = Tree(*shared.value).visits
         return pa.array([walk(p, most) for p in normed(matrix(column))] if len(column) else [], pa.list_(pa.int32()))
 
-    rows = rows.filter(F.size("vector") == width)
     indexed = settle(rows.withColumn("leaf", leaf.asNondeterministic()(F.col("vector"))))
     #: A row for each leaf, and the tree has at most SAMPLE leaves.
     parts = F.broadcast(indexed.groupBy(F.col("leaf").alias("at")).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
-    stored = indexed.join(parts, F.col("leaf") == F.col("at")).withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int"))
-    asked = rows.withColumnRenamed("id", key).filter(queries).select(F.col(key).alias("id"), "vector").withColumn("leaf", F.explode(visits.asNondeterministic()(F.col("vector"))))
+    stored = indexed.join(parts, F.col("leaf") == F.col("at")).withColumn("part", F.pmod(F.xxhash64("row", F.lit("part")), F.col("parts")).cast("int"))
+    asked = rows.withColumnRenamed("id", key).filter(queries).select(F.col(key).alias("id"), "row", "vector").withColumn("leaf", F.explode(visits.asNondeterministic()(F.col("vector"))))
     asked = asked.join(parts, F.col("leaf") == F.col("at")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = asked.select("id", "vector", "leaf", "part").groupBy("leaf", "part")
-    right = stored.select(F.col("id").alias("stored_id"), F.col("vector").alias("stored"), F.col("leaf").alias("in_leaf"), F.col("part").alias("in_part")).groupBy("in_leaf", "in_part")
-    found = left.cogroup(right).applyInArrow(lambda a, b: best_in_part(a, b, k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    left = asked.select("id", "row", "vector", "leaf", "part").groupBy("leaf", "part")
+    right = stored.select(F.col("id").alias("stored_id"), F.col("row").alias("stored_row"), F.col("vector").alias("stored"), F.col("leaf").alias("in_leaf"), F.col("part").alias("in_part")).groupBy("in_leaf", "in_part")
+    found = left.cogroup(right).applyInArrow(lambda a, b: best_in_part(a, b, k), "query_row long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
