@@ -4,9 +4,10 @@ The tree is fitted on a bounded sample of the vectors; every vector is then inde
 query walks the tree with a priority queue of branches, nearest first, and so lists leaves in the order in
 which it would visit them. How many it visits is calibrated: on sample queries the visits widen until the
 exact neighbours among the sample are found with the recall aimed at. Queries meet the vectors of the
-leaves that they visit through a join on the leaf; a leaf with many vectors is cut into parts by a hash.
-A task compares its queries with its part of a leaf, and keeps the best of each query, so what goes on is
-bounded by visits, not by the size of a leaf.
+leaves that they visit through a join on the leaf; a leaf with many vectors is cut into parts by a hash, and
+its queries into blocks. Each block meets each part on its own, so that the memory of a comparison does not
+follow the table; it keeps the best of each query, so what goes on is bounded by visits, not by the size of
+a leaf.
 
 Scores are cosines in double precision, each computed row by row from the original vectors, so equal
 vectors have equal scores. Ties go to the smaller id.
@@ -37,8 +38,9 @@ SAMPLE_QUERIES = 200
 BRANCHES = 8
 LEAF = 64
 RECALL = 0.98
-#: Vectors in one part of a leaf.
+#: Vectors in one part of a leaf, and queries in one block of those that visit it.
 PART = 4096
+BLOCK = 2048
 
 
 def normed(vectors: np.ndarray) -> np.ndarray:
@@ -162,6 +164,20 @@ def best_in_part(queries: pa.Table, part: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_row": pa.array(out["query_row"], pa.int64()), "query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
 
+def cells(indexed: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries by (leaf, part, block) and stored vectors by (in_leaf, in_part, in_block), at most about BLOCK and PART of them in each."""
+    asked = asked.withColumn("leaf", F.explode("leaves"))
+    count = lambda df, size, name: df.groupBy(F.col("leaf").alias("at")).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    #: A row for each leaf, and the tree has at most SAMPLE leaves.
+    cut = F.broadcast(count(indexed, PART, "parts").join(count(asked, BLOCK, "blocks"), "at"))
+    pick = lambda name, of: F.pmod(F.xxhash64("row", F.lit(name)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = asked.join(cut, F.col("leaf") == F.col("at")).withColumn("block", pick("block", "blocks")).withColumn("part", every("parts"))
+    right = indexed.join(cut, F.col("leaf") == F.col("at")).withColumn("in_part", pick("part", "parts")).withColumn("in_block", every("blocks"))
+    stored = [F.col("id").alias("stored_id"), F.col("row").alias("stored_row"), F.col("vector").alias("stored"), F.col("leaf").alias("in_leaf")]
+    return left.select("id", "row", "vector", "leaf", "part", "block"), right.select(*stored, "in_part", "in_block")
+
+
 def search(table: DataFrame, queries: F.Column, key: str = "vec_id", vector: str = "embedding", k: int = NEAREST, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each row of ``table`` that ``queries`` picks."""
     spark = table.sparkSession
@@ -186,14 +202,9 @@ def search(table: DataFrame, queries: F.Column, key: str = "vec_id", vector: str
         return pa.array([walk(p, most) for p in normed(matrix(column))] if len(column) else [], pa.list_(pa.int32()))
 
     indexed = settle(rows.withColumn("leaf", leaf.asNondeterministic()(F.col("vector"))))
-    #: A row for each leaf, and the tree has at most SAMPLE leaves.
-    parts = F.broadcast(indexed.groupBy(F.col("leaf").alias("at")).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")))
-    stored = indexed.join(parts, F.col("leaf") == F.col("at")).withColumn("part", F.pmod(F.xxhash64("row", F.lit("part")), F.col("parts")).cast("int"))
-    asked = rows.withColumnRenamed("id", key).filter(queries).select(F.col(key).alias("id"), "row", "vector").withColumn("leaf", F.explode(visits.asNondeterministic()(F.col("vector"))))
-    asked = asked.join(parts, F.col("leaf") == F.col("at")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = asked.select("id", "row", "vector", "leaf", "part").groupBy("leaf", "part")
-    right = stored.select(F.col("id").alias("stored_id"), F.col("row").alias("stored_row"), F.col("vector").alias("stored"), F.col("leaf").alias("in_leaf"), F.col("part").alias("in_part")).groupBy("in_leaf", "in_part")
-    found = left.cogroup(right).applyInArrow(lambda a, b: best_in_part(a, b, k), "query_row long, query_id long, vec_id long, score double")
+    asked = rows.withColumnRenamed("id", key).filter(queries).select(F.col(key).alias("id"), "row", "vector", visits.asNondeterministic()(F.col("vector")).alias("leaves"))
+    left, right = cells(indexed, settle(asked))
+    found = left.groupBy("leaf", "part", "block").cogroup(right.groupBy("in_leaf", "in_part", "in_block")).applyInArrow(lambda a, b: best_in_part(a, b, k), "query_row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

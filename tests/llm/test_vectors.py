@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lakemill.llm import vector_search
@@ -45,3 +44,17 @@ def test_rows_without_an_id_take_no_part(spark):
     v = points(30)
     got = found(spark, [*[(i, v[i]) for i in range(30)], (None, v[0])])
     assert [r["rank"] for r in got] == [1, 2, 3, 4, 5] and all(r["vec_id"] is not None for r in got)
+
+
+def test_queries_of_a_leaf_are_cut_into_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(points(1500))], SCHEMA)
+    seen, real = [], vector_search.cells
+    monkeypatch.setattr(vector_search, "cells", lambda *a: seen.append(real(*a)) or seen[-1])
+    whole = vector_search.search(df, F.lit(True)).collect()
+    monkeypatch.setattr(vector_search, "BLOCK", 100)
+    monkeypatch.setattr(vector_search, "PART", 40)
+    cut = vector_search.search(df, F.lit(True)).collect()
+    largest = lambda side, *by: max(r["count"] for r in side.groupBy(*by).count().collect())
+    assert largest(seen[0][0], "leaf", "part", "block") > 200
+    assert largest(seen[1][0], "leaf", "part", "block") < 170 and largest(seen[1][1], "in_leaf", "in_part", "in_block") < 80
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, cut)) and len(cut) == 7500
