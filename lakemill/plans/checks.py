@@ -9,6 +9,7 @@ from lakemill.functions.columns import ratio
 from lakemill.operators import quality as dq
 from lakemill.operators.history import interval_overlaps
 from lakemill.plans.counterpart import over_warehouse
+from lakemill.plans.models import SHOWN, frame
 from lakemill.plans.warehouse import realized, warehouse
 from lakemill.sources.contracts import CONTRACTS, REFERENCES, row_rules
 
@@ -31,6 +32,9 @@ UNIQUE = {
     "fct_orders": ["order_id"], "fct_order_items": ["order_item_id"], "fct_payments": ["payment_id"], "fct_store_daily_sales": ["store_day_key"],
     "executive_daily": ["business_date"], "product_performance": ["product_day_key"], "customer_cohorts": ["cohort_month_key"], "customer_rfm": ["customer_id"],
 }
+#: The remaining keys of the reference's staging tables, dimensions and marts.
+MORE_UNIQUE = {"silver_regions": ["region_id"], "silver_areas": ["area_id"], "silver_product_categories": ["category_id"], "dim_customer": ["customer_sk"], "dim_promotion": ["promotion_sk"], "dim_date": ["calendar_date"], "executive_daily": ["date_key"], "store_performance": ["store_day_key"], "customer_rfm": ["customer_sk"]}
+NATURAL = {"regions": ["region_name"], "areas": ["region_id", "area_name"], "product_categories": ["category_name"]}
 VERSIONED = [t for t, c in CONTRACTS.items() if c.cursor]
 #: Cells of a count table: (child, column, parent, key).
 SQL_RULES = {
@@ -39,6 +43,20 @@ SQL_RULES = {
     "order_items": {"quantity_positive": "quantity > 0", "line_not_negative": "line_total >= 0"},
     "payments": {"payment_method_accepted": "payment_method IN ('cash', 'card', 'e_wallet')", "payment_status_accepted": "payment_status IN ('paid', 'failed', 'refunded')", "amount_positive": "amount > 0"},
 }
+_UNIT = "(line_total / quantity)::DECIMAL(12,2)"
+_filled = lambda *names: {f"{n}_filled": f"trim({n}) <> ''" for n in names}
+#: The rules that ``SQL_RULES`` lacks, so that the two together are all that ``row_rules`` gives.
+MORE_RULES = {
+    "regions": _filled("region_name"),
+    "areas": _filled("area_name"),
+    "product_categories": _filled("category_name") | {"category_group_accepted": "category_group IN ('beverage', 'food', 'merchandise')"},
+    "stores": _filled("store_code"),
+    "products": _filled("product_name") | {"price_not_negative": "base_price >= 0", "cost_not_negative": "unit_cost >= 0", "sku_not_blank": "trim(sku) <> ''"},
+    "customers": {"loyalty_tier_accepted": "loyalty_tier IN ('basic', 'silver', 'gold', 'platinum')", "name_not_blank": "trim(full_name) <> ''"},
+    "promotions": _filled("promo_code", "promo_name") | {"promo_type_accepted": "promo_type IN ('percent', 'fixed', 'bundle')", "discount_positive": "discount_value > 0", "ends_after_start": "end_date >= start_date", "percent_at_most_100": "promo_type <> 'percent' OR discount_value <= 100"},
+    "orders": {f"{n}_not_negative": f"{n} >= 0" for n in ("subtotal", "discount_amount", "tax_amount")},
+    "order_items": {"price_not_negative": f"{_UNIT} >= 0", "discount_not_negative": "line_discount >= 0", "discount_within_gross": f"line_discount <= quantity::INT * {_UNIT}"},
+}
 
 
 def not_null(spark, sf_dir):
@@ -173,11 +191,47 @@ def key_differences(spark, sf_dir):
     return dq.set_diff(w.latest("payments").filter("payment_status <> 'failed'"), w.latest("order_items"), "order_id")
 
 
+def all_columns(spark, sf_dir):
+    """Nulls of every column that the models show, for every silver table, dimension, fact and mart."""
+    w = warehouse(spark, sf_dir)
+    return _union([dq.null_counts(frame(w, m), columns, m) for m, columns in _COLUMNS.items()])
+
+
+def more_unique(spark, sf_dir):
+    w = warehouse(spark, sf_dir)
+    return _union([dq.duplicates(frame(w, m), key).agg(F.lit(m).alias("table_name"), F.count(F.lit(1)).alias("violations")) for m, key in MORE_UNIQUE.items()])
+
+
+def product_financials(spark, sf_dir):
+    """Cost and margin of the completed lines against the product mart."""
+    w = warehouse(spark, sf_dir)
+    return dq.reconcile_totals(realized(w.fct_order_items), w.product_performance, {"cost": ("line_cost", "product_cost"), "margin": ("gross_margin", "gross_margin")}, "lines_to_products")
+
+
+def all_rules(spark, sf_dir):
+    """Every row rule of every contract table."""
+    w = warehouse(spark, sf_dir)
+    return _union([dq.rule_counts(w.silver(t), row_rules(t), t) for t in CONTRACTS])
+
+
+def more_natural_keys(spark, sf_dir):
+    w = warehouse(spark, sf_dir)
+    return _union([dq.duplicates(w.silver(t), key).agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("violations")) for t, key in NATURAL.items()])
+
+
+def tax_rule(spark, sf_dir):
+    """Orders whose tax is not 12 % of what is left after the discount."""
+    off = F.col("tax_amount") != F.round((F.col("subtotal") - F.col("discount_amount")) * F.lit("0.12").cast("decimal(3,2)"), 2)
+    return warehouse(spark, sf_dir).latest("orders").agg(F.count_if(off).alias("tax_off"))
+
+
+_COLUMNS = {m: [c.split(":")[0] for c in columns.split()] for m, (_, columns) in SHOWN.items()}
 QUERIES = {
     "dq01_not_null": not_null, "dq02_unique": unique, "dq03_version_unique": version_unique, "dq04_one_current": one_current, "dq05_overlaps": overlaps, "dq07_gaps": gaps,
     "dq08_unresolved_products": unresolved_products, "dq09_non_negative": non_negative, "dq10_reconciliations": reconciliations, "dq11_kpi_formulas": kpi_formulas, "dq12_cohort_rules": cohort_rules,
     "dq13_rfm_rules": rfm_rules, "dq14_source_rules": source_rules, "dq14_rejected": rejected_rows, "dq15_natural_keys": natural_keys, "dq16_money_rules": money_rules, "dq17_foreign_keys": foreign_keys,
-    "set2_key_differences": key_differences,
+    "set2_key_differences": key_differences, "dq01_all_columns": all_columns, "dq02_more_unique": more_unique, "dq10_product_financials": product_financials, "dq14_all_rules": all_rules,
+    "dq15_more_natural_keys": more_natural_keys, "dq16_tax_rule": tax_rule,
 }
 
 _DUP = "SELECT '{0}' AS table_name, count(*) AS violations FROM (SELECT 1 FROM {1} WHERE {2} GROUP BY {3} HAVING count(*) > 1)"
@@ -219,6 +273,12 @@ SQL = {
     "dq16_money_rules": over_warehouse(", li AS (SELECT order_id, sum(line_total) AS lines FROM l_order_items GROUP BY 1), pa AS (SELECT order_id, coalesce(sum(amount) FILTER (payment_status = 'paid'), 0) AS paid, count(*) FILTER (payment_status = 'refunded') AS refunds FROM l_payments GROUP BY 1), j AS (SELECT * FROM l_orders LEFT JOIN li USING (order_id) LEFT JOIN pa USING (order_id)) SELECT * FROM (SELECT count(*) FILTER (lines IS NULL) AS without_lines, count(*) FILTER (lines IS NOT NULL AND lines <> subtotal) AS subtotal_off, count(*) FILTER (total_amount <> subtotal - discount_amount + tax_amount) AS total_off, count(*) FILTER (order_status = 'completed' AND coalesce(paid, 0) <> total_amount) AS payments_off, count(*) FILTER (order_status = 'refunded' AND coalesce(refunds, 0) = 0) AS refund_missing, count(*) FILTER (order_status = 'cancelled' AND coalesce(paid, 0) > 0) AS cancelled_paid FROM j), (SELECT count(*) FILTER (abs(line_total - quantity * (line_total / quantity)::DECIMAL(12,2)) > 1) AS line_off FROM l_order_items)"),
     "dq17_foreign_keys": _all([f"SELECT '{c}.{k}' AS relation, count(*) AS violations FROM s_{c} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {pk} FROM s_{p})" for c, k, p, pk in REFERENCES]),
     "set2_key_differences": over_warehouse(", a AS (SELECT DISTINCT order_id FROM l_payments WHERE payment_status <> 'failed'), b AS (SELECT DISTINCT order_id FROM l_order_items) SELECT order_id, 'left' AS side FROM a WHERE order_id NOT IN (FROM b) UNION ALL SELECT order_id, 'right' FROM b WHERE order_id NOT IN (FROM a)"),
+    "dq01_all_columns": _all([f"SELECT '{m}' AS table_name, '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS nulls FROM {SHOWN[m][0]}" for m, cs in _COLUMNS.items() for c in cs]),
+    "dq02_more_unique": _all([_dup(m, SHOWN[m][0], k) if m in SHOWN else _dup(m, m, k) for m, k in MORE_UNIQUE.items()]),
+    "dq10_product_financials": over_warehouse(", t AS (" + _totals("lines_to_products", "fct_order_items", "product_performance", _DONE, {"cost": ("line_cost", "product_cost"), "margin": ("gross_margin", "gross_margin")}) + ") SELECT *, left_total = right_total AS agrees FROM t"),
+    "dq14_all_rules": _all([f"SELECT '{t}' AS table_name, '{n}' AS rule, count(*) FILTER (NOT coalesce({r}, true)) AS violations FROM s_{t}" for t in CONTRACTS for n, r in (SQL_RULES.get(t, {}) | MORE_RULES.get(t, {})).items()]),
+    "dq15_more_natural_keys": _all([_dup(t, f"s_{t}", k) for t, k in NATURAL.items()]),
+    "dq16_tax_rule": over_warehouse("SELECT count(*) FILTER (tax_amount <> round((subtotal - discount_amount) * 0.12, 2)) AS tax_off FROM l_orders"),
 }
 
 

@@ -50,14 +50,14 @@ SHOWN = {
 }
 
 
-def _frame(w, name: str) -> DataFrame:
+def frame(w, name: str) -> DataFrame:
     layer, _, table = name.partition("_")
     return w.silver(table) if layer == "silver" else w.latest(table) if layer == "latest" else w.mart(name)
 
 
 def _shown(name: str):
     def query(spark, sf_dir: str) -> DataFrame:
-        return plain(_frame(warehouse(spark, sf_dir), name).select(*[c.split(":")[0] for c in SHOWN[name][1].split()]))
+        return plain(frame(warehouse(spark, sf_dir), name).select(*[c.split(":")[0] for c in SHOWN[name][1].split()]))
 
     return query
 

@@ -72,13 +72,17 @@ def row_rules(table: str) -> dict[str, Column]:
     """Rules of one row, by name: true where the row is right; a null passes as a check constraint lets it."""
     c = F.col
     rules = {f"{column}_accepted": c(column).isin(*values) for (t, column), values in ACCEPTED.items() if t == table}
+    filled = lambda *names: {f"{n}_filled": F.trim(n) != "" for n in names}
     rules |= {
-        "stores": {"closed_has_date": (c("status") == "closed") == c("closed_date").isNotNull(), "closed_after_opened": c("closed_date") >= c("opened_date"), "name_not_blank": F.trim("store_name") != ""},
-        "products": {"price_not_negative": c("base_price") >= 0, "cost_not_negative": c("unit_cost") >= 0, "sku_not_blank": F.trim("sku") != ""},
+        "regions": filled("region_name"),
+        "areas": filled("area_name"),
+        "product_categories": filled("category_name"),
+        "stores": filled("store_code") | {"closed_has_date": (c("status") == "closed") == c("closed_date").isNotNull(), "closed_after_opened": c("closed_date") >= c("opened_date"), "name_not_blank": F.trim("store_name") != ""},
+        "products": filled("product_name") | {"price_not_negative": c("base_price") >= 0, "cost_not_negative": c("unit_cost") >= 0, "sku_not_blank": F.trim("sku") != ""},
         "customers": {"name_not_blank": F.trim("full_name") != ""},
-        "promotions": {"ends_after_start": c("end_date") >= c("start_date"), "percent_at_most_100": (c("promo_type") != "percent") | (c("discount_value") <= 100)},
-        "orders": {"discount_within_subtotal": c("discount_amount") <= c("subtotal"), "total_not_negative": c("total_amount") >= 0},
-        "order_items": {"quantity_positive": c("quantity") > 0, "line_not_negative": c("line_total") >= 0},
+        "promotions": filled("promo_code", "promo_name") | {"discount_positive": c("discount_value") > 0, "ends_after_start": c("end_date") >= c("start_date"), "percent_at_most_100": (c("promo_type") != "percent") | (c("discount_value") <= 100)},
+        "orders": {f"{n}_not_negative": c(n) >= 0 for n in ("subtotal", "discount_amount", "tax_amount")} | {"discount_within_subtotal": c("discount_amount") <= c("subtotal"), "total_not_negative": c("total_amount") >= 0},
+        "order_items": {"quantity_positive": c("quantity") > 0, "line_not_negative": c("line_total") >= 0, "price_not_negative": c("unit_price") >= 0, "discount_not_negative": c("line_discount") >= 0, "discount_within_gross": c("line_discount") <= c("quantity").cast("int") * c("unit_price")},
         "payments": {"amount_positive": c("amount") > 0},
     }.get(table, {})
     return {name: F.coalesce(rule, F.lit(True)) for name, rule in rules.items()}
