@@ -26,7 +26,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_substring_dedup": substring_dedup.SQL,
         "op4_url_filter": url_filter.SQL,
-        "op5_quality_classifier": quality_classifier.op5_quality_classifier,
         "op6_jaccard_join": jaccard_join.SQL,
         "op9_quality_rules": quality_rules.SQL,
     } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
