@@ -87,6 +87,13 @@ def overlaps(spark, sf_dir):
     return interval_overlaps(stretched, "store_id").select("store_id", "valid_from")
 
 
+def version_overlaps(spark, sf_dir):
+    """Overlapping versions of stores and products as they are."""
+    w = warehouse(spark, sf_dir)
+    named = lambda df, key, name: interval_overlaps(df, key).select(F.lit(name).alias("table_name"), F.col(key).alias("id"), "valid_from")
+    return named(w.store_versions, "store_id", "stores").unionByName(named(w.product_versions, "product_id", "products"))
+
+
 def gaps(spark, sf_dir):
     """Days without any order before them in the orders' own days."""
     days = realized(warehouse(spark, sf_dir).fct_orders).select("business_date").distinct()
@@ -231,7 +238,7 @@ QUERIES = {
     "dq08_unresolved_products": unresolved_products, "dq09_non_negative": non_negative, "dq10_reconciliations": reconciliations, "dq11_kpi_formulas": kpi_formulas, "dq12_cohort_rules": cohort_rules,
     "dq13_rfm_rules": rfm_rules, "dq14_source_rules": source_rules, "dq14_rejected": rejected_rows, "dq15_natural_keys": natural_keys, "dq16_money_rules": money_rules, "dq17_foreign_keys": foreign_keys,
     "set2_key_differences": key_differences, "dq01_all_columns": all_columns, "dq02_more_unique": more_unique, "dq10_product_financials": product_financials, "dq14_all_rules": all_rules,
-    "dq15_more_natural_keys": more_natural_keys, "dq16_tax_rule": tax_rule,
+    "dq15_more_natural_keys": more_natural_keys, "dq16_tax_rule": tax_rule, "dq05_version_overlaps": version_overlaps,
 }
 
 _DUP = "SELECT '{0}' AS table_name, count(*) AS violations FROM (SELECT 1 FROM {1} WHERE {2} GROUP BY {3} HAVING count(*) > 1)"
@@ -278,6 +285,7 @@ SQL = {
     "dq10_product_financials": over_warehouse(", t AS (" + _totals("lines_to_products", "fct_order_items", "product_performance", _DONE, {"cost": ("line_cost", "product_cost"), "margin": ("gross_margin", "gross_margin")}) + ") SELECT *, left_total = right_total AS agrees FROM t"),
     "dq14_all_rules": _all([f"SELECT '{t}' AS table_name, '{n}' AS rule, count(*) FILTER (NOT coalesce({r}, true)) AS violations FROM s_{t}" for t in CONTRACTS for n, r in (SQL_RULES.get(t, {}) | MORE_RULES.get(t, {})).items()]),
     "dq15_more_natural_keys": _all([_dup(t, f"s_{t}", k) for t, k in NATURAL.items()]),
+    "dq05_version_overlaps": _all([f"SELECT DISTINCT '{n}s' AS table_name, b.{n}_id AS id, b.valid_from FROM {n}_versions a JOIN {n}_versions b ON a.{n}_id = b.{n}_id AND a.valid_from < b.valid_from AND (a.valid_to IS NULL OR b.valid_from < a.valid_to)" for n in ("store", "product")]),
     "dq16_tax_rule": over_warehouse("SELECT count(*) FILTER (tax_amount <> round((subtotal - discount_amount) * 0.12, 2)) AS tax_off FROM l_orders"),
 }
 

@@ -134,6 +134,11 @@ def full_reconcile(spark, sf_dir):
     return ingest.reconcile_full(_orders(spark, sf_dir), held, ORDERS, F.lit(CUTOFF).cast("timestamp_ntz"))
 
 
+def untouched_reconcile(spark, sf_dir):
+    """All of bronze against the source."""
+    return ingest.reconcile_full(_orders(spark, sf_dir), bronze(spark, sf_dir, "orders"), ORDERS, F.lit(CUTOFF).cast("timestamp_ntz"))
+
+
 def freshness(spark, sf_dir):
     return ingest.check_freshness(_orders(spark, sf_dir), bronze(spark, sf_dir, "orders"), "updated_at")
 
@@ -188,7 +193,7 @@ def stream_day_counts(spark, sf_dir):
 
 QUERIES = {
     "ing2_incremental": incremental, "ing3_bootstrap": bootstrap, "ing4_full": full, "ing5_counts": counts, "snk5_landing_to_bronze": landing_to_bronze, "snk6_replayed": replayed, "snk6_replayed_days": replayed_days, "ing8_continuity": continuity,
-    "ing11_plan": extract_plan, "rec1_audit": audit, "rec2_local": local_reconcile, "rec3_full": full_reconcile, "rec4_freshness": freshness, "cdc1_changes": changes, "spn3_dayparts": minutes,
+    "ing11_plan": extract_plan, "rec1_audit": audit, "rec2_local": local_reconcile, "rec3_full": full_reconcile, "rec3_untouched": untouched_reconcile, "rec4_freshness": freshness, "cdc1_changes": changes, "spn3_dayparts": minutes,
     "str1_bronze": stream_bronze, "str2_without_replays": stream_without_replays, "str3_day_counts": stream_day_counts,
 }
 
@@ -215,6 +220,7 @@ SQL = {
     "str2_without_replays": over_warehouse("SELECT order_status, count(*) AS versions FROM s_orders GROUP BY 1"),
     "str3_day_counts": f"SELECT (ts + INTERVAL {ZONE_HOURS} HOUR)::DATE AS business_date, count(*) AS events FROM events GROUP BY 1",
 }
+SQL["rec3_untouched"] = SQL["rec3_full"].replace(" AND order_id % 100 <> 1", "")
 
 
 def queries() -> dict:
