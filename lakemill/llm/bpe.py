@@ -6,18 +6,24 @@ adds up to the word's number, and the number points to the word's ids. The autom
 arrays in one file, which Spark sends to every executor and each worker maps into memory. Words that
 it lacks are merged exactly, so its size changes the speed and never the ids.
 
+A worker takes some megabytes of text at a time and cuts them into words with arrays over their
+characters; each different word is looked up once, and the ids of all words are put together by one
+gather. Many short words merge side by side, a long word by a heap of its pairs, so the time follows the
+length of a text even where it has no break.
+
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows are
 encoded one by one; other columns pass through. The special token's own string in a text is that token.
 """
 
 from __future__ import annotations
 
+import atexit
+import heapq
 import json
 import re
+import shutil
 import tempfile
 import uuid
-from collections import Counter
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -36,15 +42,14 @@ from lakemill.sources.tables import read_table
 #: Words in the automaton at most, and how often a word must stand in the corpus to be counted as frequent.
 LEXICON_WORDS = 150_000
 LEAST_COUNT = 3
-#: Pieces that a worker remembers before it starts anew, and pieces that a counting step holds before it passes them on.
-REMEMBERED = 200_000
-COUNTED_AT_ONCE = 300_000
-NO_PAIR = np.int64(1) << 60
-#: Fixed value: the pattern that cuts a text into words for this vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space and the run after it never share a word with what follows, so texts are cut here first.
-SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"
+#: Bytes of text in one step of a worker.
+STEP_BYTES = 4_000_000
+#: Words of more bytes are merged one by one, with a heap.
+LONG_WORD = 128
+NO_PAIR = np.int64(1) << 62
+#: What follows an apostrophe as a word of its own.
+CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
+SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 
 def printable_bytes() -> dict[str, int]:
@@ -55,6 +60,30 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b) if b in shown else chr(next(rest)): b for b in range(256)}
 
 
+class Runs:
+    """Many runs of numbers in one array; ``edges`` says where each begins and the last ends."""
+
+    def __init__(self, data: np.ndarray, edges: np.ndarray) -> None:
+        self.data, self.edges = data, edges
+
+    @classmethod
+    def of(cls, runs: list) -> Runs:
+        return cls(np.concatenate([np.asarray(r) for r in runs]) if runs else np.zeros(0, np.int64), np.cumsum([0, *map(len, runs)]))
+
+    @classmethod
+    def joined(cls, parts: list[Runs]) -> Runs:
+        return cls(np.concatenate([p.data for p in parts]), np.r_[0, np.cumsum(np.concatenate([p.lengths() for p in parts]))])
+
+    def lengths(self) -> np.ndarray:
+        return np.diff(self.edges)
+
+    def pick(self, which: np.ndarray) -> Runs:
+        """The runs of these numbers, in this order."""
+        lengths = self.lengths()[which]
+        edges = np.r_[0, np.cumsum(lengths)]
+        return Runs(self.data[np.repeat(self.edges[:-1][which] - edges[:-1], lengths) + np.arange(edges[-1])], edges)
+
+
 class Vocabulary:
     """Ids, bytes and merge ranks from a tokenizer file."""
 
@@ -62,45 +91,98 @@ class Vocabulary:
         model = json.loads(content)
         byte_of = printable_bytes()
         raw = lambda token: bytes(byte_of[c] for c in token)
+        self.long_ranks: dict[int, int] | None = None
         self.special = {x["content"]: x["id"] for x in model["added_tokens"]}
         vocab = {t: i for t, i in model["model"]["vocab"].items() if t not in self.special}
         self.bytes_of = {i: raw(t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
-        self.byte_id = [vocab[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])]
+        self.byte_id = np.array([vocab[c] for c, _ in sorted(byte_of.items(), key=lambda x: x[1])], np.int64)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"]]
-        #: Rank and merged id in one number, by both ids in one number.
-        merged = {vocab[a] << 20 | vocab[b]: rank << 20 | vocab[a + b] for rank, (a, b) in enumerate(merges)}
-        self.pairs = np.array(sorted(merged), np.int64)
-        self.results = np.array([merged[k] for k in self.pairs.tolist()], np.int64)
-
-    def merge(self, words: list[bytes]) -> list[bytes]:
-        """The ids of many words, as bytes of 32-bit numbers.
-
-        In each round every word merges its pair of the lowest rank, the leftmost among equals; words
-        without such a pair are done and leave.
+        #: Both ids in one number, sorted, and the ranks; a rank gives the merged id.
+        ranks = {vocab[a] << 20 | vocab[b]: rank for rank, (a, b) in enumerate(merges)}
+        self.merged = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.pairs = np.array(sorted(ranks), np.int64)
+        self.ranks = np.array([ranks[k] for k in self.pairs.tolist()], np.int64)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, or NO_PAIR; a negative id has no pair."""
+        key = np.where((left < 0) | (right < 0), -1, left << 20 | right)
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.ranks[at], NO_PAIR)
+
+    def merge(self, words: Runs) -> Runs:
+        """The ids of many words."""
+        long = np.flatnonzero(words.lengths() > LONG_WORD)
+        short = np.flatnonzero(words.lengths() <= LONG_WORD)
+        parts = [self.merge_short(words.pick(short)), *(Runs.of([self.merge_long(words.data[words.edges[i] : words.edges[i + 1]])]) for i in long.tolist())]
+        return Runs.joined(parts).pick(np.argsort(np.r_[short, long]))
+
+    def merge_short(self, words: Runs) -> Runs:
+        """In each round every word merges its pair of the lowest rank, the leftmost among equals.
+
+        A pair is its rank and the place of its left part in one number, so the least number of a word is
+        the pair to merge. Merged parts are chained, not moved, and only the two pairs beside a merge are
+        looked up again. Words without a pair leave when they are the greater part.
         """
-        out: list[bytes] = [b""] * len(words)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        ids = np.array(self.byte_id, np.int64)[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.arange(len(words))
+        lengths, word = words.lengths(), np.arange(len(words.edges) - 1)
+        word, lengths = word[lengths > 0], lengths[lengths > 0]
+        ids = self.byte_id[words.data]
+        ready: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.flatnonzero(words.lengths() == 0), np.zeros((words.lengths() == 0).sum(), np.int64), ids[:0])]
         while len(word):
-            starts = np.cumsum(lengths) - lengths
-            key = ids << 20
-            key[:-1] |= ids[1:]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            rank = np.where(self.pairs[at] == key, self.results[at], NO_PAIR)
-            rank[starts + lengths - 1] = NO_PAIR
-            best = np.minimum.reduceat(rank, starts)
-            place = np.arange(len(ids))
-            first = np.minimum.reduceat(np.where(rank == np.repeat(best, lengths), place, len(ids)), starts)
-            done = best == NO_PAIR
-            ready, ended = ids.astype(np.int32), starts + lengths
-            for i in np.flatnonzero(done).tolist():
-                out[word[i]] = ready[starts[i] : ended[i]].tobytes()
-            ids[first[~done]] = best[~done] & 0xFFFFF
-            kept = np.repeat(~done, lengths)
-            kept[first[~done] + 1] = False
-            ids, word, lengths = ids[kept], word[~done], lengths[~done] - 1
-        return out
+            n, starts = len(ids), np.cumsum(lengths) - lengths
+            #: The place after the last stands for "nothing beside".
+            after, before, part = np.arange(1, n + 1), np.append(np.arange(-1, n - 1), n), np.append(ids, -1)
+            after[starts + lengths - 1], before[starts] = n, n
+            rank = self.rank_of(ids, part[after])
+            pair = np.append(np.where(rank == NO_PAIR, NO_PAIR, rank << 40 | np.arange(n)), NO_PAIR)
+            best = np.minimum.reduceat(pair[:n], starts)
+            while 2 * np.count_nonzero(best != NO_PAIR) > len(word):
+                best = best[best != NO_PAIR]
+                at = best & ((1 << 40) - 1)
+                gone = after[at]
+                part[at], part[gone], pair[gone] = self.merged[best >> 40], -2, NO_PAIR
+                after[at] = after[gone]
+                before[after[at]] = at
+                before[n] = n
+                beside = np.concatenate([at, before[at]])
+                beside = beside[beside < n]
+                rank = self.rank_of(part[beside], part[after[beside]])
+                pair[beside] = np.where(rank == NO_PAIR, NO_PAIR, rank << 40 | beside)
+                best = np.minimum.reduceat(pair[:n], starts)
+            kept = part[:n] >= 0
+            lengths = np.add.reduceat(kept, starts, dtype=np.int64)
+            ids, done = part[:n][kept], best == NO_PAIR
+            gone = np.repeat(done, lengths)
+            ready.append((word[done], lengths[done], ids[gone]))
+            ids, word, lengths = ids[~gone], word[~done], lengths[~done]
+        order, lengths, ids = (np.concatenate(x) for x in zip(*ready))
+        return Runs(ids, np.r_[0, np.cumsum(lengths)]).pick(np.argsort(order))
+
+    def merge_long(self, word: np.ndarray) -> np.ndarray:
+        """The same for one word, with a heap of its pairs: n log n in its length."""
+        part = self.byte_id[word]
+        first = self.rank_of(part[:-1], part[1:])
+        there = np.flatnonzero(first != NO_PAIR)
+        heap = list(zip(first[there].tolist(), there.tolist(), part[there].tolist(), part[there + 1].tolist()))
+        heapq.heapify(heap)
+        ids, n = part.tolist(), len(part)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        rank_of = dict(zip(self.pairs.tolist(), self.ranks.tolist())) if self.long_ranks is None else self.long_ranks
+        self.long_ranks, merged = rank_of, self.merged
+        while heap:
+            rank, at, left, right = heapq.heappop(heap)
+            to = after[at]
+            if ids[at] != left or to >= n or ids[to] != right:
+                continue
+            ids[at], ids[to] = int(merged[rank]), -1
+            after[at] = after[to]
+            if after[at] < n:
+                before[after[at]] = at
+            for a, b in ((before[at], at), (at, after[at])):
+                if a >= 0 and b < n:
+                    fresh = rank_of.get(ids[a] << 20 | ids[b])
+                    if fresh is not None:
+                        heapq.heappush(heap, (fresh, a, ids[a], ids[b]))
+        return np.array([x for x in ids if x >= 0], np.int64)
 
 
 def compile_lexicon(words: dict[bytes, bytes]) -> bytes:
@@ -163,91 +245,168 @@ class Lexicon:
             at += n
         self.final, self.edge, self.target, self.skip, self.offsets, self.ids = parts
 
-    def find(self, words: list[bytes]) -> list[bytes | None]:
-        """The ids of each word that is there, as bytes; all words take a step together."""
-        n = len(words)
-        lengths = np.fromiter(map(len, words), np.int64, n)
-        starts = np.cumsum(lengths) - lengths
-        text = np.frombuffer(b"".join(words), np.uint8)
-        state, number = np.full(n, self.root), np.zeros(n, np.int64)
+    def find(self, words: Runs) -> np.ndarray:
+        """The number of each word, or -1; all words take a step together."""
+        lengths, starts = words.lengths(), words.edges[:-1]
+        n = len(lengths)
+        state, number = np.full(n, self.root, np.int64), np.zeros(n, np.int64)
         alive = np.arange(n if len(self.edge) else 0)
         for step in range(int(lengths.max(initial=0))):
             alive = alive[lengths[alive] > step]
-            key = state[alive] << 8 | text[starts[alive] + step]
+            key = state[alive] << 8 | words.data[starts[alive] + step]
             at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
             there = self.edge[at] == key
             state[alive[~there]] = -1
             alive, at = alive[there], at[there]
             number[alive] += self.skip[at]
             state[alive] = self.target[at]
-            alive = alive[state[alive] >= 0]
             if not len(alive):
                 break
-        good = (state >= 0) & (self.final[state] > 0)
-        first, last = self.offsets[np.where(good, number, 0)], self.offsets[np.where(good, number + 1, 0)]
-        return [self.ids[a:b].tobytes() if ok else None for ok, a, b in zip(good.tolist(), first.tolist(), last.tolist())]
+        return np.where((state >= 0) & (self.final[state] > 0), number, -1)
+
+    def outputs(self) -> Runs:
+        """The ids of each word, by its number."""
+        return Runs(self.ids, self.offsets)
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a column, and where each begins and the last ends; a null has none."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    data = column.buffers()[2]
+    if data is None or not len(column):
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)
+    offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if (np.diff(offsets) == lengths).all():
+        return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+    return text_bytes(pc.fill_null(column, ""))
+
+
+def character_classes() -> np.ndarray:
+    """The class of each code point."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
+        for found in regex.finditer(pattern, every):
+            a, b = ord(found[0][0]), ord(found[0][-1])
+            #: A run may reach over the gap of the surrogates, which no text has.
+            out[a : b + 1] = kind
+    return out
+
+
+def code_points(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The code points of the UTF-8 characters that begin at the places ``at``."""
+    lead = data[at].astype(np.uint32)
+    out = lead.copy()
+    for least, more in ((0xC0, 1), (0xE0, 2), (0xF0, 3)):
+        wide = np.flatnonzero((lead >= least) & (lead < (0xE0, 0xF0, 0xF8)[more - 1]))
+        point = lead[wide] & (0x3F >> more)
+        for i in range(1, more + 1):
+            point = point << 6 | data[np.minimum(at[wide] + i, len(data) - 1)] & 0x3F
+        out[wide] = point
+    return np.minimum(out, 0x10FFFF)
+
+
+class Words:
+    """Texts cut into words.
+
+    A word is a run of letters, of numbers or of other characters, each with one blank before it, or
+    white space: the last of a run of white space before something else stands alone, unless it is the
+    blank that belongs to the next word. An apostrophe that begins a word and one of CONTRACTIONS after it
+    are a word. Special tokens are words of their own, and what stands beside them is cut apart.
+    """
+
+    def __init__(self, special: list[str]) -> None:
+        self.classes = character_classes()
+        self.special = [x.encode() for x in special]
+        self.pattern = re.compile(b"|".join(map(re.escape, self.special))) if special else None
+
+    def cut(self, column: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """All words, as numbers of the different ones, and where each text's words begin and the last end."""
+        data, offsets = text_bytes(column)
+        at = np.flatnonzero((data & 0xC0) != 0x80)
+        first = np.zeros(len(data) + 1, bool)
+        first[offsets] = True
+        inside = []
+        for special in self.special:
+            for i in np.flatnonzero(pc.fill_null(pc.match_substring(column, special.decode()), False).to_numpy(zero_copy_only=False)).tolist():
+                for found in self.pattern.finditer(data[offsets[i] : offsets[i + 1]].tobytes()):
+                    inside.append(offsets[i] + np.array(found.span()))
+                    first[inside[-1]] = True
+        begins = np.zeros(len(data) + 1, bool)
+        begins[at[self.begins(code_points(data, at), first[at])]] = True
+        for a, b in inside:
+            begins[a + 1 : b] = False
+        begins[-1] = False
+        edges = np.append(np.flatnonzero(begins), len(data))
+        words = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+        return words.dictionary_encode(), np.searchsorted(edges, offsets)
+
+    def begins(self, point: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Which characters begin a word; ``first`` says which begin a text or stand beside a special token."""
+        n, kind = len(point), self.classes[point]
+        space = kind == SPACE
+        last = np.append(first[1:], True)
+        new, blank_before = np.ones(n, bool), np.zeros(n, bool)
+        new[1:] = first[1:] | (kind[1:] != kind[:-1])
+        blank_before[1:] = (point[:-1] == ord(" ")) & ~first[1:]
+        begins = first | (new & ~(blank_before & ~space))
+        begins[:-1] |= space[:-1] & ~space[1:] & ~last[:-1]
+        quotes = np.flatnonzero((point == ord("'")) & begins)
+        for tail in CONTRACTIONS:
+            there = quotes[quotes + len(tail) < n]
+            for i, letter in enumerate(tail):
+                there = there[(point[there + i + 1] == ord(letter)) & ~first[there + i + 1]]
+            begins[there + 1] = False
+            behind = there + 1 + len(tail)
+            begins[behind[behind < n]] = True
+        return begins
 
 
 class Encoder:
-    """Texts to ids in one worker; ids are kept as the bytes of 32-bit numbers, so pieces join without a loop."""
+    """Texts to ids in one worker."""
 
     def __init__(self, vocabulary: str, lexicon: str | None) -> None:
         self.vocabulary = Vocabulary(vocabulary)
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self.words = regex.compile(PATTERN).findall
-        self.chunks = re.compile(CHUNK).findall
-        self.special = re.compile("(" + "|".join(map(re.escape, self.vocabulary.special)) + ")") if self.vocabulary.special else None
-        self.known: dict[str, bytes] = {}
-        self.known_words: dict[str, bytes] = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        """Ids of chunks that are not known yet; what is remembered starts anew when it is full."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = [c for c in chunks if c not in self.known]
-        if len(self.known_words) > REMEMBERED:
-            self.known_words.clear()
-        cut = list(map(self.words, fresh))
-        new = list(set(chain.from_iterable(cut)).difference(self.known_words))
-        raw = [w.encode("utf-8") for w in new]
-        ids = self.lexicon.find(raw) if self.lexicon else [None] * len(raw)
-        missing = [i for i, x in enumerate(ids) if x is None]
-        for i, x in zip(missing, self.vocabulary.merge([raw[i] for i in missing])):
-            ids[i] = x
-        self.known_words.update(zip(new, ids))
-        of_word = self.known_words.__getitem__
-        self.known.update(zip(fresh, (b"".join(map(of_word, words)) for words in cut)))
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [(self.special.split(t) if self.special else [t]) if t else [] for t in texts]
-        chunks = [[p if i % 2 else self.chunks(p) for i, p in enumerate(ps)] for ps in parts]
-        self.learn(set().union(*(c for ps in chunks for c in ps[::2])))
-        of_chunk, out = self.known.__getitem__, []
-        for ps in chunks:
-            pieces = [np.int32(self.vocabulary.special[p]).tobytes() if i % 2 else b"".join(map(of_chunk, p)) for i, p in enumerate(ps)]
-            out.append(np.frombuffer(b"".join(pieces), np.int32))
-        return out
+        self.words = Words(list(self.vocabulary.special))
+        #: Different words that were looked up, and how many of them the automaton had.
+        self.asked = self.answered = 0
+
+    def ids_of(self, words: pa.LargeBinaryArray) -> Runs:
+        """The ids of different words: from the automaton, or merged."""
+        edges, data = words.buffers()[1:]
+        asked = Runs(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), np.frombuffer(edges, np.int64)[: len(words) + 1])
+        number = self.lexicon.find(asked) if self.lexicon else np.full(len(words), -1)
+        missing = np.flatnonzero(number < 0)
+        self.asked, self.answered = self.asked + len(words), self.answered + len(words) - len(missing)
+        merged = self.vocabulary.merge(asked.pick(missing))
+        known = self.lexicon.outputs() if self.lexicon else Runs(merged.data[:0], np.zeros(1, np.int64))
+        number[missing] = len(known.edges) - 1 + np.arange(len(missing))
+        special = list(self.vocabulary.special)
+        for i, token in enumerate(special):
+            number[pc.equal(words, token.encode()).to_numpy(zero_copy_only=False)] = len(known.edges) - 1 + len(missing) + i
+        return Runs.joined([known, merged, Runs.of([[self.vocabulary.special[x]] for x in special])]).pick(number)
+
+    def encode(self, column: pa.Array) -> pa.ListArray:
+        """The ids of each text of a column."""
+        words, bounds = self.words.cut(column)
+        ids = self.ids_of(words.dictionary)
+        numbers = words.indices.to_numpy()
+        edges = np.r_[0, np.cumsum(ids.lengths()[numbers])][bounds]
+        return pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.pick(numbers).data.astype(np.int32)))
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n) over all texts; each task sums up before the shuffle."""
+    """(word, n) over all texts; each step and each task sum up before the shuffle."""
 
     def count(batches):
-        cut, chunks, held = regex.compile(PATTERN).findall, re.compile(CHUNK).findall, Counter()
+        words = Words([])
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                held.update(chunks(value or ""))
-                if len(held) >= COUNTED_AT_ONCE:
-                    yield flush(held, cut)
-        yield flush(held, cut)
-
-    def flush(held, cut):
-        words: dict[str, int] = {}
-        for chunk, n in held.items():
-            for word in cut(chunk):
-                words[word] = words.get(word, 0) + n
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
+            for a, b in slices_of(batch.column(0), STEP_BYTES):
+                found = words.cut(batch.column(0)[a:b])[0]
+                times = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+                yield pa.RecordBatch.from_arrays([found.dictionary.cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"])
 
     return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -265,10 +424,14 @@ def build_lexicon(docs: DataFrame, vocabulary: str, text: str = "text", most: in
         least = row["level"]
     frequent = counted.filter(level >= least).select("word").collect() if least is not None else []
     words = [r["word"].encode("utf-8") for r in frequent]
-    content = compile_lexicon(dict(zip(words, Vocabulary(vocabulary).merge(words))))
+    merged = Vocabulary(vocabulary).merge(Runs.of([np.frombuffer(w, np.uint8) for w in words]) if words else Runs(np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+    ids = merged.data.astype(np.int32)
+    content = compile_lexicon({w: ids[a:b].tobytes() for w, a, b in zip(words, merged.edges.tolist(), merged.edges[1:].tolist())})
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     #: Executors fetch the file from the driver when their first task needs it, so it stays for the session.
-    path = Path(tempfile.mkdtemp(prefix="lexicon-"), name)
+    folder = tempfile.mkdtemp(prefix="lexicon-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = Path(folder, name)
     path.write_bytes(content)
     docs.sparkSession.sparkContext.addFile(str(path))
     return name
@@ -278,18 +441,27 @@ class Decoder:
     """Lists of ids to texts; bytes that are not UTF-8 become U+FFFD."""
 
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.table = np.empty(max(vocabulary.bytes_of) + 1, object)
-        self.table[list(vocabulary.bytes_of)] = list(vocabulary.bytes_of.values())
+        table: list[bytes | None] = [None] * (max(vocabulary.bytes_of) + 1)
+        for i, raw in vocabulary.bytes_of.items():
+            table[i] = raw
+        self.table = pa.array(table, pa.large_binary())
 
     def decode(self, column: pa.ListArray) -> pa.Array:
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
-        return pa.array([b"".join(self.table[flat[a:b]]).decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends)], pa.string())
-
-
-def as_lists(lists: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.cumsum([0, *map(len, lists)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
+        """One gather puts the bytes of all tokens in a row; texts are ranges of them."""
+        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        taken = self.table.take(column.flatten())
+        if taken.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        edges, data = taken.buffers()[1:]
+        ends = np.r_[0, np.cumsum(lengths)].astype(np.int64)
+        edges = np.frombuffer(edges, np.int64)[ends] if len(taken) else np.zeros(len(ends), np.int64)
+        texts = pa.Array.from_buffers(pa.large_string(), len(column), [None, pa.py_buffer(edges), data if data is not None else pa.py_buffer(b"")])
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:
+            raw = texts.view(pa.large_binary()).to_pylist()
+            return pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())
+        return texts.cast(pa.string())
 
 
 def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -308,8 +480,8 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, text: s
             made.append(Encoder(shared.value, SparkFiles.get(lexicon) if lexicon else None))
             made.append(Decoder(made[0].vocabulary))
         ids, texts = [], []
-        for a, b in slices_of(column):
-            ids.append(as_lists(made[0].encode(column[a:b].to_pylist())))
+        for a, b in slices_of(column, STEP_BYTES):
+            ids.append(made[0].encode(column[a:b]))
             texts.append(made[1].decode(ids[-1]) if decoded else pa.nulls(b - a, pa.string()))
         join = lambda parts, kind: pa.concat_arrays(parts) if parts else pa.array([], kind)
         return pa.StructArray.from_arrays([join(ids, pa.list_(pa.int32())), join(texts, pa.string())], ["ids", "decoded"])

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import random
+import time
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -19,11 +25,20 @@ ODD = [
 ]
 
 
+ENCODER = functools.cache(lambda: bpe.Encoder(bpe.vocabulary_file(PATH), None))
+LIBRARY = functools.cache(lambda: Tokenizer.from_file(PATH))
+DECODER = functools.cache(lambda: bpe.Decoder(ENCODER().vocabulary))
+
+
 def noise(n):
     rng = random.Random(1)
     return ["".join(rng.choice(" \n\t'stremdvl0a1é!?\xa0\u3000\x1c日🙂<|") for _ in range(rng.randint(1, 60))) for _ in range(n)]
 
 
+def runs(words):
+    return bpe.Runs.of([np.frombuffer(w, np.uint8) for w in words])
+
+
 def expected(text):
     tokenizer = Tokenizer.from_file(PATH)
     tokenizer.no_truncation()
@@ -34,7 +49,28 @@ def expected(text):
 def test_merging_equals_the_library_without_an_automaton():
     encoder = bpe.Encoder(bpe.vocabulary_file(PATH), None)
     texts = [*ODD, *noise(300)]
-    assert [x.tolist() for x in encoder.encode(texts)] == [expected(t)[0] for t in texts]
+    assert encoder.encode(pa.array(texts, pa.string())).to_pylist() == [expected(t)[0] for t in texts]
+    assert encoder.encode(pa.array([*texts, "x"], pa.string())[5:9]).to_pylist() == [expected(t)[0] for t in texts[5:9]]
+    assert encoder.encode(pa.array([], pa.string())).to_pylist() == encoder.encode(pa.array([None, ""], pa.string())).to_pylist()[2:] == []
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'stremdvlTX0½!-_\xa0\u3000\x1c\x85日é<|endoftext>"), st.characters(codec="utf-8")), max_size=40) | st.none() | st.just("a<|endoftext|> b"), max_size=5))
+def test_any_text_equals_the_library(texts):
+    encoder, tokenizer, decoder = ENCODER(), LIBRARY(), DECODER()
+    ids = encoder.encode(pa.array(texts, pa.string()))
+    assert ids.to_pylist() == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert decoder.decode(ids).to_pylist() == [t or "" for t in texts]
+
+
+def test_long_words_merge_in_time_and_equal_the_library():
+    rng = random.Random(7)
+    texts = ["a" * 200_000, "".join(rng.choices("etaoinshr", k=200_000)), "日本" * 30_000, "-=" * 100_000, "ab" * 60 + " " + "x" * 129]
+    encoder = bpe.Encoder(bpe.vocabulary_file(PATH), None)
+    began = time.time()
+    got = encoder.encode(pa.array(texts, pa.string())).to_pylist()
+    assert time.time() - began < 60
+    assert got == [expected(t)[0] for t in texts]
 
 
 def test_automaton_is_minimal_and_exact(tmp_path):
@@ -42,12 +78,13 @@ def test_automaton_is_minimal_and_exact(tmp_path):
     file = tmp_path / "lexicon.bin"
     file.write_bytes(bpe.compile_lexicon(words))
     lexicon = bpe.Lexicon(str(file))
-    assert lexicon.find(list(words)) == list(words.values())
-    assert lexicon.find([b"", b"t", b"ta", b"tapsy", b"zz", b"\xff"]) == [None] * 6
+    number, ids = lexicon.find(runs(list(words))), lexicon.outputs()
+    assert [ids.data[ids.edges[i] : ids.edges[i + 1]].tobytes() for i in number] == list(words.values())
+    assert lexicon.find(runs([b"", b"t", b"ta", b"tapsy", b"zz", b"\xff"])).tolist() == [-1] * 6
     # root, t, the shared "ap"/"op" tails with an optional s, s, st, sto, the last p, and the end
     assert len(lexicon.final) < sum(map(len, words)) and len(set(zip(lexicon.edge.tolist(), lexicon.target.tolist()))) == len(lexicon.edge)
     file.write_bytes(bpe.compile_lexicon({}))
-    assert bpe.Lexicon(str(file)).find([b"x"]) == [None]
+    assert bpe.Lexicon(str(file)).find(runs([b"x"])).tolist() == [-1]
 
 
 def test_query_equals_the_library(spark, docs, tables):
@@ -64,7 +101,7 @@ def test_query_equals_the_library(spark, docs, tables):
 def test_word_counts_and_broken_bytes(spark, docs):
     counted = {r["word"]: r["n"] for r in bpe.word_counts(docs(["the cat the", None, "", "the cat"])).collect()}
     assert counted == {"the": 2, " cat": 2, " the": 1}
-    half = spark.createDataFrame([(bpe.Vocabulary(bpe.vocabulary_file(PATH)).byte_id[0xE9:0xEA],), (None,), ([],)], "ids array<int>")
+    half = spark.createDataFrame([(bpe.Vocabulary(bpe.vocabulary_file(PATH)).byte_id[0xE9:0xEA].tolist(),), (None,), ([],)], "ids array<int>")
     assert sorted(r["decoded"] for r in bpe.decode(half, bpe.vocabulary_file(PATH)).collect()) == ["", "", "\ufffd"]
 
 
