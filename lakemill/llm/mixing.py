@@ -67,6 +67,8 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     state = targets.withColumn("repeats", full).select(
         "source", "source_size", "target", "repeats", (F.col("target") - F.col("repeats") * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("prefix")
     )
+    #: A source whose budget whole repeats use up takes no document once more, not even an empty one.
+    state = state.withColumn("partly", F.col("rest") > 0)
     few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     small = F.broadcast if few else (lambda df: df)
     for level in range(LEVELS):
@@ -88,6 +90,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
                 "source_size",
                 "target",
                 "repeats",
+                "partly",
                 (F.col("rest") - F.coalesce(F.col("edge.before"), F.lit(0))).alias("rest"),
                 F.coalesce(F.col("edge.bucket"), F.shiftleft("prefix", LEVEL_BITS)).alias("prefix"),
                 F.coalesce(F.col("edge.cell"), F.lit(0)).alias("cell"),
@@ -95,7 +98,8 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         )
     #: The last bucket comes along where that brings the sum nearer to the budget.
     along = (2 * F.col("rest") >= F.col("cell")) & (F.col("cell") > 0)
-    return small(state.select(F.col("source").alias("s"), "source_size", "target", "repeats", (F.col("prefix") + along.cast("long")).alias("below")))
+    below = F.when(F.col("partly"), F.col("prefix") + along.cast("long")).otherwise(F.lit(0))
+    return small(state.select(F.col("source").alias("s"), "source_size", "target", "repeats", below.alias("below")))
 
 
 def mix_hash(key: str, text: str) -> Column:

@@ -59,6 +59,23 @@ def test_mix_of_nothing_and_of_a_single_source(docs):
     assert {(r["size"], r["target"]) for r in mixing.mix(docs([None, ""])).collect()} == {(0, 0.0)}
 
 
+def test_a_source_at_its_cap_gives_no_text_a_fourth_time(docs):
+    texts = ["", None, "a", "b c", ""] * 8 + ["w " * 500] * 9
+    df = docs(texts, source=lambda i: "small" if i < 40 else "z")
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(df, weights=(1000, 1)).collect()}
+    assert {copies[i] for i in range(40)} == {3}
+    assert mixing.take(df, weights=(1000, 1)).filter("doc_id < 40").count() == 120
+
+
+def test_mix_of_repeated_rows_and_ties(docs, spark):
+    df = spark.createDataFrame([(1, "a b", "en", "s", 3)] * 50 + [(i, "a b", "en", "t", 3) for i in range(2, 80)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mix(df).collect()
+    assert len(got) == 128 and len({r["copies"] for r in got if r["doc_id"] == 1}) == 1
+    taken = sum(r["size"] * r["copies"] for r in got if r["doc_id"] > 1)
+    target = next(r["target"] for r in got if r["doc_id"] > 1)
+    assert abs(taken - target) <= 2
+
+
 def test_mix_uses_no_python_workers(spark, docs):
     plan = mixing.mix(docs(["a"]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -88,13 +105,30 @@ def test_shards_are_even_groups_stay_and_slots_have_no_gaps(docs):
 
 def test_longest_first_is_the_greedy_rule():
     rng = random.Random(1)
-    items = [(rng.randint(1, 50), f"i{k}") for k in range(60)]
-    loads, want = [0] * 5, {}
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        s = min(range(5), key=lambda k: (loads[k], k))
-        loads[s] += size
-        want[name] = s
-    assert sharding.longest_first(items, 5) == want
+    for shards in (1, 5, 8):
+        items = [(rng.choice([1, 2, 3, 7, 50, 51, 400]), rng.randint(1, 9)) for _ in range(12)]
+        counts = defaultdict(int)
+        for size, n in items:
+            counts[size] += n
+        loads, want = [0] * shards, {size: [0] * shards for size in counts}
+        for size in sorted((s for s, n in counts.items() for _ in range(n)), reverse=True):
+            s = min(range(shards), key=lambda k: (loads[k], k))
+            loads[s] += size
+            want[size][s] += 1
+        assert sharding.longest_first(list(counts.items()), shards) == want
+    assert sum(sharding.longest_first([(10**9, 1), (3, 10**9)], 8)[3]) == 10**9
+
+
+def test_groups_of_one_size_and_ties_are_dealt_evenly(docs):
+    texts = [f"{i:05d}" for i in range(805)] + ["x" * 100] * 3 + ["y" * 100] * 3
+    got = sharding.assign(docs(texts)).collect()
+    load = defaultdict(int)
+    for r in got:
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) - min(load.values()) <= 6
+    assert len({r["shard"] for r in got if r["size"] == 101}) == 2
+    again = sharding.assign(docs(texts)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
 
 
 URLS = [
@@ -133,6 +167,25 @@ def test_reputation_shrinks_towards_the_domain(spark):
     assert upper["one.b.org"] > 0.5 and upper["far.io"] > 0.5
 
 
+def test_only_a_host_of_blocked_pages_is_blocked(spark):
+    bad, good = "http://bad.example.net", "http://fine.example.net"
+    urls = [f"{bad}/es/{i}" for i in range(60)] + [f"{bad}/de/1"] + [f"{good}/es/{i}" for i in range(10)] + [f"{good}/de/{i}" for i in range(30)]
+    urls += ["http://a.org/1", "http://few.example.net/fr/1", "http://few.example.net/de/1", "", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    verdict = {urls[r["page_id"]]: r["verdict"] for r in url_filter.judge(df).collect()}
+    assert verdict[f"{bad}/de/1"] == "block"
+    assert {verdict[u] for u in urls if u and (u.startswith(f"{good}/de") or "few.example.net/de" in u or ".org" in u)} == {"allow"}
+    assert verdict[""] == verdict[None] == "allow"
+
+
+def test_given_pages_without_a_rule_are_allowed_but_not_those_of_a_bad_host(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    planted = spark.createDataFrame([(10**6 + i, f"https://planted.example.net/{'fr' if i else 'de'}/{i}") for i in range(80)], "page_id long, url string")
+    rows = url_filter.judge(given.unionByName(planted)).filter("rule is null").collect()
+    assert {r["verdict"] for r in rows if r["host"].endswith(".org")} == {"allow"}
+    assert {r["verdict"] for r in rows if r["host"] == "planted.example.net"} == {"block"}
+
+
 def test_url_query_equals_sql(spark):
     same(spark, queries()["op4_url_filter"], oracle_sql()["op4_url_filter"])
 
