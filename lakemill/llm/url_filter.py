@@ -1,10 +1,11 @@
 """URL filters: rules first, then empirical-Bayes reputation of hosts, on DataFrame functions alone.
 
-Pages that a rule judges are the labelled outcomes. A host's share of good pages is shrunk towards that
-of its registered domain, that one towards its suffix, and a suffix towards all pages: at each level a
-beta prior has the parent's posterior mean, and its strength comes from the spread of the children's
-shares (moments). A page without a rule is blocked if the upper bound of its host's posterior says that
-most of the host's pages are bad; without evidence it is allowed.
+Every page is a labelled outcome: bad where the rules block it, good where they do not. A host's share of
+good pages is shrunk towards that of its registered domain, that one towards its suffix, and a suffix
+towards all pages: at each level a beta prior has the parent's posterior mean, and its strength comes from
+the spread of the children's shares (moments). A page without a rule is blocked if the upper bound of its
+host's posterior is under one half, so only where the rules block most of what the host itself has, and the
+host has enough pages to say so. A host or a suffix of which no page is blocked is allowed.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule; pages
 repeat as they come; an empty table gives an empty one; other columns are ignored.
@@ -95,7 +96,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple
     parsed = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     rule, says = first_rule(F.col("host"), F.col("path"), rules)
     judged = parsed.withColumns({"rule": rule, "says": says})
-    hosts = reputation(judged.select("host", (F.col("says") == "allow").cast("long").alias("good")))
+    hosts = reputation(judged.select("host", (F.coalesce("says", F.lit("allow")) != "block").cast("long").alias("good")))
     joined = judged.join(hosts, "host", "left")
     verdict = F.coalesce("says", F.when(F.col("upper") < LEAST_GOOD, F.lit("block")).otherwise(F.lit("allow")))
     return joined.select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"))
@@ -121,7 +122,7 @@ h AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
 ), j AS (SELECT *, CASE {' '.join(cases[0])} END AS rule, CASE {' '.join(cases[1])} END AS says FROM h),
-b AS (SELECT host, count(says)::DOUBLE AS n, coalesce(sum((says = 'allow')::INT), 0)::DOUBLE AS good, string_split(host, '.') AS p FROM j GROUP BY host),
+b AS (SELECT host, count(*)::DOUBLE AS n, sum((says IS DISTINCT FROM 'block')::INT)::DOUBLE AS good, string_split(host, '.') AS p FROM j GROUP BY host),
 w AS (SELECT *, array_to_string(p[-2:], '.') IN ({wide}) AS wide FROM b),
 hosts AS (
   SELECT host, n, good, CASE WHEN wide THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
