@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakemill.functions.lineage import settle
-from lakemill.llm.batches import slices_of
+from lakemill.llm.batches import slices_of, text_bytes
 from lakemill.sources.tables import read_table
 
 #: Words in the automaton at most, and how often a word must stand in the corpus to be counted as frequent.
@@ -269,19 +269,6 @@ class Lexicon:
         return Runs(self.ids, self.offsets)
 
 
-def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of all texts of a column, and where each begins and the last ends; a null has none."""
-    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    data = column.buffers()[2]
-    if data is None or not len(column):
-        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_string(column.type) else np.int32)
-    offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    if (np.diff(offsets) == lengths).all():
-        return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
-    return text_bytes(pc.fill_null(column, ""))
-
-
 def character_classes() -> np.ndarray:
     """The class of each code point."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))

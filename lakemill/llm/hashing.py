@@ -19,19 +19,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def run_hashes(texts: list[str | None], width: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the ``width`` words from each place on, the places' texts, and words a text.
+def window_hashes(flat: np.ndarray, counts: np.ndarray, distinct: list[bytes], width: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the ``width`` words from each place on, these places, and their texts.
 
     A place at the end of a text with fewer words left has no hash and is left out.
     """
-    flat, counts, distinct = numbered_words(texts)
     of_word = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[flat]
     n = len(flat) - width + 1
-    text_of = np.repeat(np.arange(len(texts)), counts)
+    text_of = np.repeat(np.arange(len(counts)), counts)
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), counts
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     total = np.zeros(n, np.uint64)
     for i, factor in enumerate(odd_numbers(width, seed)):
         total += of_word[i : i + n] * factor
-    inside = text_of[:n] == text_of[width - 1 :]
-    return mixed(total[inside]), text_of[:n][inside], counts
+    inside = np.flatnonzero(text_of[:n] == text_of[width - 1 :])
+    return mixed(total[inside]), inside, text_of[inside]
+
+
+def run_hashes(texts: list[str | None], width: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of the ``width`` words from each place on, the places' texts, and words a text."""
+    flat, counts, distinct = numbered_words(texts)
+    hashes, _, text_of = window_hashes(flat, counts, distinct, width, seed)
+    return hashes, text_of, counts

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakemill.functions.lineage import settle
-from lakemill.llm.batches import slices
+from lakemill.llm.batches import slices, whole_numbers
 from lakemill.llm.components import components
 from lakemill.llm.hashing import odd_numbers, run_hashes
 from lakemill.sources.tables import read_table
@@ -230,6 +230,7 @@ def text_classes(rows: DataFrame, threshold: float, tolerance: float) -> DataFra
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    whole_numbers(docs, key)
     return docs.select(F.col(key).cast("long").alias("key"), node_of(F.col(text)).alias("node"), F.col(text).alias("text"))
 
 

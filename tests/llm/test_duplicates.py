@@ -7,12 +7,14 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from lakemill.llm import jaccard_join, substring_dedup
 from lakemill.llm.catalogue import oracle_sql, queries
 from lakemill.llm.components import components
 from tests.comparing import same
 
+real = substring_dedup.window_hashes
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -57,8 +59,68 @@ def test_dedup_equals_brute_force_over_many_blocks(spark, monkeypatch):
     assert ranges >= 32 and len({r[1] for r in order}) > 3 and [r[1] for r in order] == sorted(r[1] for r in order)
     got = substring_dedup.dedup(df).collect()
     assert sorted(((r["key"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got), key=str) == stripped(rows)
+    check_factors(rows, got)
+
+
+def check_factors(rows, got):
+    """Each factor is one passage of one document with a smaller key, and together they are what goes."""
+    texts: dict = {}
+    for k, t in rows:
+        texts.setdefault(k, []).append(WORD.findall(t or ""))
     for r in got:
-        assert r["n_removed"] <= sum(f["length"] for f in r["factors"]) and all(f["length"] >= 13 for f in r["factors"])
+        mine, gone = WORD.findall(r["text"] or ""), set()
+        for f in r["factors"]:
+            passage = mine[f["start"] : f["start"] + f["length"]]
+            assert len(passage) == f["length"] >= 13 and f["key"] < r["key"]
+            assert any(w[f["at"] : f["at"] + f["length"]] == passage for w in texts[f["key"]])
+            gone |= set(range(f["start"], f["start"] + f["length"]))
+        assert len(gone) == r["n_removed"]
+
+
+def test_a_factor_is_one_occurrence(spark, monkeypatch):
+    a = [f"a{i}" for i in range(17)]
+    rows = [(k + 1, " ".join(a[k : k + 14])) for k in range(4)] + [(9, " ".join(a))]
+    for size in (4_000_000, 60):
+        monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", size)
+        got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        check_factors(rows, got)
+        last = next(r for r in got if r["key"] == 9)
+        assert last["n_removed"] == 17 and len(last["factors"]) >= 2 and max(f["length"] for f in last["factors"]) == 14
+
+
+def test_equal_hashes_of_other_words_make_no_factor(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "window_hashes", lambda *a: (np.zeros_like(real(*a)[0]), *real(*a)[1:]))
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{j}" for j in range(20))) for i in range(2)]
+    assert {r["n_removed"] for r in substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
+
+
+def test_an_id_of_many_rows_is_spread_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 2000)
+    rng = random.Random(6)
+    passage = words(rng, 15)
+    rows = [(5, " ".join(words(rng, 40) + passage)) for _ in range(60)] + [(k, " ".join(passage + words(rng, 30))) for k in (1, 5, 8, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    blocks = {r["__block"] for r in substring_dedup.in_blocks(df, "doc_id", "text")[0].filter("doc_id = 5").collect()}
+    assert len(blocks) > 3 and all(b & 1 for b in blocks)
+    got = substring_dedup.dedup(df).collect()
+    assert sorted(((r["key"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got), key=str) == stripped(rows)
+    check_factors(rows, got)
+
+
+def test_long_and_repetitive_texts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 300_000)
+    rng = random.Random(8)
+    long = words(rng, 60_000, 5000)
+    rows = [(1, " ".join(long)), (2, "the " * 30_000), (3, " ".join(long[100:50_000] + ["x"] + long[50_000:])), (4, "the " * 40), (5, "x" * 500_000)]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["key"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in got) == stripped(rows)
+
+
+def test_a_key_that_is_no_number_is_refused(spark):
+    df = spark.createDataFrame([("a", "b")], "doc_id string, text string")
+    for work in (substring_dedup.dedup, jaccard_join.near_duplicates, jaccard_join.one_of_each):
+        with pytest.raises(TypeError):
+            work(df)
 
 
 def test_dedup_keeps_columns_and_untouched_texts(docs):
