@@ -2,12 +2,17 @@
 
 Equal texts are one class from the start. Each class has a MinHash sketch of its five-word shingles.
 Classes that share a band of their sketches are candidates; sharing is kept as a star to the smallest
-class of the band, never as pairs, and the connected stars are candidate groups. A large group is cut
-into tiles, and a task gets two tiles. There the sketches are compared a few values at a time: a pair
+class of the band, never as pairs, and the connected stars are candidate groups.
+
+Sketches go first. A group is cut into tiles, and a task gets the sketches of two tiles, without texts. A pair
+that shares no band is no candidate. The sketches of the others are compared a few values at a time: a pair
 whose posterior probability of reaching the threshold (uniform prior on the similarity) is below the
-tolerance is dropped. The others are verified exactly from their whole texts: the sizes of the common
-shingle sets of many pairs come from one product of incidence matrices. A task returns one row for each
-linked class, with its number of links and its place in a spanning tree, so no pair leaves a task.
+tolerance is dropped. What survives connects far smaller groups, and only their texts are moved.
+
+Texts go second, in tiles bounded by number and bytes. The survivors between two tiles are verified exactly
+from their whole texts: the sizes of the common shingle sets of many pairs come from one product of
+incidence matrices. A task returns one row for each linked class, with its number of links and its place in a
+spanning tree, so no pair leaves a task.
 
 A pair of similarity s shares no band with probability (1 - s**4)**32, 5e-8 at 0.8, and is dropped by
 the posterior with probability about the tolerance.
@@ -40,9 +45,12 @@ BANDS, ROWS = 32, 4
 #: Bands of each round in which candidates are grouped: the first from, and the first not any more.
 ROUNDS = ((0, 6), (6, BANDS))
 TOLERANCE = 1e-9
-#: Sketch values compared at a time, and classes in a tile.
+#: Sketch values compared at a time.
 STEP = 16
-TILE = 256
+#: Classes in a tile of sketches, and classes and bytes of text in a tile of texts.
+SKETCH_TILE = 1024
+TILE = 1024
+TILE_BYTES = 4_000_000
 #: Shingles of one product of incidence matrices.
 COLUMNS = 8192
 
@@ -87,9 +95,19 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
     return n
 
 
+def sharing_a_band(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Pairs (as a matrix) with a band in which all values are equal."""
+    out = np.zeros((len(left), len(right)), bool)
+    words = lambda side: np.ascontiguousarray(side).view(np.dtype((np.void, 4 * ROWS)))
+    for x, y in zip(words(left).T, words(right).T):
+        number = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
+        out |= number[: len(x), None] == number[None, len(x) :]
+    return out
+
+
 def survivors(left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
-    """Pairs (as a matrix) that no look at the first values of the sketches has ruled out."""
-    alive = np.ones((len(left), len(right)), bool)
+    """Pairs (as a matrix) that share a band and that no look at the first values of the sketches has ruled out."""
+    alive = sharing_a_band(left, right)
     equal = np.zeros(alive.shape, np.int16)
     for at in range(0, left.shape[1], STEP):
         rows, columns = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
@@ -147,24 +165,39 @@ def trees(linked: np.ndarray) -> np.ndarray:
 LINKED = "node long, root long, links long"
 
 
-def compare(rows: pa.Table, threshold: float, tolerance: float) -> pa.Table:
-    """One pair of tiles: (node, root, links) for each class with a link between the two."""
-    first = dict(zip(rows.column("node").to_pylist(), range(rows.num_rows)))
-    rows = rows.take(pa.array(sorted(first.values())))
-    nodes, tiles = np.array(rows.column("node").to_pylist(), np.int64), np.array(rows.column("tile").to_pylist())
-    sets = shingles(rows.column("text").to_pylist())
-    values = np.array([sketch(s) for s in sets])
-    low, high = rows.column("a")[0].as_py(), rows.column("b")[0].as_py()
-    left, right = np.flatnonzero(tiles == low), np.flatnonzero(tiles == high)
-    linked = np.zeros((len(nodes), len(nodes)), bool)
-    if len(left) and len(right):
-        kept = survivors(values[left], values[right], threshold, tolerance)
-        linked[np.ix_(left, right)] = links([sets[i] for i in left], [sets[i] for i in right], kept, threshold)
+def two_tiles(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of two tiles, their sketches as a matrix, and which rows are of the first tile and of the second."""
+    values = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
+    tiles = rows.column("tile").to_numpy()
+    return rows, values, np.flatnonzero(tiles == rows.column("a")[0].as_py()), np.flatnonzero(tiles == rows.column("b")[0].as_py())
+
+
+def linked_rows(rows: pa.Table, left: np.ndarray, right: np.ndarray, between: np.ndarray) -> pa.Table:
+    """(node, root, links) for each row with a link, from the links between two tiles."""
+    linked = np.zeros((len(rows), len(rows)), bool)
+    linked[np.ix_(left, right)] = between
     linked |= linked.T
     np.fill_diagonal(linked, False)
-    count = linked.sum(axis=1)
+    count, nodes = linked.sum(axis=1), rows.column("node").to_numpy()
     some = np.flatnonzero(count)
-    return pa.table({"node": pa.array(nodes[some]), "root": pa.array(nodes[trees(linked)[some]]), "links": pa.array(count[some].astype(np.int64))})
+    return pa.table({"node": pa.array(nodes[some], pa.int64()), "root": pa.array(nodes[trees(linked)[some]], pa.int64()), "links": pa.array(count[some].astype(np.int64))})
+
+
+def prune(rows: pa.Table, threshold: float, tolerance: float) -> pa.Table:
+    """One pair of tiles of sketches: the classes with a surviving pair, as a forest."""
+    rows, values, left, right = two_tiles(rows)
+    return linked_rows(rows, left, right, survivors(values[left], values[right], threshold, tolerance))
+
+
+def compare(rows: pa.Table, threshold: float, tolerance: float) -> pa.Table:
+    """One pair of tiles of texts: (node, root, links) for each class with a verified link between the two."""
+    rows, values, left, right = two_tiles(rows)
+    kept = survivors(values[left], values[right], threshold, tolerance)
+    some = np.unique(np.r_[left[kept.any(axis=1)], right[kept.any(axis=0)]])
+    sets = dict(zip(some.tolist(), shingles(rows.column("text").take(pa.array(some)).to_pylist())))
+    none = np.zeros(0, np.uint64)
+    between = links([sets.get(i, none) for i in left.tolist()], [sets.get(i, none) for i in right.tolist()], kept, threshold)
+    return linked_rows(rows, left, right, between)
 
 
 def node_of(text: Column) -> Column:
@@ -201,24 +234,36 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     return labels
 
 
+def by_tiles(members: DataFrame, tiles: Column) -> DataFrame:
+    """``members`` (node, label, ...) once for each pair of tiles of its group: with tile, a and b."""
+    size = members.groupBy(F.col("label").alias("group")).agg(tiles.cast("int").alias("tiles")).filter("tiles > 0")
+    placed = members.join(size, F.col("label") == F.col("group")).withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return dealt.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")}).drop("tiles", "other", "label")
+
+
 def verified_links(rows: DataFrame, classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(node, root, links) of each pair of tiles. ``rows`` has key, node and text."""
-    labels = candidate_groups(classes)
-    tiles = labels.groupBy(F.col("label").alias("group")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    members = labels.join(tiles, F.col("label") == F.col("group")).join(classes.select(F.col("node").alias("n"), "rep"), F.col("node") == F.col("n"))
-    members = members.select(F.col("n").alias("member"), "rep", "group", "tiles")
-    texts = rows.join(members, (F.col("node") == F.col("member")) & F.col("key").eqNullSafe(F.col("rep")))
-    tile = F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("int")
-    pairs = texts.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = pairs.select("node", "text", "tile", "group", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"))
+    known = classes.select(F.col("node").alias("n"), "rep", "sketch", "bytes")
+    number = F.count(F.lit(1))
+    sketched = candidate_groups(classes).join(known, F.col("node") == F.col("n")).select("node", "label", "sketch")
+    forest = by_tiles(sketched, F.ceil(number / SKETCH_TILE)).groupBy("group", "a", "b").applyInArrow(lambda t: prune(t, threshold, tolerance), LINKED)
+    groups = components(forest.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    members = settle(groups.join(known, F.col("node") == F.col("n")).select(F.col("node").alias("member"), "label", "rep", "sketch", "bytes"))
+    #: Rows that repeat in key and text would stand twice for one class.
+    texts = rows.join(members, (F.col("node") == F.col("member")) & F.col("key").eqNullSafe(F.col("rep"))).dropDuplicates(["node"])
+    tiled = by_tiles(members.select(F.col("member").alias("node"), "label", "bytes"), F.greatest(F.ceil(number / TILE), F.ceil(F.sum("bytes") / TILE_BYTES)))
+    places = tiled.select(F.col("node").alias("place"), "group", "tile", "a", "b")
+    dealt = texts.select("node", "text", "sketch").join(places, F.col("node") == F.col("place")).drop("place")
     return dealt.groupBy("group", "a", "b").applyInArrow(lambda t: compare(t, threshold, tolerance), LINKED)
 
 
 def text_classes(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """One row for each distinct text of ``rows`` (key, node, text): node, rep (its smallest key), copies, links, and
     the head of its class, the text with the class's smallest key (head_rep, head_node)."""
-    sketched = rows.select("key", "node", sketches.asNondeterministic()(F.col("text")).alias("sketch"))
-    classes = settle(sketched.groupBy("node").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.any_value("sketch").alias("sketch")))
+    sketched = rows.select("key", "node", F.octet_length("text").alias("bytes"), sketches.asNondeterministic()(F.col("text")).alias("sketch"))
+    kept = [F.any_value(c).alias(c) for c in ("sketch", "bytes")]
+    classes = settle(sketched.groupBy("node").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), *kept))
     found = settle(verified_links(rows, classes, threshold, tolerance))
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "j")
     degrees = found.groupBy(F.col("node").alias("d")).agg(F.sum("links").alias("links"))

@@ -173,6 +173,7 @@ def near_rows(rng, n=120):
 
 def test_join_equals_brute_force_with_small_tiles(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 16)
+    monkeypatch.setattr(jaccard_join, "SKETCH_TILE", 12)
     rows = near_rows(random.Random(9))
     got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(tuple(r) for r in got) == brute_classes(rows)
@@ -197,6 +198,16 @@ def test_pruning_keeps_similar_pairs_and_drops_others():
     assert alive.diagonal().all() and alive.sum() == 50
 
 
+def test_tiles_are_bounded_by_bytes_and_long_texts_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TILE_BYTES", 200_000)
+    rng = random.Random(11)
+    long = words(rng, 30_000, 20_000)
+    rows = [(i, " ".join([*long[:i], "y", *long[i:]])) for i in range(6)] + [(10, "z" * 300_000), (11, None), (None, "z z"), (None, "z z")]
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["class_id"], r["n_links"]) for r in sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0))[:6]] == [(0, 5)] * 6
+    assert [(r["class_id"], r["n_copies"]) for r in got if r["doc_id"] is None] == [(None, 2)] * 2
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
