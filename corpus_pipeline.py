@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakemill.functions.lineage import shared_folder
 from lakemill.llm import bpe, jaccard_join, mixing, quality_rules, substring_dedup
 from lakemill.sources.tables import read_table
 
@@ -52,7 +52,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, with what lies between them in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    shared = shared_folder(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = f"{shared}/pipeline-{uuid.uuid4().hex}/{name}"

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,17 +43,17 @@ from lakemill.sources.tables import read_table
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
-#: Bands of each round in which candidates are grouped: the first from, and the first not any more.
-ROUNDS = ((0, 6), (6, BANDS))
 TOLERANCE = 1e-9
 #: Sketch values compared at a time.
 STEP = 16
+#: Parts into which a large group is split where its members are joined to the size of the group.
+SALTS = 16
 #: Classes in a tile of sketches, and classes and bytes of text in a tile of texts.
 SKETCH_TILE = 1024
 TILE = 1024
 TILE_BYTES = 4_000_000
 #: Shingles of one product of incidence matrices.
-COLUMNS = 8192
+COLUMNS = 2048
 
 
 def shingles(texts: list[str | None]) -> list[np.ndarray]:
@@ -81,6 +82,7 @@ def sketches(column: pa.Array) -> pa.Array:
     return pa.array([sketch(s).tobytes() if len(s) else None for a, b in slices(texts) for s in shingles(texts[a:b])], pa.binary())
 
 
+@lru_cache
 def least_matches(n: int, threshold: float, tolerance: float) -> int:
     """The fewest equal values of n that leave a posterior of at least the tolerance.
 
@@ -98,42 +100,54 @@ def least_matches(n: int, threshold: float, tolerance: float) -> int:
 def sharing_a_band(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Pairs (as a matrix) with a band in which all values are equal."""
     out = np.zeros((len(left), len(right)), bool)
-    words = lambda side: np.ascontiguousarray(side).view(np.dtype((np.void, 4 * ROWS)))
-    for x, y in zip(words(left).T, words(right).T):
-        number = np.unique(np.concatenate([x, y]), return_inverse=True)[1]
-        out |= number[: len(x), None] == number[None, len(x) :]
+    for band in range(0, BANDS * ROWS, ROWS):
+        #: A number for each content of the band; it is the same on both sides.
+        both = np.concatenate([left[:, band : band + ROWS], right[:, band : band + ROWS]])
+        number = np.unique(np.ascontiguousarray(both).view(np.dtype((np.void, 4 * ROWS))).ravel(), return_inverse=True)[1].astype(np.int32)
+        x, y = number[: len(left)], number[len(left) :]
+        rows, columns = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
+        out[np.ix_(rows, columns)] |= x[rows, None] == y[None, columns]
     return out
 
 
 def survivors(left: np.ndarray, right: np.ndarray, threshold: float, tolerance: float) -> np.ndarray:
     """Pairs (as a matrix) that share a band and that no look at the first values of the sketches has ruled out."""
+    out = np.zeros((len(left), len(right)), bool)
     alive = sharing_a_band(left, right)
-    equal = np.zeros(alive.shape, np.int16)
+    rows, columns, equal = np.arange(len(left)), np.arange(len(right)), np.zeros(alive.shape, np.int16)
     for at in range(0, left.shape[1], STEP):
-        rows, columns = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
-        if not len(rows):
-            break
+        #: Classes whose pairs are all ruled out leave the matrix.
+        r, c = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+        if not len(r):
+            return out
+        rows, columns, alive, equal = rows[r], columns[c], alive[np.ix_(r, c)], equal[np.ix_(r, c)]
         for k in range(at, at + STEP):
-            equal[np.ix_(rows, columns)] += left[rows, k][:, None] == right[columns, k][None, :]
+            equal += left[rows, k][:, None] == right[columns, k][None, :]
         alive &= equal >= least_matches(at + STEP, threshold, tolerance)
-    return alive
+    out[np.ix_(rows, columns)] = alive
+    return out
 
 
 def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the common sets of all pairs, by products of incidence matrices over the shared shingles."""
-    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    sides = []
+    for side in (left, right):
+        flat = np.concatenate(side)
+        by = np.argsort(flat, kind="stable")
+        sides.append((flat[by], np.repeat(np.arange(len(side)), [len(x) for x in side])[by]))
+    shared = np.intersect1d(sides[0][0], sides[1][0])
     out = np.zeros((len(left), len(right)), np.float32)
     for at in range(0, len(shared), COLUMNS):
         part = shared[at : at + COLUMNS]
-        sides = []
-        for side in (left, right):
-            incidence = np.zeros((len(side), len(part)), np.float32)
-            for i, s in enumerate(side):
-                place = np.searchsorted(part, s)
-                place[place == len(part)] = 0
-                incidence[i, place[part[place] == s]] = 1
-            sides.append(incidence)
-        out += sides[0] @ sides[1].T
+        incidence = []
+        for (flat, row), side in zip(sides, (left, right)):
+            inside = slice(np.searchsorted(flat, part[0]), np.searchsorted(flat, part[-1], side="right"))
+            place = np.searchsorted(part, flat[inside])
+            there = part[place] == flat[inside]
+            matrix = np.zeros((len(side), len(part)), np.float32)
+            matrix[row[inside][there], place[there]] = 1
+            incidence.append(matrix)
+        out += incidence[0] @ incidence[1].T
     return out.astype(np.int64)
 
 
@@ -206,40 +220,22 @@ def node_of(text: Column) -> Column:
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
-    """(node, label) for classes that share a band with another, directly or over others.
-
-    The bands come in rounds. What a round has joined counts as one in the next, so a large group of near
-    copies, whose members meet in most bands, gives edges for the first few bands only.
-    """
-    sketched = classes.filter("sketch IS NOT NULL").select("node", "sketch")
-    labels = None
-    for first, last in ROUNDS:
-        bands = F.array(*[F.xxhash64(F.substring("sketch", 4 * ROWS * b + 1, 4 * ROWS), F.lit(b)) for b in range(first, last)])
-        at = F.col("node")
-        members = sketched
-        if labels is not None:
-            members = sketched.join(labels.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-            at = F.coalesce("label", "node")
-        placed = members.select(at.alias("at"), F.explode(bands).alias("band"))
-        heads = placed.groupBy("band").agg(F.min("at").alias("head"), F.max("at").alias("last")).filter("head <> last").select("band", "head")
-        stars = placed.join(heads, "band").filter("at <> head").select(F.col("at").alias("a"), F.col("head").alias("b"))
-        joined = components(stars)
-        if labels is None:
-            labels = joined
-        else:
-            upper = joined.select(F.col("node").alias("u"), F.col("label").alias("upper"))
-            below = labels.join(upper, F.col("label") == F.col("u"), "left").select("node", F.coalesce("upper", "label").alias("label"))
-            others = upper.join(labels.select(F.col("node").alias("n")), F.col("u") == F.col("n"), "left_anti").select(F.col("u").alias("node"), F.col("upper").alias("label"))
-            labels = settle(below.unionByName(others))
-    return labels
+    """(node, label) for classes that share a band with another, directly or over others."""
+    bands = F.array(*[F.xxhash64(F.substring("sketch", 4 * ROWS * b + 1, 4 * ROWS), F.lit(b)) for b in range(BANDS)])
+    placed = classes.filter("sketch IS NOT NULL").select(F.col("node").alias("at"), F.explode(bands).alias("band"))
+    heads = placed.groupBy("band").agg(F.min("at").alias("head"), F.max("at").alias("last")).filter("head <> last").select("band", "head")
+    stars = placed.join(heads, "band").filter("at <> head").select(F.col("at").alias("a"), F.col("head").alias("b"))
+    return components(stars)
 
 
 def by_tiles(members: DataFrame, tiles: Column) -> DataFrame:
     """``members`` (node, label, ...) once for each pair of tiles of its group: with tile, a and b."""
     size = members.groupBy(F.col("label").alias("group")).agg(tiles.cast("int").alias("tiles")).filter("tiles > 0")
-    placed = members.join(size, F.col("label") == F.col("group")).withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("int"))
+    size = size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = (F.col("label") == F.col("group")) & (F.pmod(F.xxhash64("node", F.lit("salt")), F.lit(SALTS)) == F.col("salt"))
+    placed = members.join(size, same).withColumn("tile", F.pmod(F.xxhash64("node", F.lit("tile")), F.col("tiles")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    return dealt.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")}).drop("tiles", "other", "label")
+    return dealt.withColumns({"a": F.least("tile", "other"), "b": F.greatest("tile", "other")}).drop("tiles", "other", "label", "salt")
 
 
 def verified_links(rows: DataFrame, classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
