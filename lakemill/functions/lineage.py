@@ -4,17 +4,28 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors reach.
+
+    A folder of this machine stands in where there is none and driver and executors are one process, as in
+    tests; on a cluster the setting is needed.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors reach")
+    return tempfile.mkdtemp(prefix="spark-checkpoints-")
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and go on from there.
 
-    The folder is the one that ``spark.checkpoint.dir`` names. A folder of our own
-    is made only where the session names none, which is the case in tests.
-    """
+    The folder is the one that ``spark.checkpoint.dir`` names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -42,11 +42,19 @@ def pit_join(fact: DataFrame, versions: DataFrame, fact_key: str, version_key: s
 
 
 def pit_join_union(fact: DataFrame, versions: DataFrame, fact_key: str, version_key: str, ts: str, carry: list[str]) -> DataFrame:
-    """The same join for keys with very many versions: one pass over both in time order, versions before facts of the same instant."""
+    """The same join for keys with very many versions: one pass over both in time order, versions before facts of the same instant.
+
+    A key is cut by months, so that none has all its facts in one task; a version stands in each month that it
+    reaches into, up to the last fact.
+    """
     kept = F.struct(*[F.col(c) for c in carry], F.col("valid_to")).alias("__version")
-    v = versions.select(F.col(version_key).alias("__key"), F.col("valid_from").alias("__ts"), F.lit(0).alias("__kind"), kept, F.lit(None).cast(fact.select(F.struct("*")).schema[0].dataType).alias("__fact"))
-    f = fact.select(F.col(fact_key).alias("__key"), F.col(ts).alias("__ts"), F.lit(1).alias("__kind"), F.lit(None).cast(v.schema["__version"].dataType).alias("__version"), F.struct("*").alias("__fact"))
-    order = Window.partitionBy("__key").orderBy("__ts", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    month = lambda at: F.trunc(F.col(at).cast("date") if isinstance(at, str) else at.cast("date"), "month")
+    last = fact.agg(F.max(ts).alias("__last"))
+    spans = versions.join(F.broadcast(last)).withColumn("__until", F.least("valid_to", "__last")).filter("valid_from <= __until")
+    spans = spans.withColumn("__month", F.explode(F.sequence(month("valid_from"), month("__until"), F.expr("interval 1 month"))))
+    v = spans.select(F.col(version_key).alias("__key"), "__month", F.col("valid_from").alias("__ts"), F.lit(0).alias("__kind"), kept, F.lit(None).cast(fact.select(F.struct("*")).schema[0].dataType).alias("__fact"))
+    f = fact.select(F.col(fact_key).alias("__key"), month(ts).alias("__month"), F.col(ts).alias("__ts"), F.lit(1).alias("__kind"), F.lit(None).cast(v.schema["__version"].dataType).alias("__version"), F.struct("*").alias("__fact"))
+    order = Window.partitionBy("__key", "__month").orderBy("__ts", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = v.unionByName(f).withColumn("__seen", F.last("__version", ignorenulls=True).over(order)).filter("__kind = 1")
     valid = F.col("__key").isNotNull() & (F.col("__seen.valid_to").isNull() | (F.col("__ts") < F.col("__seen.valid_to")))
     return seen.select("__fact.*", *[F.when(valid, F.col(f"__seen.{c}")).alias(c) for c in carry])

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lakemill.functions.lineage import settle
 
 
+#: Entities of which all pairs may be looked at.
+MOST_RANKED = 2_000
+
+
 def distributed_ntile(df: DataFrame, tiles: int, order: list[Column], out: str) -> DataFrame:
     """``ntile`` over the whole frame. ``order`` must be total, or equal rows fall by chance.
 
@@ -38,7 +42,9 @@ def share_of_total(df: DataFrame, measure: str, out: str, by: list[str] | None =
 
 
 def rank_inversions(df: DataFrame, entity: str, first: str, second: str) -> DataFrame:
-    """Pairs of entities that the two measures rank in opposite order; for small aggregates."""
+    """Pairs of entities that the two measures rank in opposite order; an aggregate of more than MOST_RANKED rows is refused."""
+    if df.select(entity).limit(MOST_RANKED + 1).count() > MOST_RANKED:
+        raise ValueError(f"more than {MOST_RANKED} entities to compare with each other")
     ranked = df.select(F.col(entity).alias("e"), F.rank().over(Window.orderBy(F.desc(first))).alias("r1"), F.rank().over(Window.orderBy(F.desc(second))).alias("r2"))
     a, b = ranked.alias("a"), ranked.alias("b")
     crossed = (F.col("a.r1") < F.col("b.r1")) & (F.col("a.r2") > F.col("b.r2"))

@@ -232,6 +232,25 @@ def tax_rule(spark, sf_dir):
     return warehouse(spark, sf_dir).latest("orders").agg(F.count_if(off).alias("tax_off"))
 
 
+def calendar_gaps(spark, sf_dir):
+    """Days of the date dimension without their day before."""
+    return dq.date_gaps(warehouse(spark, sf_dir).dim_date.select("calendar_date"), "calendar_date")
+
+
+def rfm_metrics(spark, sf_dir):
+    """Customers whose metrics cannot be: no order, no spend, or a purchase after the day of the view."""
+    r = warehouse(spark, sf_dir).customer_rfm
+    return r.agg(F.expr("count_if(frequency < 1)").alias("frequency"), F.expr("count_if(monetary <= 0)").alias("monetary"), F.expr("count_if(recency_days < 0)").alias("recency"))
+
+
+def more_kpi_formulas(spark, sf_dir):
+    """The ratios that ``kpi_formulas`` lacks."""
+    w = warehouse(spark, sf_dir)
+    off = lambda name, a, b: F.count_if(F.abs(F.col(name) - ratio(F.col(a), F.col(b))) > 0.006)
+    days = w.executive_daily.agg(off("average_daily_quantity", "product_quantity", "store_days").alias("average_daily_quantity"))
+    return days.join(F.broadcast(w.product_performance.agg(off("margin_rate", "gross_margin", "product_sales").alias("product_margin_rate"))))
+
+
 _COLUMNS = {m: [c.split(":")[0] for c in columns.split()] for m, (_, columns) in SHOWN.items()}
 QUERIES = {
     "dq01_not_null": not_null, "dq02_unique": unique, "dq03_version_unique": version_unique, "dq04_one_current": one_current, "dq05_overlaps": overlaps, "dq07_gaps": gaps,
@@ -239,6 +258,7 @@ QUERIES = {
     "dq13_rfm_rules": rfm_rules, "dq14_source_rules": source_rules, "dq14_rejected": rejected_rows, "dq15_natural_keys": natural_keys, "dq16_money_rules": money_rules, "dq17_foreign_keys": foreign_keys,
     "set2_key_differences": key_differences, "dq01_all_columns": all_columns, "dq02_more_unique": more_unique, "dq10_product_financials": product_financials, "dq14_all_rules": all_rules,
     "dq15_more_natural_keys": more_natural_keys, "dq16_tax_rule": tax_rule, "dq05_version_overlaps": version_overlaps,
+    "dq07_calendar_gaps": calendar_gaps, "dq09_rfm_metrics": rfm_metrics, "dq11_more_formulas": more_kpi_formulas,
 }
 
 _DUP = "SELECT '{0}' AS table_name, count(*) AS violations FROM (SELECT 1 FROM {1} WHERE {2} GROUP BY {3} HAVING count(*) > 1)"
@@ -286,6 +306,9 @@ SQL = {
     "dq14_all_rules": _all([f"SELECT '{t}' AS table_name, '{n}' AS rule, count(*) FILTER (NOT coalesce({r}, true)) AS violations FROM s_{t}" for t in CONTRACTS for n, r in (SQL_RULES.get(t, {}) | MORE_RULES.get(t, {})).items()]),
     "dq15_more_natural_keys": _all([_dup(t, f"s_{t}", k) for t, k in NATURAL.items()]),
     "dq05_version_overlaps": _all([f"SELECT DISTINCT '{n}s' AS table_name, b.{n}_id AS id, b.valid_from FROM {n}_versions a JOIN {n}_versions b ON a.{n}_id = b.{n}_id AND a.valid_from < b.valid_from AND (a.valid_to IS NULL OR b.valid_from < a.valid_to)" for n in ("store", "product")]),
+    "dq07_calendar_gaps": over_warehouse(", g AS (SELECT calendar_date, lag(calendar_date) OVER (ORDER BY calendar_date) AS before FROM dim_date) SELECT * FROM g WHERE calendar_date - before > 1"),
+    "dq09_rfm_metrics": over_warehouse("SELECT count(*) FILTER (frequency < 1) AS frequency, count(*) FILTER (monetary <= 0) AS monetary, count(*) FILTER (recency_days < 0) AS recency FROM customer_rfm"),
+    "dq11_more_formulas": over_warehouse(f"SELECT * FROM (SELECT {_OFF.format('average_daily_quantity', 'product_quantity', 'store_days')} FROM executive_daily), (SELECT count(*) FILTER (abs(margin_rate - gross_margin::DOUBLE / nullif(product_sales::DOUBLE, 0)) > 0.006) AS product_margin_rate FROM product_performance)"),
     "dq16_tax_rule": over_warehouse("SELECT count(*) FILTER (tax_amount <> round((subtotal - discount_amount) * 0.12, 2)) AS tax_off FROM l_orders"),
 }
 

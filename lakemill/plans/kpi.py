@@ -51,6 +51,23 @@ class Question:
     order: str = ""
     descending: bool = True
     limit: int = 0
+    #: Columns of the grain that are shown under a label, with its kind: ``bare`` or ``title``.
+    labels: tuple[tuple[str, str], ...] = ()
+
+
+#: What stands before the number in a store's name.
+PREFIX = "^Supplier#0*"
+
+
+def label(column: str, kind: str) -> Column:
+    """A name without its prefix, or a code as words that begin with capitals."""
+    return F.regexp_replace(column, PREFIX, "") if kind == "bare" else F.initcap(F.replace(F.col(column), F.lit("_"), F.lit(" ")))
+
+
+def label_sql(column: str, kind: str) -> str:
+    if kind == "bare":
+        return f"regexp_replace({column}, '{PREFIX}', '')"
+    return f"array_to_string(list_transform(string_split(replace({column}, '_', ' '), ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ')"
 
 
 def kpi_query(mart: DataFrame, question: Question) -> DataFrame:
@@ -64,7 +81,8 @@ def kpi_query(mart: DataFrame, question: Question) -> DataFrame:
     if question.order:
         by = F.desc_nulls_last(question.order) if question.descending else F.asc_nulls_last(question.order)
         df = df.orderBy(by, *[F.asc_nulls_last(g) for g in question.grain])
-    return df.limit(question.limit) if question.limit else df
+    df = df.limit(question.limit) if question.limit else df
+    return df.withColumns({column: label(column, kind) for column, kind in question.labels}) if question.labels else df
 
 
 def kpi_sql(question: Question) -> str:
@@ -78,6 +96,9 @@ def kpi_sql(question: Question) -> str:
     parts += [f"GROUP BY {', '.join(question.grain)}"] if question.grain else []
     if question.limit:
         parts.append(f"ORDER BY {question.order} {'DESC' if question.descending else 'ASC'} NULLS LAST, {', '.join(f'{g} NULLS LAST' for g in question.grain)} LIMIT {question.limit}")
+    if question.labels:
+        shown = ", ".join(f"{label_sql(column, kind)} AS {column}" for column, kind in question.labels)
+        parts = [f"SELECT * REPLACE ({shown}) FROM (", *parts, ")"]
     return over_warehouse(" ".join(parts))
 
 
@@ -121,9 +142,9 @@ QUESTIONS = {
     "bi18_store_margin": Question(S, (MARGIN,)),
     "bi19_region_sales": Question(S, (E_SALES,), ("region_name",), order="sales"),
     "bi20_region_ads": Question(S, (S_ADS,), ("region_name",), order="ads"),
-    "bi21_top_stores": Question(S, (E_SALES,), ("store_name",), order="sales", limit=10),
-    "bi22_bottom_stores": Question(S, (S_ADS,), ("store_name",), order="ads", descending=False, limit=10),
-    "bi23_store_type_ads": Question(S, (S_ADS,), ("store_type",), order="ads"),
+    "bi21_top_stores": Question(S, (E_SALES,), ("store_name",), order="sales", limit=10, labels=(("store_name", "bare"),)),
+    "bi22_bottom_stores": Question(S, (S_ADS,), ("store_name",), order="ads", descending=False, limit=10, labels=(("store_name", "bare"),)),
+    "bi23_store_type_ads": Question(S, (S_ADS,), ("store_type",), order="ads", labels=(("store_type", "title"),)),
     "bi24_region_margin": Question(S, (MARGIN,), ("region_name",), order="margin_rate"),
     "bi26_store_table": Question(S, (E_SALES, E_TX, E_AOV, S_ADS, S_ADQ, MARGIN), ("store_name", "region_name", "area_name", "store_type"), order="sales"),
     "bi27_units": Question(P, (P_UNITS,)),
@@ -140,7 +161,7 @@ QUESTIONS = {
     "bi38_avg_orders": Question(R, R_AVG[1:]),
     "bi39_segment_customers": Question(R, (CUSTOMERS,), ("customer_segment",), order="customers"),
     "bi40_segment_sales": Question(R, (MONETARY,), ("customer_segment",), order="monetary"),
-    "bi42_tiers": Question(R, (CUSTOMERS, MONETARY, *R_AVG), ("loyalty_tier",), order="monetary"),
+    "bi42_tiers": Question(R, (CUSTOMERS, MONETARY, *R_AVG), ("loyalty_tier",), order="monetary", labels=(("loyalty_tier", "title"),)),
     "rp1_totals": Question(E, (E_SALES, E_TX, E_AOV, E_ADS, E_ADQ, MARGIN, total("units", "product_quantity"), total("store_days", "store_days"), Measure("first_day", "min", "business_date"), Measure("last_day", "max", "business_date"), Measure("days", "count"))),
     "rp2_stores_regions": Question(S, (Measure("stores", "distinct", "store_id"), Measure("regions", "distinct", "region_name"))),
     "rp3_customers": Question(R, (CUSTOMERS, *R_AVG)),
@@ -155,6 +176,11 @@ QUESTIONS = {
     "flt5_filtered_stores": Question(S, (E_SALES, S_ADS, MARGIN), ("store_type",), {"business_date": ("range", "1997-01-01", "1998-12-31"), "store_type": ("mall", "kiosk"), "area_name": None}),
     "flt5_filtered_products": Question(P, (P_SALES, P_UNITS), ("category_name",), {"category_group": ("food", "beverage"), "business_date": ("range", "1996-01-01", "1996-12-31")}),
     "flt5_filtered_customers": Question(R, (CUSTOMERS, MONETARY), ("customer_segment",), {"loyalty_tier": ("gold", "platinum")}),
+    "flt5_filtered_regions": Question(S, (E_SALES, S_ADS), ("region_name", "area_name"), {"region_name": ("ASIA", "EUROPE"), "area_name": ("CHINA", "FRANCE", "GERMANY", "JAPAN", "NATION_1", "NATION_2", "NATION_7")}),
+    "flt5_filtered_store_names": Question(S, (E_SALES, S_ADS), ("store_name",), {"store_name": tuple(f"Supplier#{i:09d}" for i in range(1, 6))}),
+    "flt5_filtered_product_ids": Question(P, (P_SALES, P_UNITS), ("product_name",), {"product_id": ("1", "2", "3", "5", "8")}),
+    "flt5_filtered_segments": Question(R, (CUSTOMERS, MONETARY), ("loyalty_tier",), {"customer_segment": ("Champions", "At Risk")}),
+    "flt5_filtered_cohorts": Question(C, (Measure("cells", "count"), total("sales", "total_sales")), ("cohort_month",), {"cohort_month": ("range", "1995-01-01", "1996-06-30")}),
     "daily_sales": Question("daily_orders", (E_SALES, E_TX, E_AOV), ("business_date",), order="business_date", descending=False),
 }
 

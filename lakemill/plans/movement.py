@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from datetime import date, datetime
 
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.functions.columns import local_time
-from lakemill.functions.lineage import settle
+from lakemill.functions.lineage import settle, shared_folder
 from lakemill.operators.history import snapshot_changes
 from lakemill.operators.spine import dim_time
 from lakemill.plans.counterpart import over_warehouse
@@ -27,12 +26,14 @@ WINDOW = day_window(DAY)
 ORDERS = CONTRACTS["orders"]
 SHOWN = ["order_id", "order_status", "updated_at"]
 CUTOFF = "2000-01-01 00:00:00"
+#: Bounds of the periods in which a stream gets the orders, and files of each.
+PERIODS = ("0001-01-01", "1995-01-01", "1997-01-01", "9999-01-01")
+FILES = 4
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder that all executors can reach."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="movement-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _orders(spark, sf_dir) -> DataFrame:
@@ -124,6 +125,22 @@ def audit(spark, sf_dir):
     return ingest.audit_status(_events(spark, sf_dir)).groupBy("event", "status", "passed").agg(F.count(F.lit(1)).alias("events"))
 
 
+def appended_audit(spark, sf_dir):
+    """Extract and load events appended to an audit table in two writes, and read from it again."""
+    path = scratch(spark, "audit")
+    events = ingest.audit_status(_events(spark, sf_dir)).withColumns({"run_mode": F.lit("incremental"), "started_at": F.col("recorded_at"), "finished_at": F.col("recorded_at"), "duration_s": F.lit(0.0)})
+    for event in ("extract", "load"):
+        ingest.append_audit(events.filter(F.col("event") == event), path)
+    return ingest.read_audit(spark, path).groupBy("event", "status").agg(F.count(F.lit(1)).alias("events"), F.sum("parquet_rows").alias("rows"))
+
+
+def clustered_table(spark, sf_dir):
+    """Orders in a table that is partitioned by status and ordered by store and day, read again."""
+    path = scratch(spark, "clustered")
+    ingest.write_table(_orders(spark, sf_dir), path, "order_status", ["store_id", "order_ts"])
+    return spark.read.parquet(path).groupBy("order_status").agg(F.count(F.lit(1)).alias("orders"), F.min("store_id").alias("first_store"), F.max("order_ts").alias("last_order"))
+
+
 def local_reconcile(spark, sf_dir):
     return ingest.reconcile_local(_days(spark, sf_dir), ingest.audit_status(_events(spark, sf_dir))).groupBy("last_status", "passed").agg(F.count(F.lit(1)).alias("days"))
 
@@ -157,6 +174,12 @@ def minutes(spark, sf_dir):
     return orders.join(F.broadcast(dim_time(spark)), "time_key").groupBy("daypart").agg(F.count(F.lit(1)).alias("orders"), F.min("time_label").alias("first_minute"), F.max("time_value").alias("last_minute"))
 
 
+def all_minutes(spark, sf_dir):
+    """Every row of the time dimension, with the orders of its minute."""
+    orders = _orders(spark, sf_dir).groupBy((F.hour(local_time("order_ts")) * 60 + F.minute(local_time("order_ts"))).cast("long").alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    return dim_time(spark).join(F.broadcast(orders), F.col("time_key") == F.col("at"), "left").withColumn("orders", F.coalesce("n", F.lit(0))).drop("at", "n")
+
+
 def _staged(spark, sf_dir, table: str) -> str:
     """The table as files for a stream to find."""
     path = scratch(spark, "incoming")
@@ -174,9 +197,14 @@ def stream_bronze(spark, sf_dir):
 
 
 def stream_without_replays(spark, sf_dir):
-    path = _staged(spark, sf_dir, "orders")
-    stream = jobs.stream_landing(spark, spark.read.parquet(path).schema, path)
-    kept = jobs.without_replays(stream, "order_id", "updated_at", "100000 days")
+    """Order versions in the order of their ingestion, a period a batch: a replay copy comes a day later at most,
+    so a lookback of two days finds it, in the same batch or in the next, and older state is given up."""
+    path = scratch(spark, "incoming")
+    rows = bronze(spark, sf_dir, "orders").withColumn("updated_at", F.to_timestamp(F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    for low, high in zip(PERIODS, PERIODS[1:]):
+        rows.filter(f"_ingestion_date >= date'{low}' and _ingestion_date < date'{high}'").repartition(FILES).write.mode("append").parquet(path)
+    stream = jobs.stream_landing(spark, spark.read.parquet(path).schema, path, files_a_batch=FILES)
+    kept = jobs.without_replays(stream, "order_id", "updated_at", "2 days")
     rows = jobs.run_to_files(kept.select("order_id", "order_status"), scratch(spark, "kept"), scratch(spark, "kept-progress"))
     return rows.groupBy("order_status").agg(F.count(F.lit(1)).alias("versions"))
 
@@ -193,7 +221,7 @@ def stream_day_counts(spark, sf_dir):
 
 QUERIES = {
     "ing2_incremental": incremental, "ing3_bootstrap": bootstrap, "ing4_full": full, "ing5_counts": counts, "snk5_landing_to_bronze": landing_to_bronze, "snk6_replayed": replayed, "snk6_replayed_days": replayed_days, "ing8_continuity": continuity,
-    "ing11_plan": extract_plan, "rec1_audit": audit, "rec2_local": local_reconcile, "rec3_full": full_reconcile, "rec3_untouched": untouched_reconcile, "rec4_freshness": freshness, "cdc1_changes": changes, "spn3_dayparts": minutes,
+    "ing11_plan": extract_plan, "snk8_clustered": clustered_table, "snk9_audit": appended_audit, "rec1_audit": audit, "rec2_local": local_reconcile, "rec3_full": full_reconcile, "rec3_untouched": untouched_reconcile, "rec4_freshness": freshness, "cdc1_changes": changes, "spn3_dayparts": minutes, "spn3_minutes": all_minutes,
     "str1_bronze": stream_bronze, "str2_without_replays": stream_without_replays, "str3_day_counts": stream_day_counts,
 }
 
@@ -211,11 +239,14 @@ SQL = {
     "ing8_continuity": over_warehouse(f", {_DAYS}, g AS (SELECT 'orders' AS table_name, dt, lag(dt) OVER (ORDER BY dt) AS before FROM dy) SELECT * FROM g WHERE dt - before > 1"),
     "ing11_plan": over_warehouse(f", {_DAYS} SELECT 'orders' AS table_name, dt, CASE WHEN day(dt) % 2 = 0 THEN 'replay' ELSE 'extract' END AS action FROM dy"),
     "rec1_audit": over_warehouse(f", {_DAYS}, e AS (SELECT 'extract' AS event, 'extracted' AS status FROM dy UNION ALL SELECT 'load', CASE WHEN dayofyear(dt) = 100 THEN 'mismatch' ELSE 'loaded' END FROM dy UNION ALL SELECT 'load', CASE WHEN dayofyear(dt) = 100 THEN 'mismatch' ELSE 'replayed' END FROM dy WHERE year(dt) < 1996) SELECT event, status, status <> 'mismatch' AS passed, count(*) AS events FROM e GROUP BY ALL"),
+    "snk8_clustered": over_warehouse("SELECT order_status, count(*) AS orders, min(store_id) AS first_store, max(order_ts) AS last_order FROM v_orders GROUP BY 1"),
+    "snk9_audit": over_warehouse(f", {_DAYS}, e AS (SELECT 'extract' AS event, 'extracted' AS status, n FROM dy UNION ALL SELECT 'load', CASE WHEN dayofyear(dt) = 100 THEN 'mismatch' ELSE 'loaded' END, n FROM dy UNION ALL SELECT 'load', CASE WHEN dayofyear(dt) = 100 THEN 'mismatch' ELSE 'replayed' END, n FROM dy WHERE year(dt) < 1996) SELECT event, status, count(*) AS events, sum(n)::BIGINT AS rows FROM e GROUP BY ALL"),
     "rec2_local": over_warehouse(f", {_DAYS}, e AS (SELECT CASE WHEN dayofyear(dt) = 100 THEN 'mismatch' WHEN year(dt) < 1996 THEN 'replayed' ELSE 'loaded' END AS last_status FROM dy) SELECT last_status, last_status <> 'mismatch' AS passed, count(*) AS days FROM e GROUP BY ALL"),
     "rec3_full": over_warehouse(f", a AS (SELECT * FROM v_orders WHERE updated_at < TIMESTAMP '{CUTOFF}'), b AS (SELECT * FROM b_orders WHERE updated_at < TIMESTAMP '{CUTOFF}' AND order_id % 100 <> 1) SELECT (SELECT count(DISTINCT order_id) FROM a) AS source_keys, (SELECT max(updated_at) FROM a) AS source_newest, (SELECT count(DISTINCT order_id) FROM b) AS bronze_keys, (SELECT max(updated_at) FROM b) AS bronze_newest, (SELECT count(DISTINCT order_id) FROM a WHERE order_id NOT IN (SELECT order_id FROM b)) AS missing_in_bronze, 0::BIGINT AS missing_in_source, (SELECT count(DISTINCT order_id) FROM a WHERE order_id NOT IN (SELECT order_id FROM b)) = 0 AS passed"),
     "rec4_freshness": over_warehouse("SELECT max(updated_at) AS source_newest, max(updated_at) AS bronze_newest, true AS passed FROM v_orders"),
     "cdc1_changes": over_warehouse("SELECT customer_id, loyalty_tier, TIMESTAMP '1999-01-01' AS updated_at FROM v_customers WHERE updated_at >= TIMESTAMP '1995-01-01' AND loyalty_tier <> 'basic'"),
     "spn3_dayparts": over_warehouse(f", t AS (SELECT hour(order_ts + INTERVAL {ZONE_HOURS} HOUR) AS h, strftime(order_ts + INTERVAL {ZONE_HOURS} HOUR, '%H:%M') AS m FROM v_orders) SELECT CASE WHEN h BETWEEN 5 AND 10 THEN 'Morning' WHEN h BETWEEN 11 AND 13 THEN 'Lunch' WHEN h BETWEEN 14 AND 16 THEN 'Afternoon' WHEN h BETWEEN 17 AND 20 THEN 'Evening' ELSE 'Late Night' END AS daypart, count(*) AS orders, min(m) AS first_minute, max(m) || ':00' AS last_minute FROM t GROUP BY 1"),
+    "spn3_minutes": over_warehouse(f", n AS (SELECT hour(order_ts + INTERVAL {ZONE_HOURS} HOUR) * 60 + minute(order_ts + INTERVAL {ZONE_HOURS} HOUR) AS k, count(*) AS orders FROM v_orders GROUP BY 1), m AS (SELECT k, k // 60 AS h, k % 60 AS i, printf('%02d:%02d', k // 60, k % 60) AS label FROM range(1440) r(k)) SELECT m.k AS time_key, h AS hour_24, i AS minute, label || ':00' AS time_value, label AS time_label, CASE WHEN h BETWEEN 5 AND 10 THEN 'Morning' WHEN h BETWEEN 11 AND 13 THEN 'Lunch' WHEN h BETWEEN 14 AND 16 THEN 'Afternoon' WHEN h BETWEEN 17 AND 20 THEN 'Evening' ELSE 'Late Night' END AS daypart, coalesce(orders, 0) AS orders FROM m LEFT JOIN n USING (k)"),
     "str1_bronze": over_warehouse("SELECT _ingestion_date, count(*) AS rows FROM b_stores GROUP BY 1"),
     "str2_without_replays": over_warehouse("SELECT order_status, count(*) AS versions FROM s_orders GROUP BY 1"),
     "str3_day_counts": f"SELECT (ts + INTERVAL {ZONE_HOURS} HOUR)::DATE AS business_date, count(*) AS events FROM events GROUP BY 1",

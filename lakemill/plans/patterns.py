@@ -12,6 +12,7 @@ from lakemill.plans.models import plain
 from lakemill.plans.warehouse import warehouse
 from lakemill.sources.adapters import ZONE_HOURS
 from lakemill.sources.contracts import CONTRACTS
+from lakemill.sources.tables import read_table
 
 HOUR = "hour"
 
@@ -140,6 +141,11 @@ def basket_sizes(spark, sf_dir):
     return share_of_total(lines.groupBy("lines").agg(F.count(F.lit(1)).alias("orders")), "orders", "pct")
 
 
+def quantities(spark, sf_dir):
+    """How many lines have which quantity."""
+    return share_of_total(warehouse(spark, sf_dir).latest("order_items").groupBy("quantity").agg(F.count(F.lit(1)).alias("lines")), "lines", "pct")
+
+
 def promotion_mix(spark, sf_dir):
     w = warehouse(spark, sf_dir)
     promos = w.dim_promotion.select("promotion_id", "promo_type", F.split_part("promo_name", F.lit(" "), F.lit(1)).alias("campaign"))
@@ -178,6 +184,19 @@ def update_ranges(spark, sf_dir):
     return out
 
 
+def recent_writes(spark, sf_dir, days: int = 7):
+    """Versions of each table within so many days of the table's newest."""
+    w = warehouse(spark, sf_dir)
+    out = None
+    for t in (t for t, c in CONTRACTS.items() if c.cursor):
+        versions = w.silver(t).select("updated_at")
+        newest = versions.agg(F.max("updated_at").alias("newest"))
+        recent = versions.join(F.broadcast(newest)).filter(F.col("updated_at") > F.expr(f"newest - make_dt_interval({days})"))
+        row = recent.agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("recent"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def latest_update_dates(spark, sf_dir):
     days = warehouse(spark, sf_dir).silver("orders").groupBy(local_date("updated_at").alias("day")).agg(F.count(F.lit(1)).alias("versions"))
     return days.orderBy(F.desc("day")).limit(5)
@@ -196,6 +215,17 @@ def change_counters(spark, sf_dir):
     return one(w.latest("orders").filter("order_status = 'refunded'"), "refunds").unionByName(one(w.dim_store.filter("is_current and status = 'closed'"), "closed stores")).unionByName(tiers)
 
 
+def changed_rows(spark, sf_dir):
+    """Counters of changes: versions after the first of their key, for each table."""
+    w = warehouse(spark, sf_dir)
+    out = None
+    for t, c in CONTRACTS.items():
+        if c.cursor:
+            row = w.silver(t).agg(F.lit(t).alias("table_name"), (F.count(F.lit(1)) - F.countDistinct(c.key)).alias("changes"))
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
 def stores_changed(spark, sf_dir):
     return warehouse(spark, sf_dir).dim_store.filter("cast(valid_from as date) > opened_date").select("store_id", "store_name", "status", "valid_from")
 
@@ -209,10 +239,19 @@ def openings(spark, sf_dir):
     return stores.join(first, F.col("s") == F.col("o"), "left").select(F.col("s").alias("store_id"), "opened_date", "first_sale")
 
 
+def launches(spark, sf_dir):
+    """Products launched after the first sale of the chain, with their own first sale."""
+    w = warehouse(spark, sf_dir)
+    lines = w.fct_order_items.groupBy(F.col("product_id").alias("p")).agg(F.min("business_date").alias("first_sale"))
+    chain = w.fct_orders.agg(F.min("business_date").alias("chain_first"))
+    current = w.dim_product.filter("is_current").select("product_id", "launched_date")
+    return current.join(F.broadcast(chain)).filter("launched_date > chain_first").join(lines, F.col("product_id") == F.col("p"), "left").select("product_id", "launched_date", "first_sale")
+
+
 def ads_by_region_pivot(spark, sf_dir):
-    """Average daily sales by day, a column for each region of a fixed list."""
+    """Average daily sales by day, a column for each region of the table."""
     p = warehouse(spark, sf_dir).store_performance
-    regions = [r["r_name"] for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy("r_regionkey").limit(5).collect()]
+    regions = [r["r_name"] for r in read_table(spark, sf_dir, "region").select("r_name", "r_regionkey").orderBy("r_regionkey").collect()]
     made = [ratio(F.sum(F.when(F.col("region_name") == r, F.col("total_sales"))), F.countDistinct(F.when(F.col("region_name") == r, F.col("store_day_key")))).alias(f"region_{i}") for i, r in enumerate(regions)]
     return p.groupBy("business_date").agg(*made)
 
@@ -271,6 +310,7 @@ QUERIES = {
     "pt20_update_ranges": update_ranges, "pt21_latest_updates": latest_update_dates, "pt21_update_lag": update_lag, "pt22_counters": change_counters, "pt23_changed_stores": stores_changed,
     "pt24_openings": openings, "bi25_region_pivot": ads_by_region_pivot, "bi41_cohort_pivot": cohort_pivot, "in1_statuses": status_amounts, "in3_company_customers": company_and_customers,
     "win10_inversions": region_inversions, "jon16_primary_tender": primary_tender, "jon17_promotion_violations": promotion_violations, "tir1_upgrades": tier_upgrades,
+    "pt15_quantities": quantities, "pt20_recent_writes": recent_writes, "pt22_changed_rows": changed_rows, "pt24_launches": launches, "flt7_trading_days": lambda spark, sf_dir: warehouse(spark, sf_dir).trading_calendar,
 }
 
 _TABLES = tuple(CONTRACTS)
@@ -303,6 +343,11 @@ SQL = {
     "pt13_top_fifth": _with(f"{_U}, t AS (SELECT units, ntile(5) OVER (ORDER BY units DESC, product_id) AS q FROM u)", "SELECT 100.0::DOUBLE * sum(units) FILTER (q = 1)::DOUBLE / sum(units)::DOUBLE AS top_fifth_pct FROM t"),
     "pt14_category_daypart": _with(f"{_O}, x AS (SELECT category_name, CASE WHEN hour < 11 THEN '1 morning' WHEN hour < 14 THEN '2 lunch' WHEN hour < 18 THEN '3 afternoon' ELSE '4 evening' END AS daypart, sum(quantity)::BIGINT AS units FROM l_order_items i JOIN o USING (order_id) JOIN dim_product p ON p.product_id = i.product_id AND is_current GROUP BY ALL)", f"SELECT *, {_PCT.format('units', 'PARTITION BY daypart')} AS pct FROM x"),
     "pt15_baskets": _with("b AS (SELECT lines, count(*) AS orders FROM (SELECT order_id, count(*) AS lines FROM l_order_items GROUP BY 1) GROUP BY 1)", f"SELECT *, {_PCT.format('orders', '')} AS pct FROM b"),
+    "pt15_quantities": _with("b AS (SELECT quantity, count(*) AS lines FROM l_order_items GROUP BY 1)", f"SELECT *, {_PCT.format('lines', '')} AS pct FROM b"),
+    "pt20_recent_writes": over_warehouse(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS recent FROM s_{t} WHERE updated_at > (SELECT max(updated_at) FROM s_{t}) - INTERVAL 7 DAY" for t in _VERSIONED)),
+    "pt22_changed_rows": over_warehouse(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) - count(DISTINCT {CONTRACTS[t].key}) AS changes FROM s_{t}" for t in _VERSIONED)),
+    "pt24_launches": over_warehouse(", f AS (SELECT product_id, min(business_date) AS first_sale FROM fct_order_items GROUP BY 1), p AS (SELECT product_id, DATE '1994-12-01' + (product_id % 400)::INT AS launched_date FROM dim_product WHERE is_current) SELECT product_id, launched_date, first_sale FROM p LEFT JOIN f USING (product_id) WHERE launched_date > (SELECT min(business_date) FROM fct_orders)"),
+    "flt7_trading_days": over_warehouse("SELECT c.* FROM store_calendar c JOIN dim_store USING (store_sk) WHERE status NOT IN ('closed', 'temporarily_closed')"),
     "pt16_promotions": _with("li AS (SELECT order_id, sum(line_discount) AS line_discount FROM l_order_items GROUP BY 1)", "SELECT promo_type, split_part(promo_name, ' ', 1) AS campaign, count(*) AS orders, sum(discount_amount)::DOUBLE AS order_discount, coalesce(sum(line_discount), 0)::DOUBLE AS line_discount FROM l_orders LEFT JOIN dim_promotion USING (promotion_id) LEFT JOIN li USING (order_id) GROUP BY 1, 2"),
     "pt17_tenders": _with("b AS (SELECT payment_method, payment_status, count(*) AS payments FROM l_payments GROUP BY ALL)", f"SELECT *, {_PCT.format('payments', '')} AS pct FROM b"),
     "pt17_split_tenders": over_warehouse("SELECT order_id, count(*) AS payments FROM l_payments GROUP BY 1 HAVING count(*) > 1"),

@@ -29,7 +29,7 @@ def sums(*columns: str) -> list:
 
 
 class Warehouse:
-    """Frames by name, each built once a session and folder; the marts are kept, as gold tables are."""
+    """Frames by name, each built once a session and folder; facts and marts are kept, as gold tables are."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
@@ -79,7 +79,7 @@ class Warehouse:
     def fct_orders(self) -> DataFrame:
         stores = self.dim_store.select("store_id", "store_sk", "valid_from", "valid_to")
         joined = pit_join(self.latest("orders").drop("_ingestion_date"), stores, "store_id", "store_id", "order_ts")
-        return joined.drop("valid_from", "valid_to").withColumn("business_date", local_date("order_ts"))
+        return joined.drop("valid_from", "valid_to").withColumn("business_date", local_date("order_ts")).persist()
 
     @cached_property
     def fct_order_items(self) -> DataFrame:
@@ -88,7 +88,7 @@ class Warehouse:
         products = self.dim_product.select("product_id", "product_sk", "unit_cost", "valid_from", "valid_to")
         joined = pit_join(lines.join(orders, F.col("order_id") == F.col("o")).drop("o"), products, "product_id", "product_id", "order_ts").drop("valid_from", "valid_to")
         cost = (F.col("quantity").cast("int") * F.col("unit_cost")).cast("decimal(22,2)")
-        return joined.withColumn("line_cost", cost).withColumn("gross_margin", (F.col("line_total") - cost).cast("decimal(22,2)"))
+        return joined.withColumn("line_cost", cost).withColumn("gross_margin", (F.col("line_total") - cost).cast("decimal(22,2)")).persist()
 
     @cached_property
     def fct_payments(self) -> DataFrame:
@@ -227,9 +227,19 @@ class Warehouse:
         customers = self.dim_customer.select("customer_id", "customer_sk", "full_name", "city", "loyalty_tier", "signup_date")
         return scored.join(customers, "customer_id").withColumns({"rfm_score": F.concat(r.cast("string"), f.cast("string"), m.cast("string")), "rfm_total_score": r + f + m, "customer_segment": segment}).persist()
 
+    @cached_property
+    def trading_calendar(self) -> DataFrame:
+        """The spine of the stores that trade: versions that are closed give no days."""
+        return store_calendar(self.fct_orders, self.dim_store, ("closed", "temporarily_closed"))
+
     def mart(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def release(self) -> None:
+        """Give back what is kept; frames that are asked for again are built anew."""
+        for name in [n for n, df in vars(self).items() if isinstance(df, DataFrame)]:
+            vars(self).pop(name).unpersist()
+
 
 @lru_cache(maxsize=4)
 def _warehouse(application: str, spark: SparkSession, sf_dir: str) -> Warehouse:
@@ -238,3 +248,7 @@ def _warehouse(application: str, spark: SparkSession, sf_dir: str) -> Warehouse:
 
 def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     return _warehouse(spark.sparkContext.applicationId, spark, sf_dir)
+
+
+def release(spark: SparkSession, sf_dir: str) -> None:
+    warehouse(spark, sf_dir).release()

@@ -30,7 +30,7 @@ _SELECTS = {
     "products": (
         "part",
         """p_partkey product_id, element_at(map('ECONOMY', 1L, 'LARGE', 2L, 'MEDIUM', 3L, 'PROMO', 4L, 'SMALL', 5L, 'STANDARD', 6L), p_type) category_id, concat('P', p_partkey) sku, p_name product_name,
-        cast(p_retailprice as decimal(12,2)) base_price, cast(cast(p_retailprice as decimal(12,2)) - 500 + 10 * k as decimal(12,2)) unit_cost, true is_active, date'1994-12-01' launched_date,
+        cast(p_retailprice as decimal(12,2)) base_price, cast(cast(p_retailprice as decimal(12,2)) - 500 + 10 * k as decimal(12,2)) unit_cost, true is_active, date_add(date'1994-12-01', cast(p_partkey % 400 as int)) launched_date,
         timestamp_ntz'1994-12-01 00:00:00' + make_dt_interval(cast(800 * k + p_partkey % 200 as int)) updated_at""",
         "0, 1, 2",
     ),
@@ -69,9 +69,9 @@ def _versions(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     source, columns, versions = _SELECTS[table]
     df = read_table(spark, sf_dir, source)
     if table == "orders":
-        #: One number: stores are numbered from 0, and orders spread over them.
-        stores = read_table(spark, sf_dir, "supplier").count()
-        df = df.selectExpr("*", f"cast({max(stores, 1)} as bigint) stores")
+        #: One row: stores are numbered from 0, and orders spread over them.
+        stores = read_table(spark, sf_dir, "supplier").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("stores"))
+        df = df.join(F.broadcast(stores))
     if versions:
         df = df.selectExpr("*", f"explode(array({versions})) k")
         if table == "orders":
@@ -94,10 +94,11 @@ def _parts(columns: str) -> list[str]:
 
 def payments(orders: DataFrame) -> DataFrame:
     """One paid row an order, one refunded row for a refund, one failed row for every eightieth order."""
-    first = orders.filter("order_status <> 'refunded'")
     method = "element_at(array('cash', 'card', 'e_wallet'), cast(order_id % 3 as int) + 1)"
-    rows = lambda df, n, status: df.selectExpr(f"order_id * 10 + {n} payment_id", "order_id", f"{method} payment_method", "total_amount amount", f"'{status}' payment_status", "order_ts paid_at", "updated_at")
-    return rows(first, 1, "paid").unionByName(rows(orders.filter("order_status = 'refunded'"), 2, "refunded")).unionByName(rows(first.filter("order_id % 80 = 0"), 3, "failed"))
+    refund = "order_status = 'refunded'"
+    kinds = f"array_compact(array(if({refund}, struct(2 n, 'refunded' s), struct(1 n, 'paid' s)), if(not {refund} and order_id % 80 = 0, struct(3 n, 'failed' s), null)))"
+    each = orders.selectExpr("*", f"explode({kinds}) kind")
+    return each.selectExpr("order_id * 10 + kind.n payment_id", "order_id", f"{method} payment_method", "total_amount amount", "kind.s payment_status", "order_ts paid_at", "updated_at")
 
 
 def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -115,11 +116,14 @@ def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bronze(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Versions with their ingestion date, and replay copies of those written late in their business day."""
+    """Versions with their ingestion date, and replay copies of those written late in their business day.
+
+    Tables that are extracted whole have come twice.
+    """
     df = source(spark, sf_dir, table)
     if CONTRACTS[table].cursor is None:
-        return df.selectExpr("*", "date'1994-12-01' as _ingestion_date")
+        return df.selectExpr("*", "explode(array(date'1994-12-01', date'1994-12-02')) as _ingestion_date")
     local = f"(updated_at + make_dt_interval(0, {ZONE_HOURS}))"
-    dated = df.selectExpr("*", f"cast({local} as date) as _ingestion_date")
-    late = dated.filter(f"{local} >= cast(date_add(cast({local} as date), 1) as timestamp_ntz) - make_dt_interval(0, 0, {LATE_MINUTES})")
-    return dated.unionByName(late.selectExpr(*df.columns, "date_add(_ingestion_date, 1) as _ingestion_date"))
+    day = f"cast({local} as date)"
+    late = f"{local} >= cast(date_add({day}, 1) as timestamp_ntz) - make_dt_interval(0, 0, {LATE_MINUTES})"
+    return df.selectExpr("*", f"explode(if({late}, array({day}, date_add({day}, 1)), array({day}))) as _ingestion_date")

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import date
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as Over
 from pyspark.sql import functions as F
 
 from lakemill.operators.quality import set_diff
+from lakemill.sources.adapters import ZONE_HOURS
 from lakemill.sources.contracts import CONTRACTS, Contract, conform
-from lakemill.sources.windows import Window, effective_mode
+from lakemill.sources.windows import LOOKBACK_MINUTES, Window, effective_mode
 
-AUDIT = "run_id string, event string, table_name string, dt date, status string, source_rows bigint, parquet_rows bigint, bronze_rows bigint, window_start timestamp_ntz, window_end timestamp_ntz, recorded_at timestamp_ntz"
+#: Fields of an audit event, and those that no event may lack.
+AUDIT = (
+    "event string, extract_batch_id string, load_batch_id string, dt date, table_name string, run_mode string, extract_mode string, window_start timestamp_ntz, window_end timestamp_ntz, "
+    "extract_lower timestamp_ntz, lookback_minutes bigint, source_rows bigint, rows_in_window bigint, rows_in_lookback bigint, parquet_rows bigint, bronze_rows bigint, file string, sha256 string, "
+    "schema_hash string, load_job_id string, status string, error_message string, started_at timestamp_ntz, finished_at timestamp_ntz, duration_s double"
+)
+REQUIRED = ("event", "dt", "table_name", "run_mode", "status", "started_at", "finished_at", "duration_s")
+MANIFEST_VERSION = 1
 
 
 def extract(df: DataFrame, contract: Contract, window: Window, requested: str = "incremental") -> DataFrame:
@@ -28,7 +38,7 @@ def window_counts(df: DataFrame, cursor: str, window: Window) -> DataFrame:
 
 
 def with_extract_metadata(df: DataFrame, batch: str, mode: str, at: Column, source_file: str, day: date | Column) -> DataFrame:
-    return df.withColumns({"_extract_batch_id": F.lit(batch), "_extract_mode": F.lit(mode), "_extracted_at": at, "_source_file": F.lit(source_file), "_ingestion_date": F.lit(day)})
+    return df.withColumns({"_extract_batch_id": F.lit(batch), "_extract_mode": F.lit(mode), "_extracted_at": at.cast("timestamp_ntz"), "_source_file": F.lit(source_file), "_ingestion_date": F.lit(day)})
 
 
 def landing_schema(contract: Contract) -> str:
@@ -57,13 +67,45 @@ def write_landing_days(df: DataFrame, root: str, contract: Contract) -> str:
     return path
 
 
-def build_manifest(spark: SparkSession, root: str, table: str, day: date, batch: str) -> DataFrame:
-    """One row for each landing file of the day: size and checksum, with the rows of the whole artifact."""
+def schema_hash(contract: Contract) -> str:
+    """Checksum of the declared schema of a landing file."""
+    return hashlib.sha256(landing_schema(contract).encode()).hexdigest()
+
+
+def _described(files: DataFrame, table: str, batch: str, mode: str, started: Column | None, finished: Column | None) -> DataFrame:
+    """``files`` (dt, file, bytes, sha256, counts) with the fields of a manifest that follow from the day and the table."""
+    contract = CONTRACTS[table]
+    effective = effective_mode(contract.cursor, mode)
+    start = F.col("dt").cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(ZONE_HOURS))
+    none = F.lit(None).cast("timestamp_ntz")
+    began, ended = (started, finished) if started is not None else (none, none)
+    files = files.withColumns({"table_name": F.lit(table), "batch_id": F.lit(batch), "status": F.lit("complete"), "manifest_version": F.lit(MANIFEST_VERSION), "run_mode": F.lit(mode), "extract_mode": F.lit(effective)})
+    files = files.withColumns({"window_start": start, "window_end": start + F.make_dt_interval(F.lit(1)), "lookback_minutes": F.lit(LOOKBACK_MINUTES).cast("long"), "schema_hash": F.lit(schema_hash(contract))})
+    lower = F.col("window_start") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(LOOKBACK_MINUTES)) if effective == "incremental" else none
+    files = files.withColumns({"extract_lower": lower, "started_at": began, "finished_at": ended})
+    return files.withColumn("duration_s", F.expr("cast(timestampdiff(MICROSECOND, started_at, finished_at) as double) / 1e6"))
+
+
+def _counts(rows: DataFrame, contract: Contract) -> list[Column]:
+    """Rows of an artifact, of its day itself and of the lookback before it."""
+    start = F.col("_ingestion_date").cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(ZONE_HOURS))
+    inside = F.col(contract.cursor) >= start if contract.cursor else F.lit(True)
+    return [F.count(F.lit(1)).alias("parquet_rows"), F.count_if(inside).alias("rows_in_window"), F.count_if(~inside).alias("rows_in_lookback"), F.max("_extracted_at").alias("extracted_at")]
+
+
+def build_manifest(
+    spark: SparkSession, root: str, table: str, day: date, batch: str, mode: str = "incremental", source_rows: int | None = None, started: Column | None = None, finished: Column | None = None
+) -> DataFrame:
+    """One row for each landing file of the day: size and checksum, the counts of the whole artifact, the window and the schema.
+
+    ``source_rows`` is what the source counted; without it, the rows that landed.
+    """
     path = f"{root}/{table}/dt={day}"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    rows = read_landing(spark, root, CONTRACTS[table], day).agg(F.count(F.lit(1)).alias("parquet_rows"))
+    landed = read_landing(spark, root, CONTRACTS[table], day)
+    rows = landed.agg(*_counts(landed, CONTRACTS[table])).withColumn("source_rows", F.col("parquet_rows") if source_rows is None else F.lit(source_rows).cast("long"))
     hashed = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    return hashed.join(F.broadcast(rows)).withColumns({"table_name": F.lit(table), "dt": F.lit(day), "batch_id": F.lit(batch), "status": F.lit("complete")})
+    return _described(hashed.join(F.broadcast(rows)).withColumn("dt", F.lit(day)), table, batch, mode, started, finished)
 
 
 def _landing_files(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -73,24 +115,60 @@ def _landing_files(spark: SparkSession, root: str, table: str) -> DataFrame:
     return files.select(day, F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def build_manifest_days(spark: SparkSession, root: str, table: str, extracted: DataFrame, batch: str) -> DataFrame:
-    """The manifest of all landing days: one row for each file, with the rows that were extracted for its day."""
-    rows = extracted.groupBy(F.col("_ingestion_date").alias("dt")).agg(F.count(F.lit(1)).alias("parquet_rows"))
-    return rows.join(_landing_files(spark, root, table), "dt", "left").withColumns({"table_name": F.lit(table), "batch_id": F.lit(batch), "status": F.lit("complete")})
+def build_manifest_days(spark: SparkSession, root: str, table: str, extracted: DataFrame, batch: str, mode: str = "incremental", started: Column | None = None, finished: Column | None = None) -> DataFrame:
+    """The manifest of all landing days: one row for each file, with the counts of what was extracted for its day."""
+    rows = extracted.groupBy(F.col("_ingestion_date").alias("dt")).agg(*_counts(extracted, CONTRACTS[table])).withColumn("source_rows", F.col("parquet_rows"))
+    return _described(rows.join(_landing_files(spark, root, table), "dt", "left"), table, batch, mode, started, finished)
+
+
+def _embedded_schema(spark: SparkSession, path: str, contract: Contract) -> str | None:
+    """What is wrong with the schema that the files themselves carry."""
+    try:
+        found = spark.read.option("mergeSchema", "true").parquet(path).schema
+    except AnalysisException:
+        return "no readable file"
+    kinds = lambda schema: {f.name: f.dataType.simpleString() for f in schema.fields if f.name != "dt"}
+    return None if kinds(found) == kinds(spark.createDataFrame([], landing_schema(contract)).schema) else "embedded schema differs"
+
+
+def _proof(spark: SparkSession, manifest: DataFrame, found: DataFrame, rows: DataFrame, by: list[str], path: str, table: str) -> DataFrame:
+    """Problems of landing files: ``found`` has their checksums now, ``rows`` (dt, n) their rows."""
+    contract, c = CONTRACTS[table], F.col
+    joined = manifest.select(*by, "sha256", "schema_hash", "status").join(found, by, "full")
+    problem = (
+        F.when(c("found").isNull(), "missing file")
+        .when(c("sha256").isNull(), "unknown file")
+        .when(c("sha256") != c("found"), "changed file")
+        .when(c("schema_hash") != schema_hash(contract), "schema changed since the extract")
+        .when(c("status") != "complete", "not complete")
+    )
+    files = joined.select(c("dt") if "dt" in by else F.lit(None).cast("date").alias("dt"), "file", problem.alias("problem")).filter("problem is not null")
+    wanted = manifest.groupBy("dt").agg(F.max("parquet_rows").alias("wanted"))
+    counts = wanted.join(rows.withColumnRenamed("dt", "d"), c("dt") == c("d"), "left").filter(c("wanted") != F.coalesce("n", F.lit(0)))
+    out = files.unionByName(counts.select("dt", F.lit(None).cast("string").alias("file"), F.lit("row count differs").alias("problem")))
+    wrong = _embedded_schema(spark, path, contract)
+    return out.unionByName(spark.createDataFrame([(None, None, wrong)], "dt date, file string, problem string")) if wrong else out
 
 
 def verify_landing(spark: SparkSession, root: str, manifest: DataFrame, table: str, day: date) -> DataFrame:
-    """Files that are missing, new or changed against the manifest; none if all is well."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{root}/{table}/dt={day}").select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.sha2("content", 256).alias("found"))
-    wanted = manifest.filter((F.col("table_name") == table) & (F.col("dt") == F.lit(day))).select("file", "sha256")
-    return wanted.join(found, "file", "full").filter(~F.col("sha256").eqNullSafe(F.col("found")))
+    """(dt, file, problem) of the day's landing files against the manifest; no row if all is well.
+
+    A file may be missing, unknown or changed, written under another schema or not complete; the rows may be
+    too many or too few, and the schema inside the files another than the declared one.
+    """
+    path = f"{root}/{table}/dt={day}"
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.sha2("content", 256).alias("found"))
+    mine = manifest.filter((F.col("table_name") == table) & (F.col("dt") == F.lit(day)))
+    rows = read_landing(spark, root, CONTRACTS[table], day).agg(F.lit(day).alias("dt"), F.count(F.lit(1)).alias("n"))
+    return _proof(spark, mine, found, rows, ["file"], path, table)
 
 
 def verify_landing_days(spark: SparkSession, root: str, manifest: DataFrame, table: str) -> DataFrame:
     """``verify_landing`` over all days of the table; files of two days may bear one name."""
+    path = f"{root}/{table}"
     found = _landing_files(spark, root, table).select("dt", "file", F.col("sha256").alias("found"))
-    wanted = manifest.filter(F.col("table_name") == table).select("dt", "file", "sha256")
-    return wanted.join(found, ["dt", "file"], "full").filter(~F.col("sha256").eqNullSafe(F.col("found")))
+    rows = spark.read.schema(f"{landing_schema(CONTRACTS[table])}, dt date").parquet(path).groupBy("dt").agg(F.count(F.lit(1)).alias("n"))
+    return _proof(spark, manifest.filter(F.col("table_name") == table), found, rows, ["dt", "file"], path, table)
 
 
 def list_partitions(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -124,12 +202,20 @@ def write_table(df: DataFrame, path: str, partition: str, cluster: list[str]) ->
     """A partitioned table whose files are ordered by up to four columns, so that scans skip row groups."""
     if len(cluster) > 4:
         raise ValueError("at most four cluster columns")
-    df.repartition(partition).sortWithinPartitions(partition, *cluster).write.mode("overwrite").partitionBy(partition).parquet(path)
+    #: Ranges of the cluster columns, so that a large partition is not written by one task.
+    df.repartitionByRange(partition, *cluster).sortWithinPartitions(partition, *cluster).write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
 def append_audit(events: DataFrame, path: str) -> None:
-    names = [c.split(" ")[0] for c in AUDIT.split(", ")]
-    events.select(*names).write.mode("append").parquet(path)
+    """Append events; fields that an event does not have are null, but for REQUIRED ones."""
+    if lacking := [c for c in REQUIRED if c not in events.columns]:
+        raise ValueError(f"audit events lack {', '.join(lacking)}")
+    kinds = dict(c.split(" ") for c in AUDIT.split(", "))
+    events.select(*[(F.col(n) if n in events.columns else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()]).write.mode("append").parquet(path)
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(AUDIT).parquet(path)
 
 
 def audit_status(events: DataFrame) -> DataFrame:
@@ -159,12 +245,22 @@ def plan_extract(manifest: DataFrame, wanted: DataFrame, force: bool = False) ->
     return joined.select("table_name", "dt", F.when(F.col("have").isNull() | forced, "extract").when(F.lit(force), "refuse").otherwise("replay").alias("action"))
 
 
-def reconcile_local(manifest: DataFrame, audit: DataFrame) -> DataFrame:
-    """For each landed day the last load event that covers it, and whether it is good."""
+def reconcile_local(manifest: DataFrame, audit: DataFrame, problems: DataFrame | None = None) -> DataFrame:
+    """For each landed day the last load event that covers it, and whether it is good.
+
+    ``problems`` is what ``verify_landing_days`` found; a day with one, or any day where one has no day, is not good.
+    """
     last = audit.filter("event = 'load'").groupBy("table_name", "dt").agg(F.max_by("status", "recorded_at").alias("last_status"), F.max_by("bronze_rows", "recorded_at").alias("bronze_rows"))
     days = manifest.select("table_name", "dt", "parquet_rows").distinct()
     good = F.coalesce(F.col("last_status").isin("loaded", "replayed") & (F.col("bronze_rows") == F.col("parquet_rows")), F.lit(False))
-    return days.join(last, ["table_name", "dt"], "left").withColumn("passed", good)
+    joined = days.join(last, ["table_name", "dt"], "left").withColumn("passed", good)
+    if problems is None:
+        return joined
+    everywhere = problems.agg(F.count_if(F.col("dt").isNull()).alias("everywhere"))
+    broken = problems.filter("dt is not null").groupBy(F.col("dt").alias("broken_day")).agg(F.count(F.lit(1)).alias("landing_problems"))
+    proved = joined.join(broken, F.col("dt") == F.col("broken_day"), "left").drop("broken_day").join(F.broadcast(everywhere))
+    problems_of_day = F.coalesce("landing_problems", F.lit(0)) + F.col("everywhere")
+    return proved.withColumns({"landing_problems": problems_of_day, "passed": F.col("passed") & (problems_of_day == 0)}).drop("everywhere")
 
 
 def reconcile_full(source: DataFrame, bronze: DataFrame, contract: Contract, cutoff: Column) -> DataFrame:

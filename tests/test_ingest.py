@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakemill.sources import ingest
 from lakemill.sources.contracts import CONTRACTS, conform, drift
+from lakemill.sources.tables import read_source
 from lakemill.sources.windows import business_date, day_window, effective_mode, ensure_closed
 
 DAY = date(2026, 1, 2)
@@ -79,6 +80,50 @@ def test_landing_replay_and_tampering(spark, tmp_path):
     assert ingest.verify_landing(spark, root, manifest, "payments", DAY).count() == 1
 
 
+def test_the_manifest_has_all_fields_and_proves_rows_schema_and_status(spark, tmp_path):
+    root = f"file://{tmp_path}/landing"
+    w = day_window(DAY)
+    landed(spark, root, [w.start, w.start - timedelta(minutes=5), w.start + timedelta(hours=1)])
+    at = lambda s: F.lit(datetime(2026, 1, 3, 0, 0, s))
+    manifest = ingest.build_manifest(spark, root, "payments", DAY, "b", source_rows=4, started=at(1), finished=at(3)).cache()
+    row = manifest.first()
+    assert len(manifest.columns) == 23 and row["duration_s"] == 2.0 and row["extract_mode"] == "incremental"
+    assert (row["source_rows"], row["parquet_rows"], row["rows_in_window"], row["rows_in_lookback"]) == (4, 3, 2, 1)
+    assert (row["window_start"], row["window_end"], row["extract_lower"]) == (w.start, w.end, w.start - w.lookback)
+    problems = lambda m: {r["problem"] for r in ingest.verify_landing(spark, root, m, "payments", DAY).collect()}
+    assert problems(manifest) == set()
+    assert problems(manifest.withColumn("parquet_rows", F.lit(9))) == {"row count differs"}
+    assert problems(manifest.withColumn("schema_hash", F.lit("x"))) == {"schema changed since the extract"}
+    assert problems(manifest.withColumn("status", F.lit("started"))) == {"not complete"}
+    assert problems(manifest.withColumn("file", F.lit("gone.parquet"))) == {"missing file", "unknown file"}
+    spark.range(3).selectExpr("id as payment_id").write.mode("overwrite").parquet(f"{root}/payments/dt={DAY}")
+    assert "embedded schema differs" in problems(manifest)
+
+
+def test_a_day_with_a_landing_problem_is_not_reconciled(spark):
+    day, other = DAY, date(2026, 1, 3)
+    manifest = spark.createDataFrame([("payments", day, 3), ("payments", other, 4)], "table_name string, dt date, parquet_rows long")
+    loads = spark.createDataFrame([("load", "payments", d, "loaded", n, datetime(2026, 1, 4)) for d, n in ((day, 3), (other, 4))], "event string, table_name string, dt date, status string, bronze_rows long, recorded_at timestamp_ntz")
+    problems = spark.createDataFrame([(other, "f", "changed file")], "dt date, file string, problem string")
+    passed = lambda p: {r["dt"]: r["passed"] for r in ingest.reconcile_local(manifest, loads, p).collect()}
+    assert passed(None) == {day: True, other: True} and passed(problems) == {day: True, other: False}
+    assert passed(problems.withColumn("dt", F.lit(None).cast("date"))) == {day: False, other: False}
+
+
+def test_audit_fields_and_table_layout(spark, tmp_path):
+    assert len(ingest.AUDIT.split(", ")) == 25
+    with pytest.raises(ValueError, match="lack event"):
+        ingest.append_audit(spark.range(1), f"{tmp_path}/audit")
+    with pytest.raises(ValueError, match="four"):
+        ingest.write_table(spark.range(1), f"{tmp_path}/t", "id", list("abcde"))
+
+
+def test_a_source_is_read_under_its_declared_schema(spark, tmp_path):
+    payments(spark, [datetime(2026, 1, 2)]).withColumn("extra", F.lit(1)).write.parquet(f"{tmp_path}/payments")
+    read = read_source(spark, f"{tmp_path}/payments", PAYMENTS)
+    assert read.columns == list(PAYMENTS.fields) and read.count() == 1
+
+
 def test_rows_of_another_day_are_refused(spark, tmp_path):
     root = f"file://{tmp_path}/landing"
     rows = ingest.with_extract_metadata(payments(spark, [datetime(2026, 1, 2)]), "b", "incremental", F.lit(datetime(2026, 1, 3)), "payments", date(2026, 1, 9))
