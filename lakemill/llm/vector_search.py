@@ -13,9 +13,12 @@ Scores are cosines in double precision, each computed row by row from the origin
 vectors have equal scores. Ties go to the smaller id.
 
 Defined results: rows with a null id and vectors that are null, zero, or hold a null or non-finite component
-take no part, neither as query nor as candidate; nor do vectors of another length than the most frequent one
-(the smaller of two that are equally frequent). A query without candidates has no row. Rows with one id are
-separate candidates and separate queries: each has its own ranks, and sees the others but not itself.
+take no part, neither as query nor as candidate. Vectors of different lengths are no neighbours: the tree is for
+the most frequent length (the smaller of two that are equally frequent), and vectors of another length are
+compared with all of their length, without a tree. A query without candidates has no row. Rows with one id are
+separate candidates and separate queries: each has its own ranks, and sees the others but not itself. Vectors
+are scaled by a power of two first, which changes no bit of a score but lets very large and very small
+components neither overflow nor vanish.
 """
 
 from __future__ import annotations
@@ -137,9 +140,14 @@ def usable(vector: str) -> F.Column:
     return v.isNotNull() & (F.size(v) > 0) & F.coalesce(finite, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two, so that the largest component of each is between a half and one."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1]) if vectors.size else vectors
+
+
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+    return scaled(flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1))
 
 
 def best_in_part(queries: pa.Table, part: pa.Table, k: int) -> pa.Table:
@@ -185,9 +193,10 @@ def search(table: DataFrame, queries: F.Column, key: str = "vec_id", vector: str
     common = rows.groupBy(F.size("vector").alias("width")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "width").first()
     width = common["width"] if common else 1
     #: The numbers tell apart rows with one id; they are settled, so that a row keeps its own.
-    rows = settle(rows.filter(F.size("vector") == width).withColumn("row", F.monotonically_increasing_id()))
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    points = normed(np.array([r["vector"] for r in sample])) if sample else np.zeros((0, width))
+    rows = settle(rows.withColumn("row", F.monotonically_increasing_id()))
+    usual, others = rows.filter(F.size("vector") == width), rows.filter(F.size("vector") != width)
+    sample = usual.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    points = normed(scaled(np.array([r["vector"] for r in sample]))) if sample else np.zeros((0, width))
     tree = Tree.fit(points)
     most = calibrated_visits(tree, points, recall) if len(points) > k else tree.leaves or 1
     shared = spark.sparkContext.broadcast((tree.centres, tree.children, tree.leaves))
@@ -201,8 +210,11 @@ def search(table: DataFrame, queries: F.Column, key: str = "vec_id", vector: str
         walk = Tree(*shared.value).visits
         return pa.array([walk(p, most) for p in normed(matrix(column))] if len(column) else [], pa.list_(pa.int32()))
 
-    indexed = settle(rows.withColumn("leaf", leaf.asNondeterministic()(F.col("vector"))))
-    asked = rows.withColumnRenamed("id", key).filter(queries).select(F.col(key).alias("id"), "row", "vector", visits.asNondeterministic()(F.col("vector")).alias("leaves"))
+    #: Vectors of another length have a leaf of their own for each length.
+    apart = -F.size("vector")
+    indexed = settle(usual.withColumn("leaf", leaf.asNondeterministic()(F.col("vector"))).unionByName(others.withColumn("leaf", apart)))
+    ask = lambda df, leaves: df.withColumnRenamed("id", key).filter(queries).select(F.col(key).alias("id"), "row", "vector", leaves.alias("leaves"))
+    asked = ask(usual, visits.asNondeterministic()(F.col("vector"))).unionByName(ask(others, F.array(apart)))
     left, right = cells(indexed, settle(asked))
     found = left.groupBy("leaf", "part", "block").cogroup(right.groupBy("in_leaf", "in_part", "in_block")).applyInArrow(lambda a, b: best_in_part(a, b, k), "query_row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")

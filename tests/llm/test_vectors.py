@@ -40,6 +40,20 @@ def test_the_most_frequent_length_counts(spark):
     assert [r["rank"] for r in got if r["query_id"] == 0] == [1, 2, 3, 4, 5]
 
 
+def test_vectors_of_another_length_find_each_other(spark):
+    v = points(30)
+    got = found(spark, [*[(i, v[i]) for i in range(1, 31 - 1)], (50, [1.0, 0.0]), (51, [1.0, 1.0]), (52, [0.0, 1.0]), (100, [3.0])])
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in got] == [(50, 1, 51), (50, 2, 52)]
+
+
+def test_very_large_and_very_small_components_have_scores(spark):
+    rows = [(0, [1e200, 1e200], 0), (1, [1e-200, 1e-200], 0), (2, [1.0, 0.0], 0), (3, [-1e300, 0.0], 0), (4, [2.0**-1070, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = vector_search.search(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 4, 3]
+    assert np.allclose([r["score"] for r in got], [1, 0.5**0.5, 0.5**0.5, -(0.5**0.5)], atol=1e-12)
+
+
 def test_rows_without_an_id_take_no_part(spark):
     v = points(30)
     got = found(spark, [*[(i, v[i]) for i in range(30)], (None, v[0])])
