@@ -193,7 +193,9 @@ def train(featured: DataFrame, labelled: DataFrame, key: str = "doc_id", label:
     part = min(1.0, most / max(1, rows.count()))
     #: 12 bits of slack in a hash share: the sample stays near its bound, and the limit holds it there.
     chosen = rows.filter(F.pmod(F.xxhash64("k", F.lit("train")), F.lit(1 << 20)) < int(part * (1 << 20)) + 1)
-    sample = featured.join(chosen, F.col(key) == F.col("k")).select("features", "label").limit(2 * most).collect()
+    sample = featured.join(chosen, F.col(key) == F.col("k")).select("k", "features", "label").limit(2 * most).collect()
+    #: In one order, so that sums, and with them scores, are the same in every run.
+    sample.sort(key=lambda r: (r["k"], r["label"], r["features"]))
     x = np.array([r["features"] for r in sample]).reshape(-1, len(FEATURES))
     return fit(x, np.array([r["label"] for r in sample], float))
 
