@@ -49,8 +49,8 @@ STEP = 16
 #: Parts into which a large group is split where its members are joined to the size of the group.
 SALTS = 16
 #: Classes in a tile of sketches, and classes and bytes of text in a tile of texts.
-SKETCH_TILE = 1024
-TILE = 1024
+SKETCH_TILE = 256
+TILE = 256
 TILE_BYTES = 4_000_000
 #: Shingles of one product of incidence matrices.
 COLUMNS = 2048
