@@ -14,7 +14,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label of the neighbours, summed before the shuffle, and then the label
     of the label; rounds go on until none changes.
     """
-    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    #: Both directions of an edge come from one evaluation of it, since a second one may name other edges.
+    directions = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = settle(edges.filter("a <> b").select(directions.alias("e")).select("e.a", "e.b").distinct())
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))

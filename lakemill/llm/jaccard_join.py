@@ -180,7 +180,11 @@ LINKED = "node long, root long, links long"
 
 
 def two_tiles(rows: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]:
-    """The rows of two tiles, their sketches as a matrix, and which rows are of the first tile and of the second."""
+    """The rows of two tiles, their sketches as a matrix, and which rows are of the first tile and of the second.
+
+    Rows come in any order, and roots depend on it; sorted, a task that runs again names the same roots.
+    """
+    rows = rows.sort_by("node")
     values = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint32).reshape(-1, BANDS * ROWS)
     tiles = rows.column("tile").to_numpy()
     return rows, values, np.flatnonzero(tiles == rows.column("a")[0].as_py()), np.flatnonzero(tiles == rows.column("b")[0].as_py())

@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lakemill.llm import jaccard_join, substring_dedup
 from lakemill.llm.catalogue import oracle_sql, queries
@@ -216,3 +219,21 @@ def test_components_of_paths_and_stars(spark):
 
 def test_join_query_equals_sql(spark):
     same(spark, queries()["op6_jaccard_join"], oracle_sql()["op6_jaccard_join"])
+
+
+def test_components_evaluate_their_edges_once(spark):
+    @F.arrow_udf("long")
+    def other(column: pa.Array) -> pa.Array:
+        return pa.array([1000 + uuid.uuid4().int % 2**60 for _ in column], pa.int64())
+
+    edges = spark.range(50).select(F.col("id").alias("a"), other.asNondeterministic()("id").alias("b"))
+    got = components(edges).collect()
+    assert len({r.node for r in got}) == 100 and sorted(r.label for r in got) == sorted([*range(50), *range(50)])
+
+
+def test_roots_do_not_depend_on_the_order_of_rows():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**32, 128, dtype=np.uint32)
+    rows = [{"node": int(n), "sketch": base.tobytes() if n % 3 else rng.integers(0, 2**32, 128, dtype=np.uint32).tobytes(), "tile": int(n % 2), "a": 0, "b": 1} for n in rng.permutation(40)]
+    runs = [jaccard_join.prune(pa.Table.from_pylist(order), 0.8, 1e-9).to_pylist() for order in (rows, rows[::-1])]
+    assert runs[0] and runs[0] == runs[1]
