@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lakemill.llm import jaccard_join, substring_dedup
 from lakemill.llm.catalogue import oracle_sql, queries
-from lakemill.llm.components import components
+from lakemill.llm.components import components, contracted
 from tests.comparing import same
 
 real = substring_dedup.window_hashes
@@ -237,3 +237,22 @@ def test_roots_do_not_depend_on_the_order_of_rows():
     rows = [{"node": int(n), "sketch": base.tobytes() if n % 3 else rng.integers(0, 2**32, 128, dtype=np.uint32).tobytes(), "tile": int(n % 2), "a": 0, "b": 1} for n in rng.permutation(40)]
     runs = [jaccard_join.prune(pa.Table.from_pylist(order), 0.8, 1e-9).to_pylist() for order in (rows, rows[::-1])]
     assert runs[0] and runs[0] == runs[1]
+
+
+def test_roots_of_many_tiles_contract_to_one_edge_a_node(spark):
+    """A group of 400 nodes compared in 20 tiles names a root for each node and tile; one edge a node is left."""
+    tiles = [range(20 * t, 20 * t + 20) for t in range(20)]
+    edges = [(v, min(s[0], t[0])) for s in tiles for t in tiles for v in s]
+    left = contracted(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted(tuple(r) for r in left) == [(v, 0) for v in range(1, 400)]
+
+
+def test_components_equal_union_of_sets_on_random_graphs(spark):
+    rng = random.Random(23)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)]
+    group = {v: v for e in edges for v in e if e[0] != e[1]}
+    for _ in group:
+        for a, b in edges:
+            if a != b:
+                group[a] = group[b] = min(group[a], group[b])
+    assert {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == group
