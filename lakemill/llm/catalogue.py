@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lakemill.llm import bpe, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter, vector_search
+from lakemill.llm import bpe, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter, vector_search, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_vector_search": vector_search.op8_vector_search,
         "op9_quality_rules": quality_rules.op9_quality_rules,
         "op10_sharding": sharding.op10_sharding,
+        "op11_whitening": whitening.op11_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
