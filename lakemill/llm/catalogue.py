@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from lakemill.llm import bpe, conversation_repair, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, sharding, substring_dedup, url_filter, vector_search, whitening
+from lakemill.llm import bpe, conversation_repair, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, url_filter, vector_search, whitening
 
 
 def queries() -> dict:
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op10_sharding": sharding.op10_sharding,
         "op11_whitening": whitening.op11_whitening,
         "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+        "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
         "pipeline": corpus_pipeline.run,
     }
 
