@@ -14,7 +14,7 @@ from lakemill.operators.history import snapshot_changes
 from lakemill.operators.spine import dim_time
 from lakemill.plans.counterpart import over_warehouse
 from lakemill.plans.models import plain
-from lakemill.sources import ingest
+from lakemill.sources import coverage, ingest
 from lakemill.sources.adapters import ZONE_HOURS, bronze, source
 from lakemill.sources.contracts import CONTRACTS
 from lakemill.sources.tables import read_table
@@ -145,6 +145,53 @@ def local_reconcile(spark, sf_dir):
     return ingest.reconcile_local(_days(spark, sf_dir), ingest.audit_status(_events(spark, sf_dir))).groupBy("last_status", "passed").agg(F.count(F.lit(1)).alias("days"))
 
 
+def covered_reconcile(spark, sf_dir):
+    """All days of the stores land, are proved and loaded a day each; those up to DAY had come in a replay of everything.
+
+    The events hold what each job really did: the manifest's counts, and the rows that stand in bronze after it.
+    """
+    table, root, target = "stores", scratch(spark, "landing"), scratch(spark, "bronze")
+    contract, days = CONTRACTS[table], bronze(spark, sf_dir, table)
+    at = lambda hours: F.col("dt").cast("timestamp_ntz") + F.make_dt_interval(F.lit(1), F.lit(hours))
+    early, late = days.filter(F.col("_ingestion_date") <= F.lit(DAY)), days.filter(F.col("_ingestion_date") > F.lit(DAY))
+    land = lambda rows: ingest.write_landing_days(ingest.with_extract_metadata(rows, "batch", "incremental", F.lit(datetime(1999, 1, 1)), table, F.col("_ingestion_date")), root, contract, "append")
+    land(early)
+    first, moment = settle(ingest.build_manifest_days(spark, root, table, early, "batch", started=at(0), finished=at(1))), F.lit(datetime(1998, 6, 16, 2))
+    rows = F.lit(ingest.replay_all(spark, root, target, table, first, moment))
+    replay = first.agg(*coverage.coverage(first)).withColumns({"table_name": F.lit(table), "load_batch_id": F.lit("replay-1"), "run_mode": F.lit(coverage.REPLAY), "status": F.lit("replayed"), "dt": F.lit(DAY)})
+    replay = replay.withColumns({"parquet_rows": rows, "bronze_rows": rows, "started_at": moment})
+    land(late)
+    own = F.concat_ws("-", "table_name", "dt")
+    manifest = settle(ingest.build_manifest_days(spark, root, table, days, "batch", started=at(0), finished=at(1)).withColumn("batch_id", own))
+    ingest.load_days(spark, root, target, table, F.lit(datetime(1999, 1, 2)), after=DAY)
+    held = spark.read.parquet(f"{target}/{table}").groupBy(F.col("_ingestion_date").alias("d")).agg(F.count(F.lit(1)).alias("bronze_rows"))
+    loads = coverage.artifacts(manifest).filter(F.col("dt") > F.lit(DAY)).join(held, F.col("dt") == F.col("d"), "left").withColumns({"started_at": at(2), "load_batch_id": F.concat(F.lit("load-"), "dt")})
+    loads = loads.select("table_name", "dt", F.col("batch_id").alias("extract_batch_id"), "load_batch_id", F.lit("load").alias("run_mode"), "started_at", "parquet_rows", "bronze_rows", F.when(F.col("bronze_rows") == F.col("parquet_rows"), "loaded").otherwise("mismatch").alias("status"))
+    path = scratch(spark, "audit")
+    for events in (replay, loads):
+        ingest.append_audit(events.withColumns({"event": F.lit("load"), "finished_at": F.col("started_at"), "duration_s": F.lit(0.0)}), path)
+    problems = ingest.verify_landing_days(spark, root, manifest, table).select(F.lit(table).alias("table_name"), "dt", "problem")
+    return coverage.reconcile_covered(manifest, ingest.read_audit(spark, path), problems).drop("batch_id")
+
+
+def load_replays(spark, sf_dir):
+    """Loads of the orders' days by what covered them before. The days of 1994 were first loaded on 1 January 1996, but a replay of
+    all days up to then had come on 1 June 1995."""
+    batch, second = F.concat_ws("-", "table_name", "dt"), F.lit(datetime(1996, 1, 1))
+    window = {"window_start": F.col("dt").cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(ZONE_HOURS))}
+    window["window_end"] = window["window_start"] + F.make_dt_interval(F.lit(1))
+    ended = F.col("dt").cast("timestamp_ntz") + F.make_dt_interval(F.lit(1), F.lit(1))
+    known = _days(spark, sf_dir).withColumns({"batch_id": batch, "source_rows": F.col("parquet_rows"), "finished_at": ended, **window})
+    loads = _events(spark, sf_dir).filter("event = 'load'")
+    late = loads.filter("year(dt) = 1994 and recorded_at = cast(dt as timestamp_ntz) + make_dt_interval(1, 2)").withColumn("recorded_at", second)
+    own = loads.filter("year(dt) <> 1994").unionByName(late).withColumns({"extract_batch_id": batch, "load_batch_id": F.concat_ws("-", "table_name", "dt", "recorded_at"), "run_mode": F.lit("load")})
+    own = own.withColumns({"started_at": F.col("recorded_at"), "finished_at": F.col("recorded_at"), "status": F.lit(None).cast("string")})
+    begun = F.lit(datetime(1995, 6, 1))
+    replay = known.filter("year(dt) <= 1994").agg(*coverage.coverage(known)).withColumns({"table_name": F.lit("orders"), "load_batch_id": F.lit("replay-1"), "run_mode": F.lit(coverage.REPLAY), "status": F.lit("replayed"), "started_at": begun, "finished_at": begun})
+    audit = own.unionByName(replay, allowMissingColumns=True)
+    return coverage.load_statuses(known, audit).groupBy("status").agg(F.count(F.lit(1)).alias("loads"), F.sum("bronze_rows").alias("rows"), F.max("dt").alias("last_day"))
+
+
 def full_reconcile(spark, sf_dir):
     """Bronze without every hundredth key against the source."""
     held = bronze(spark, sf_dir, "orders").filter("order_id % 100 <> 1")
@@ -221,7 +268,7 @@ def stream_day_counts(spark, sf_dir):
 
 QUERIES = {
     "ing2_incremental": incremental, "ing3_bootstrap": bootstrap, "ing4_full": full, "ing5_counts": counts, "snk5_landing_to_bronze": landing_to_bronze, "snk6_replayed": replayed, "snk6_replayed_days": replayed_days, "ing8_continuity": continuity,
-    "ing11_plan": extract_plan, "snk8_clustered": clustered_table, "snk9_audit": appended_audit, "rec1_audit": audit, "rec2_local": local_reconcile, "rec3_full": full_reconcile, "rec3_untouched": untouched_reconcile, "rec4_freshness": freshness, "cdc1_changes": changes, "spn3_dayparts": minutes, "spn3_minutes": all_minutes,
+    "ing11_plan": extract_plan, "snk8_clustered": clustered_table, "snk9_audit": appended_audit, "rec1_audit": audit, "rec2_local": local_reconcile, "rec2_covered": covered_reconcile, "rec5_load_statuses": load_replays, "rec3_full": full_reconcile, "rec3_untouched": untouched_reconcile, "rec4_freshness": freshness, "cdc1_changes": changes, "spn3_dayparts": minutes, "spn3_minutes": all_minutes,
     "str1_bronze": stream_bronze, "str2_without_replays": stream_without_replays, "str3_day_counts": stream_day_counts,
 }
 
@@ -242,6 +289,11 @@ SQL = {
     "snk8_clustered": over_warehouse("SELECT order_status, count(*) AS orders, min(store_id) AS first_store, max(order_ts) AS last_order FROM v_orders GROUP BY 1"),
     "snk9_audit": over_warehouse(f", {_DAYS}, e AS (SELECT 'extract' AS event, 'extracted' AS status, n FROM dy UNION ALL SELECT 'load', CASE WHEN dayofyear(dt) = 100 THEN 'mismatch' ELSE 'loaded' END, n FROM dy UNION ALL SELECT 'load', CASE WHEN dayofyear(dt) = 100 THEN 'mismatch' ELSE 'replayed' END, n FROM dy WHERE year(dt) < 1996) SELECT event, status, count(*) AS events, sum(n)::BIGINT AS rows FROM e GROUP BY ALL"),
     "rec2_local": over_warehouse(f", {_DAYS}, e AS (SELECT CASE WHEN dayofyear(dt) = 100 THEN 'mismatch' WHEN year(dt) < 1996 THEN 'replayed' ELSE 'loaded' END AS last_status FROM dy) SELECT last_status, last_status <> 'mismatch' AS passed, count(*) AS days FROM e GROUP BY ALL"),
+    "rec2_covered": over_warehouse(f", d AS (SELECT _ingestion_date AS dt, count(*) AS n FROM b_stores GROUP BY 1) SELECT 'stores' AS table_name, dt, n AS source_rows, n AS parquet_rows, 0::BIGINT AS landing_problems, CASE WHEN dt <= DATE '{DAY}' THEN 'replay_all' ELSE 'load' END AS last_mode, CASE WHEN dt <= DATE '{DAY}' THEN 'replay-1' ELSE 'load-' || dt END AS last_load, CASE WHEN dt <= DATE '{DAY}' THEN 'replayed' ELSE 'loaded' END AS last_status, CASE WHEN dt <= DATE '{DAY}' THEN (SELECT count(*) FROM b_stores WHERE _ingestion_date <= DATE '{DAY}') ELSE n END AS last_rows, true AS passed FROM d"),
+    "rec5_load_statuses": over_warehouse(f""", {_DAYS}, e AS (SELECT dt, n - CASE WHEN dayofyear(dt) = 100 THEN 1 ELSE 0 END AS b, dayofyear(dt) = 100 AS wrong FROM dy),
+  l AS (SELECT dt, b, CASE WHEN wrong THEN 'mismatch' WHEN year(dt) = 1994 THEN 'replayed' ELSE 'loaded' END AS status FROM e
+  UNION ALL SELECT dt, b, CASE WHEN wrong THEN 'mismatch' ELSE 'replayed' END FROM e WHERE year(dt) < 1996 AND year(dt) <> 1994)
+  SELECT status, count(*) AS loads, sum(b)::BIGINT AS rows, max(dt) AS last_day FROM l GROUP BY 1"""),
     "rec3_full": over_warehouse(f", a AS (SELECT * FROM v_orders WHERE updated_at < TIMESTAMP '{CUTOFF}'), b AS (SELECT * FROM b_orders WHERE updated_at < TIMESTAMP '{CUTOFF}' AND order_id % 100 <> 1) SELECT (SELECT count(DISTINCT order_id) FROM a) AS source_keys, (SELECT max(updated_at) FROM a) AS source_newest, (SELECT count(DISTINCT order_id) FROM b) AS bronze_keys, (SELECT max(updated_at) FROM b) AS bronze_newest, (SELECT count(DISTINCT order_id) FROM a WHERE order_id NOT IN (SELECT order_id FROM b)) AS missing_in_bronze, 0::BIGINT AS missing_in_source, (SELECT count(DISTINCT order_id) FROM a WHERE order_id NOT IN (SELECT order_id FROM b)) = 0 AS passed"),
     "rec4_freshness": over_warehouse("SELECT max(updated_at) AS source_newest, max(updated_at) AS bronze_newest, true AS passed FROM v_orders"),
     "cdc1_changes": over_warehouse("SELECT customer_id, loyalty_tier, TIMESTAMP '1999-01-01' AS updated_at FROM v_customers WHERE updated_at >= TIMESTAMP '1995-01-01' AND loyalty_tier <> 'basic'"),

@@ -59,11 +59,11 @@ def write_landing(df: DataFrame, root: str, contract: Contract, day: date, order
     return path
 
 
-def write_landing_days(df: DataFrame, root: str, contract: Contract) -> str:
-    """Landing files of many days in one write: each row goes under the folder of its ``_ingestion_date``."""
+def write_landing_days(df: DataFrame, root: str, contract: Contract, mode: str = "overwrite") -> str:
+    """Landing files of many days in one write: each row goes under the folder of its ``_ingestion_date``; ``append`` for new days only."""
     path = f"{root}/{contract.name}"
     rows = df.withColumn("dt", F.col("_ingestion_date"))
-    rows.repartitionByRange("dt", contract.key).sortWithinPartitions("dt", contract.key).write.mode("overwrite").option("compression", "zstd").partitionBy("dt").parquet(path)
+    rows.repartitionByRange("dt", contract.key).sortWithinPartitions("dt", contract.key).write.mode(mode).option("compression", "zstd").partitionBy("dt").parquet(path)
     return path
 
 
@@ -189,6 +189,17 @@ def load_partition(spark: SparkSession, root: str, bronze: str, table: str, day:
     return checked["n"]
 
 
+def load_days(spark: SparkSession, root: str, bronze: str, table: str, at: Column, after: date) -> None:
+    """``load_partition`` for every landing day after ``after`` in one job: exactly these partitions of bronze are replaced.
+
+    Rows that do not belong to the day of their folder are refused.
+    """
+    rows = spark.read.schema(f"{landing_schema(CONTRACTS[table])}, dt date").parquet(f"{root}/{table}").filter(F.col("dt") > F.lit(after))
+    if strange := rows.filter(~F.col("_ingestion_date").eqNullSafe(F.col("dt"))).count():
+        raise ValueError(f"{strange} rows of {table} do not belong to the day of their folder")
+    rows.drop("dt").withColumn("_loaded_at", at).write.mode("overwrite").partitionBy("_ingestion_date").option("partitionOverwriteMode", "dynamic").parquet(f"{bronze}/{table}")
+
+
 def replay_all(spark: SparkSession, root: str, bronze: str, table: str, manifest: DataFrame, at: Column) -> int:
     """Build the whole bronze table anew from all landing days in one job; the count must be the manifest's."""
     rows = spark.read.schema(landing_schema(CONTRACTS[table])).parquet(f"{root}/{table}").drop("dt").withColumn("_loaded_at", at)
