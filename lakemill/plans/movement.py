@@ -14,7 +14,7 @@ from lakemill.operators.history import snapshot_changes
 from lakemill.operators.spine import dim_time
 from lakemill.plans.counterpart import over_warehouse
 from lakemill.plans.models import plain
-from lakemill.sources import coverage, ingest
+from lakemill.sources import coverage, ingest, ledger
 from lakemill.sources.adapters import ZONE_HOURS, bronze, source
 from lakemill.sources.contracts import CONTRACTS
 from lakemill.sources.tables import read_table
@@ -236,11 +236,11 @@ def _staged(spark, sf_dir, table: str) -> str:
 
 
 def stream_bronze(spark, sf_dir):
-    """Stores' landing files through a stream into bronze partitions."""
+    """Stores' landing files, two a batch, through a stream that replaces bronze days: most days come over several batches."""
     path, target = _staged(spark, sf_dir, "stores"), scratch(spark, "stream-bronze")
-    stream = jobs.stream_landing(spark, spark.read.parquet(path).schema, path)
-    jobs.bronze_stream(stream, target, scratch(spark, "stream-progress")).awaitTermination()
-    return spark.read.parquet(target).groupBy("_ingestion_date").agg(F.count(F.lit(1)).alias("rows"))
+    schema = spark.read.parquet(path).schema
+    jobs.bronze_stream(jobs.stream_landing(spark, schema, path, files_a_batch=2), target, scratch(spark, "stream-progress")).awaitTermination()
+    return ledger.read_days(spark, target, jobs.ddl(schema)).groupBy("_ingestion_date").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def stream_without_replays(spark, sf_dir):
@@ -261,7 +261,7 @@ def stream_day_counts(spark, sf_dir):
     path = scratch(spark, "events")
     read_table(spark, sf_dir, "events").select("event_id", F.to_timestamp(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS")).alias("ts")).repartition(4).write.parquet(path)
     stream = jobs.stream_landing(spark, spark.read.parquet(path).schema, path)
-    counted = jobs.run_to_table(jobs.business_day_counts(stream, "ts"), f"days_{uuid.uuid4().hex}", "complete")
+    counted = jobs.run_to_totals(jobs.business_day_counts(stream, "ts"), scratch(spark, "days"), scratch(spark, "days-progress"))
     day = F.to_date(F.date_format(F.expr(f"window.start + make_dt_interval(0, {ZONE_HOURS})"), "yyyy-MM-dd"))
     return counted.select(day.alias("business_date"), "events")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lakemill.sources import ledger
 from lakemill.sources.adapters import ZONE_HOURS
 
 
@@ -15,15 +16,12 @@ def stream_landing(spark: SparkSession, schema: StructType, path: str, files_a_b
 
 
 def bronze_stream(stream: DataFrame, bronze: str, checkpoint: str):
-    """Append each micro-batch to the bronze partitions of its days; ends when all that is there is read.
+    """Each micro-batch replaces the bronze days that it touches, once; ends when all that is there is read.
 
-    A batch that runs again after a failure writes the same folder again, so rows come once.
+    ``sources.ledger`` says how a batch that fails or comes twice leaves each row once. The checkpoint is the writer's name:
+    a stream with another checkpoint reads, and adds, everything anew.
     """
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_batch", "_ingestion_date").parquet(bronze)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(lambda batch, number: ledger.replace_days(batch, bronze, checkpoint, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def without_replays(stream: DataFrame, key: str, cursor: str, lookback: str = "60 minutes") -> DataFrame:
@@ -53,8 +51,18 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there into a table on the driver and return it; for aggregates with a bounded number of rows."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_totals(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregating stream over what is there; each batch writes all groups anew, and the last version is returned."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    spark = stream.sparkSession
+    stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{ddl(stream.schema)}, batch long").parquet(path)
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.filter(F.col("batch") == last).drop("batch")
+
+
+def ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
