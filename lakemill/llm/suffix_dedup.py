@@ -51,7 +51,7 @@ BLOCK = 32
 BATCHES = 4
 BUCKET_ROWS = 1_000_000
 #: Parts over which the rows of one text are dealt.
-SALTS = 8
+SALTS = 4
 #: Window starts that one step of numpy covers.
 STEP = 1_000_000
 
@@ -79,6 +79,13 @@ class Folder:
             df.write.mode(mode).option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def drop(self, *names: str) -> None:
+        """Removes tables that no later step reads."""
+        jvm, hadoop = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(hadoop).delete(path, True)
+
 
 def least_place(values: np.ndarray, width: int) -> np.ndarray:
     """The smallest of each ``width`` consecutive values, by running minima forwards and backwards over tiles of that width."""
@@ -248,27 +255,40 @@ def repeated_windows(hits: DataFrame, docs: DataFrame, folder: Folder) -> DataFr
     left = judged.join(open_cores, F.col("core") == F.col("c"), "left_semi").groupBy(F.col("whole").alias("w")).agg(F.collect_list(F.struct("first", "last")).alias("blocks"))
     windows = pieces.join(left, F.col("whole") == F.col("w")).select("whole", "alone", "bytes", "blocks").mapInArrow(window_rows, "whole binary, alone boolean, first long, window binary")
     windows = folder.put("windows", windows)
+    folder.drop("pieces", "blocks")
     single = windows.filter("alone").join(twice(windows, "window", F.col("alone")), F.col("window") == F.col("again"), "left_semi")
     answers = wholes.filter("n > 1").select("whole", F.lit(0).cast("long").alias("a"), F.lit(None).cast("long").alias("z"))
     answers = answers.unionAll(judged.filter("alone AND done").select("whole", F.col("first").alias("a"), F.col("last").alias("z")))
     return answers.unionAll(single.select("whole", F.col("first").alias("a"), F.col("first").alias("z")))
 
 
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])))
+def united(starts: pa.Array) -> pa.Array:
+    """The spans that windows cover, from ranges (a, z) of their starts."""
+    out = []
+    for ranges in starts.to_pylist():
+        spans: list[dict] = []
+        for a, z in sorted((r["a"], r["z"] + WINDOW) for r in ranges):
+            if spans and a <= spans[-1]["stop"]:
+                spans[-1]["stop"] = max(spans[-1]["stop"], z)
+            else:
+                spans.append({"start": a, "stop": z})
+        out.append(spans)
+    return pa.array(out, SPANS)
+
+
 def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n_bytes, n_removed, n_spans, kept, spans) from (key, text, starts)."""
+    """(key, n_bytes, n_removed, n_spans, kept, spans) from (key, text, spans)."""
     for batch in batches:
         out, held = [], 0
-        for key, text, starts in zip(*(batch.column(c) for c in ("key", "text", "starts"))):
-            data = text.as_buffer().to_pybytes() if text.is_valid else b""
-            spans: list[list[int]] = []
-            for a, z in sorted((s["a"], s["z"] + WINDOW) for s in starts.as_py() or ()):
-                if spans and a <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], z)
-                else:
-                    spans.append([a, z])
-            edges = [0, *(x for s in spans for x in s), len(data)]
+        for key, text, found in zip(*(batch.column(c) for c in ("key", "text", "spans"))):
+            data, spans = text.as_buffer().to_pybytes() if text.is_valid else b"", found.as_py() or []
+            edges = [0, *(x for s in spans for x in (s["start"], s["stop"])), len(data)]
             kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            out.append((key.as_py(), len(data), len(data) - len(kept), len(spans), kept, [{"start": a, "stop": b} for a, b in spans]))
+            out.append((key.as_py(), len(data), len(data) - len(kept), len(spans), kept, spans))
             held += len(kept)
             if held > STEP:
                 yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(KEPT)], schema=KEPT)
@@ -276,7 +296,7 @@ def kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array([r[i] for r in out], f.type) for i, f in enumerate(KEPT)], schema=KEPT)
 
 
-KEPT = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
+KEPT = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", SPANS)])
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int = BATCHES) -> DataFrame:
@@ -295,12 +315,16 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batches: int
     index.drop()
     again = found.distinct().withColumnRenamed("suffix", "again")
     hits = folder.put("hits", known.join(again, F.col("suffix") == F.col("again"), "left_semi").drop("batch"))
+    folder.drop("gaps", "found")
     answers = folder.put("answers", repeated_windows(hits, rows, folder).withColumnRenamed("whole", "w"))
+    folder.drop("wholes", "judged", "windows")
     places = hits.select("th", "lo", "hi", "whole").distinct().join(answers, F.col("whole") == F.col("w"))
-    starts = places.groupBy("th").agg(F.collect_set(F.struct((F.col("lo") + F.col("a")).alias("a"), F.coalesce(F.col("lo") + F.col("z"), "hi").alias("z"))).alias("starts"))
-    starts = starts.select(F.col("th").alias("t"), "starts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    starts = F.collect_set(F.struct((F.col("lo") + F.col("a")).alias("a"), F.coalesce(F.col("lo") + F.col("z"), "hi").alias("z")))
+    spans = folder.put("spans", places.groupBy(F.col("th").alias("t")).agg(united(starts).alias("spans")))
+    folder.drop("hits", "answers")
+    dealt = spans.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(starts, (F.col("th") == F.col("t")) & (F.col("salt") == F.col("s")), "left").select("key", "text", "starts")
+    joined = salted.join(dealt, (F.col("th") == F.col("t")) & (F.col("salt") == F.col("s")), "left").select("key", "text", "spans")
     return joined.mapInArrow(kept_rows, "key long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: long, stop: long>>")
 
 
