@@ -1,40 +1,14 @@
-"""Tiles, shares and inversions without moving all rows to one task."""
+"""Shares and inversions without moving all rows to one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakemill.functions.lineage import settle
-
-
 #: Entities of which all pairs may be looked at.
 MOST_RANKED = 2_000
 
 
-def distributed_ntile(df: DataFrame, tiles: int, order: list[Column], out: str) -> DataFrame:
-    """``ntile`` over the whole frame. ``order`` must be total, or equal rows fall by chance.
-
-    Rows are range-partitioned and written once; counts of the partitions give each its offset, and the
-    tile follows from the global place in closed form.
-    """
-    placed = settle(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
-    counts = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    #: A row for each partition.
-    offsets = counts.select(
-        F.col("__part").alias("__p"),
-        F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"),
-        F.sum("__n").over(Window.partitionBy()).alias("__total"),
-    )
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    ranked = placed.withColumn("__i", inside).join(F.broadcast(offsets), F.col("__part") == F.col("__p")).withColumn("__i", F.col("__i") + F.col("__before"))
-    short, more = F.expr(f"__total div {tiles}"), F.expr(f"__total % {tiles}")
-    tile = F.when(F.col("__i") < more * (short + 1), F.expr(f"__i div (__total div {tiles} + 1)") + 1).otherwise(
-        more + F.expr(f"try_divide(__i - (__total % {tiles}) * (__total div {tiles} + 1), __total div {tiles})").cast("long") + 1
-    )
-    return ranked.withColumn(out, tile.cast("long")).drop("__part", "__p", "__n", "__i", "__before", "__total")
-
-
 def share_of_total(df: DataFrame, measure: str, out: str, by: list[str] | None = None) -> DataFrame:
     """Percentage of a measure in the total of its group; meant for aggregates."""
     total = F.sum(measure).over(Window.partitionBy(*(by or [])))

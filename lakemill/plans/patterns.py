@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakemill.functions.columns import local_date, local_time, ratio
-from lakemill.operators.ranking import distributed_ntile, rank_inversions, share_of_total
+from lakemill.functions.lineage import settle
+from lakemill.operators.ranking import rank_inversions, share_of_total
+from lakemill.operators.selection import tiles_by_selection
 from lakemill.plans.counterpart import over_warehouse
 from lakemill.plans.models import plain
 from lakemill.plans.warehouse import warehouse
@@ -102,7 +104,7 @@ def repeat_buckets(spark, sf_dir):
 
 
 def top_decile_share(spark, sf_dir):
-    ranked = distributed_ntile(_per_customer(warehouse(spark, sf_dir)), 10, [F.desc("n"), F.asc("customer_id")], "decile")
+    ranked = tiles_by_selection(settle(_per_customer(warehouse(spark, sf_dir))), 10, "customer_id", {"decile": -F.col("n")})
     return ranked.agg(ratio(F.lit(100) * F.sum(F.when(F.col("decile") == 1, F.col("n"))), F.sum("n")).alias("top_decile_pct"))
 
 
@@ -123,7 +125,7 @@ def top_products(spark, sf_dir):
 
 
 def top_fifth_products(spark, sf_dir):
-    ranked = distributed_ntile(_units(warehouse(spark, sf_dir)), 5, [F.desc("units"), F.asc("product_id")], "fifth")
+    ranked = tiles_by_selection(settle(_units(warehouse(spark, sf_dir))), 5, "product_id", {"fifth": -F.col("units")})
     return ranked.agg(ratio(F.lit(100) * F.sum(F.when(F.col("fifth") == 1, F.col("units"))), F.sum("units")).alias("top_fifth_pct"))
 
 
@@ -262,6 +264,12 @@ def cohort_pivot(spark, sf_dir, months: tuple[int, ...] = (0, 1, 2, 3)):
     return c.groupBy("cohort_month").agg(F.max("cohort_size").alias("cohort_size"), *made)
 
 
+def cohort_pivot_all(spark, sf_dir):
+    """Retention of every month that any cohort has; the months, some eighty, come from the data."""
+    months = [r[0] for r in warehouse(spark, sf_dir).customer_cohorts.select("month_number").distinct().orderBy("month_number").collect()]
+    return cohort_pivot(spark, sf_dir, tuple(months))
+
+
 def status_amounts(spark, sf_dir):
     w = warehouse(spark, sf_dir)
     side = lambda df, kind, status, amount: df.groupBy(F.lit(kind).alias("kind"), F.col(status).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).cast("double").alias("amount"))
@@ -308,7 +316,7 @@ QUERIES = {
     "pt11_no_orders": members_without_orders, "pt12_top_products": top_products, "pt13_top_fifth": top_fifth_products, "pt14_category_daypart": category_by_daypart,
     "pt15_baskets": basket_sizes, "pt16_promotions": promotion_mix, "pt17_tenders": tender_mix, "pt17_split_tenders": split_tenders, "pt18_statuses": status_mix,
     "pt20_update_ranges": update_ranges, "pt21_latest_updates": latest_update_dates, "pt21_update_lag": update_lag, "pt22_counters": change_counters, "pt23_changed_stores": stores_changed,
-    "pt24_openings": openings, "bi25_region_pivot": ads_by_region_pivot, "bi41_cohort_pivot": cohort_pivot, "in1_statuses": status_amounts, "in3_company_customers": company_and_customers,
+    "pt24_openings": openings, "bi25_region_pivot": ads_by_region_pivot, "bi41_cohort_pivot": cohort_pivot, "bi41_cohort_all_months": cohort_pivot_all, "in1_statuses": status_amounts, "in3_company_customers": company_and_customers,
     "win10_inversions": region_inversions, "jon16_primary_tender": primary_tender, "jon17_promotion_violations": promotion_violations, "tir1_upgrades": tier_upgrades,
     "pt15_quantities": quantities, "pt20_recent_writes": recent_writes, "pt22_changed_rows": changed_rows, "pt24_launches": launches, "flt7_trading_days": lambda spark, sf_dir: warehouse(spark, sf_dir).trading_calendar,
 }
@@ -359,6 +367,7 @@ SQL = {
     "pt23_changed_stores": over_warehouse("SELECT store_id, store_name, status, valid_from FROM dim_store WHERE valid_from::DATE > opened_date"),
     "pt24_openings": _with(f"{_O}, {_ST}, f AS (SELECT store_id, min(local_day) AS first_sale FROM o GROUP BY 1)", "SELECT store_id, opened_date, first_sale FROM st LEFT JOIN f USING (store_id) WHERE opened_date > (SELECT min(local_day) FROM o)"),
     "bi25_region_pivot": _with("rg AS (SELECT region_name, row_number() OVER (ORDER BY region_id) - 1 AS i FROM s_regions)", "SELECT business_date, " + ", ".join(f"sum(total_sales) FILTER (i = {i})::DOUBLE / nullif(count(DISTINCT store_day_key) FILTER (i = {i}), 0) AS region_{i}" for i in range(5)) + " FROM store_performance JOIN rg USING (region_name) GROUP BY 1"),
+    "bi41_cohort_all_months": over_warehouse(", c AS (SELECT cohort_month, 'm' || month_number AS m, retention_rate, max(cohort_size) OVER (PARTITION BY cohort_month) AS cohort_size FROM customer_cohorts) SELECT * FROM (PIVOT c ON m USING max(retention_rate) GROUP BY cohort_month, cohort_size)"),
     "bi41_cohort_pivot": over_warehouse("SELECT cohort_month, max(cohort_size) AS cohort_size, " + ", ".join(f"max(retention_rate) FILTER (month_number = {m}) AS m{m}" for m in range(4)) + " FROM customer_cohorts GROUP BY 1"),
     "in1_statuses": over_warehouse("SELECT 'order' AS kind, order_status AS status, count(*) AS n, sum(total_amount)::DOUBLE AS amount FROM fct_orders GROUP BY ALL UNION ALL SELECT 'payment', payment_status, count(*), sum(amount)::DOUBLE FROM fct_payments GROUP BY ALL"),
     "in3_company_customers": over_warehouse("SELECT company_sales, customer_sales, customer_sales / company_sales AS share FROM (SELECT sum(total_sales)::DOUBLE AS company_sales FROM executive_daily), (SELECT sum(monetary)::DOUBLE AS customer_sales FROM customer_rfm)"),

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.functions.columns import entity_key, local_date, ratio, version_key
+from lakemill.functions.lineage import settle
 from lakemill.operators.history import dedup_versions, latest_state, pit_join, scd2
-from lakemill.operators.ranking import distributed_ntile
+from lakemill.operators.selection import cents, tiles_by_selection
 from lakemill.operators.spine import dim_date, store_calendar
 from lakemill.sources.adapters import bronze
 from lakemill.sources.contracts import CONTRACTS
@@ -211,9 +212,9 @@ class Warehouse:
     @cached_property
     def customer_rfm(self) -> DataFrame:
         """Scores by fifths; the customer id settles ties, so they can be repeated."""
-        scored = self.rfm_metrics
-        for out, order in (("recency_score", F.desc("recency_days")), ("frequency_score", F.asc("frequency")), ("monetary_score", F.asc("monetary"))):
-            scored = distributed_ntile(scored, 5, [order, F.asc("customer_id")], out)
+        measures = {"recency_score": -F.col("recency_days"), "frequency_score": F.col("frequency"), "monetary_score": cents("monetary")}
+        #: Written once; the bounds of the fifths are selected from it, and scores are comparisons with them.
+        scored = tiles_by_selection(settle(self.rfm_metrics), 5, "customer_id", measures)
         r, f, m = F.col("recency_score"), F.col("frequency_score"), F.col("monetary_score")
         segment = (
             F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakemill.operators import quality as dq
 from lakemill.operators.history import dedup_versions, interval_overlaps, latest_state, pit_join, pit_join_union, scd2, snapshot_changes
-from lakemill.operators.ranking import distributed_ntile
+from lakemill.operators.selection import tiles_by_selection
 from lakemill.operators.spine import dim_date, store_calendar
 
 
@@ -49,7 +49,7 @@ def test_unchanged_rows_give_no_version(spark):
 @pytest.mark.parametrize("n", [0, 3, 5, 6, 23])
 def test_tiles_are_those_of_ntile(spark, n):
     df = spark.createDataFrame([(i, i % 4) for i in range(n)], "id long, v long")
-    got = sorted((r["id"], r["t"]) for r in distributed_ntile(df, 5, [F.asc("v"), F.asc("id")], "t").collect())
+    got = sorted((r["id"], r["t"]) for r in tiles_by_selection(df, 5, "id", {"t": F.col("v")}).collect())
     order = sorted(range(n), key=lambda i: (i % 4, i))
     short, more = divmod(n, 5)
     tiles = [t + 1 for t in range(5) for _ in range(short + (t < more))]
