@@ -31,6 +31,18 @@ def scd2(df: DataFrame, pk: str, cursor: str) -> DataFrame:
     return df.withColumn("valid_to", following).withColumnRenamed(cursor, "valid_from").withColumn("is_current", F.col("valid_to").isNull())
 
 
+def merge_scd2(intervals: DataFrame, arrived: DataFrame, pk: str, cursor: str) -> DataFrame:
+    """The intervals of the keys that ``arrived`` touches, anew: late versions split an interval, new ones close the open one.
+
+    ``intervals`` is what ``scd2`` or an earlier merge gave, with ``valid_from`` for the cursor; ``arrived`` are versions in any
+    order, repeats among them. Keys that have no new version are not in the result: theirs stay as they are. Whatever the
+    order of arrival, the merges end where ``scd2`` over the deduplicated versions does.
+    """
+    touched = arrived.select(F.col(pk).alias("__pk")).distinct()
+    held = intervals.join(touched, F.col(pk) == F.col("__pk"), "left_semi").drop("valid_to", "is_current").withColumnRenamed("valid_from", cursor)
+    return scd2(dedup_versions(held.unionByName(arrived), pk, cursor), pk, cursor)
+
+
 def pit_join(fact: DataFrame, versions: DataFrame, fact_key: str, version_key: str, ts: str) -> DataFrame:
     """Left join of each fact to the version of its key that was valid at ``ts``: an equi join with a residual.
 

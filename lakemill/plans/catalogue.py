@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lakemill.plans import checks, kpi, models, movement, patterns
+from lakemill.plans import checks, gold, kpi, models, movement, patterns
 
-PARTS = (kpi, models, patterns, checks, movement)
+PARTS = (kpi, models, patterns, checks, movement, gold)
 
 
 def queries() -> dict:

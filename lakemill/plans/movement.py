@@ -14,6 +14,7 @@ from lakemill.operators.history import snapshot_changes
 from lakemill.operators.spine import dim_time
 from lakemill.plans.counterpart import over_warehouse
 from lakemill.plans.models import plain
+from lakemill.plans.warehouse import warehouse
 from lakemill.sources import coverage, ingest, ledger
 from lakemill.sources.adapters import ZONE_HOURS, bronze, source
 from lakemill.sources.contracts import CONTRACTS
@@ -29,6 +30,8 @@ CUTOFF = "2000-01-01 00:00:00"
 #: Bounds of the periods in which a stream gets the orders, and files of each.
 PERIODS = ("0001-01-01", "1995-01-01", "1997-01-01", "9999-01-01")
 FILES = 4
+#: Buckets of the tables by order.
+BUCKETS = 16
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -141,6 +144,17 @@ def clustered_table(spark, sf_dir):
     return spark.read.parquet(path).groupBy("order_status").agg(F.count(F.lit(1)).alias("orders"), F.min("store_id").alias("first_store"), F.max("order_ts").alias("last_order"))
 
 
+def colocated(spark, sf_dir) -> DataFrame:
+    """Each order with its lines and payments, from tables in buckets by the order: nothing is shuffled."""
+    latest = warehouse(spark, sf_dir).latest
+    frames = {"orders": latest("orders").select("order_id", "order_status", "total_amount"), "lines": latest("order_items").select("order_id", "quantity", "line_total"), "payments": latest("payments").select("order_id", "payment_status", "amount")}
+    tables = ingest.write_colocated(frames, "order_id", BUCKETS, scratch(spark, "colocated"))
+    lines = tables["lines"].groupBy(F.col("order_id").alias("l")).agg(F.count(F.lit(1)).alias("lines"), F.sum("quantity").alias("units"), F.sum("line_total").alias("line_total"))
+    paid = tables["payments"].groupBy(F.col("order_id").alias("p")).agg(F.count(F.lit(1)).alias("payments"), F.sum(F.when(F.col("payment_status") == "paid", F.col("amount"))).alias("paid"))
+    joined = tables["orders"].hint("merge").join(lines.hint("merge"), F.col("order_id") == F.col("l"), "left").join(paid.hint("merge"), F.col("order_id") == F.col("p"), "left")
+    return joined.select("order_id", "order_status", "total_amount", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lines", "units", "line_total", "payments", "paid")])
+
+
 def local_reconcile(spark, sf_dir):
     return ingest.reconcile_local(_days(spark, sf_dir), ingest.audit_status(_events(spark, sf_dir))).groupBy("last_status", "passed").agg(F.count(F.lit(1)).alias("days"))
 
@@ -238,9 +252,9 @@ def _staged(spark, sf_dir, table: str) -> str:
 def stream_bronze(spark, sf_dir):
     """Stores' landing files, two a batch, through a stream that replaces bronze days: most days come over several batches."""
     path, target = _staged(spark, sf_dir, "stores"), scratch(spark, "stream-bronze")
-    schema = spark.read.parquet(path).schema
-    jobs.bronze_stream(jobs.stream_landing(spark, schema, path, files_a_batch=2), target, scratch(spark, "stream-progress")).awaitTermination()
-    return ledger.read_days(spark, target, jobs.ddl(schema)).groupBy("_ingestion_date").agg(F.count(F.lit(1)).alias("rows"))
+    landed = spark.read.parquet(path)
+    jobs.bronze_stream(jobs.stream_landing(spark, landed.schema, path, files_a_batch=2), target, scratch(spark, "stream-progress")).awaitTermination()
+    return ledger.read_days(spark, target, ledger.ddl(landed)).groupBy("_ingestion_date").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def stream_without_replays(spark, sf_dir):
@@ -268,7 +282,7 @@ def stream_day_counts(spark, sf_dir):
 
 QUERIES = {
     "ing2_incremental": incremental, "ing3_bootstrap": bootstrap, "ing4_full": full, "ing5_counts": counts, "snk5_landing_to_bronze": landing_to_bronze, "snk6_replayed": replayed, "snk6_replayed_days": replayed_days, "ing8_continuity": continuity,
-    "ing11_plan": extract_plan, "snk8_clustered": clustered_table, "snk9_audit": appended_audit, "rec1_audit": audit, "rec2_local": local_reconcile, "rec2_covered": covered_reconcile, "rec5_load_statuses": load_replays, "rec3_full": full_reconcile, "rec3_untouched": untouched_reconcile, "rec4_freshness": freshness, "cdc1_changes": changes, "spn3_dayparts": minutes, "spn3_minutes": all_minutes,
+    "ing11_plan": extract_plan, "snk8_clustered": clustered_table, "snk9_audit": appended_audit, "rec1_audit": audit, "rec2_local": local_reconcile, "snk8_colocated": colocated, "rec2_covered": covered_reconcile, "rec5_load_statuses": load_replays, "rec3_full": full_reconcile, "rec3_untouched": untouched_reconcile, "rec4_freshness": freshness, "cdc1_changes": changes, "spn3_dayparts": minutes, "spn3_minutes": all_minutes,
     "str1_bronze": stream_bronze, "str2_without_replays": stream_without_replays, "str3_day_counts": stream_day_counts,
 }
 
@@ -289,6 +303,7 @@ SQL = {
     "snk8_clustered": over_warehouse("SELECT order_status, count(*) AS orders, min(store_id) AS first_store, max(order_ts) AS last_order FROM v_orders GROUP BY 1"),
     "snk9_audit": over_warehouse(f", {_DAYS}, e AS (SELECT 'extract' AS event, 'extracted' AS status, n FROM dy UNION ALL SELECT 'load', CASE WHEN dayofyear(dt) = 100 THEN 'mismatch' ELSE 'loaded' END, n FROM dy UNION ALL SELECT 'load', CASE WHEN dayofyear(dt) = 100 THEN 'mismatch' ELSE 'replayed' END, n FROM dy WHERE year(dt) < 1996) SELECT event, status, count(*) AS events, sum(n)::BIGINT AS rows FROM e GROUP BY ALL"),
     "rec2_local": over_warehouse(f", {_DAYS}, e AS (SELECT CASE WHEN dayofyear(dt) = 100 THEN 'mismatch' WHEN year(dt) < 1996 THEN 'replayed' ELSE 'loaded' END AS last_status FROM dy) SELECT last_status, last_status <> 'mismatch' AS passed, count(*) AS days FROM e GROUP BY ALL"),
+    "snk8_colocated": over_warehouse(", l AS (SELECT order_id, count(*) AS lines, sum(quantity)::BIGINT AS units, sum(line_total) AS line_total FROM l_order_items GROUP BY 1), p AS (SELECT order_id, count(*) AS payments, sum(amount) FILTER (payment_status = 'paid') AS paid FROM l_payments GROUP BY 1) SELECT order_id, order_status, total_amount::DOUBLE AS total_amount, coalesce(lines, 0) AS lines, coalesce(units, 0) AS units, coalesce(line_total, 0)::DOUBLE AS line_total, coalesce(payments, 0) AS payments, coalesce(paid, 0)::DOUBLE AS paid FROM l_orders LEFT JOIN l USING (order_id) LEFT JOIN p USING (order_id)"),
     "rec2_covered": over_warehouse(f", d AS (SELECT _ingestion_date AS dt, count(*) AS n FROM b_stores GROUP BY 1) SELECT 'stores' AS table_name, dt, n AS source_rows, n AS parquet_rows, 0::BIGINT AS landing_problems, CASE WHEN dt <= DATE '{DAY}' THEN 'replay_all' ELSE 'load' END AS last_mode, CASE WHEN dt <= DATE '{DAY}' THEN 'replay-1' ELSE 'load-' || dt END AS last_load, CASE WHEN dt <= DATE '{DAY}' THEN 'replayed' ELSE 'loaded' END AS last_status, CASE WHEN dt <= DATE '{DAY}' THEN (SELECT count(*) FROM b_stores WHERE _ingestion_date <= DATE '{DAY}') ELSE n END AS last_rows, true AS passed FROM d"),
     "rec5_load_statuses": over_warehouse(f""", {_DAYS}, e AS (SELECT dt, n - CASE WHEN dayofyear(dt) = 100 THEN 1 ELSE 0 END AS b, dayofyear(dt) = 100 AS wrong FROM dy),
   l AS (SELECT dt, b, CASE WHEN wrong THEN 'mismatch' WHEN year(dt) = 1994 THEN 'replayed' ELSE 'loaded' END AS status FROM e

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.functions.columns import entity_key, local_date, ratio, version_key
-from lakemill.functions.lineage import settle
+from lakemill.functions.files import remove
+from lakemill.functions.lineage import settle, shared_folder
 from lakemill.operators.history import dedup_versions, latest_state, pit_join, scd2
 from lakemill.operators.selection import cents, tiles_by_selection
 from lakemill.operators.spine import dim_date, store_calendar
@@ -30,10 +32,17 @@ def sums(*columns: str) -> list:
 
 
 class Warehouse:
-    """Frames by name, each built once a session and folder; facts and marts are kept, as gold tables are."""
+    """Frames by name, each built once a session and folder; facts and marts are written when they are first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = spark, sf_dir
+        self.path: str | None = None
+
+    def kept(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` as a table in the shared folder, which outlives lost executors."""
+        self.path = self.path or f"{shared_folder(self.spark)}/warehouse-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def bronze(self, table: str) -> DataFrame:
         return bronze(self.spark, self.sf_dir, table)
@@ -80,7 +89,7 @@ class Warehouse:
     def fct_orders(self) -> DataFrame:
         stores = self.dim_store.select("store_id", "store_sk", "valid_from", "valid_to")
         joined = pit_join(self.latest("orders").drop("_ingestion_date"), stores, "store_id", "store_id", "order_ts")
-        return joined.drop("valid_from", "valid_to").withColumn("business_date", local_date("order_ts")).persist()
+        return self.kept("fct_orders", joined.drop("valid_from", "valid_to").withColumn("business_date", local_date("order_ts")))
 
     @cached_property
     def fct_order_items(self) -> DataFrame:
@@ -89,7 +98,7 @@ class Warehouse:
         products = self.dim_product.select("product_id", "product_sk", "unit_cost", "valid_from", "valid_to")
         joined = pit_join(lines.join(orders, F.col("order_id") == F.col("o")).drop("o"), products, "product_id", "product_id", "order_ts").drop("valid_from", "valid_to")
         cost = (F.col("quantity").cast("int") * F.col("unit_cost")).cast("decimal(22,2)")
-        return joined.withColumn("line_cost", cost).withColumn("gross_margin", (F.col("line_total") - cost).cast("decimal(22,2)")).persist()
+        return self.kept("fct_order_items", joined.withColumn("line_cost", cost).withColumn("gross_margin", (F.col("line_total") - cost).cast("decimal(22,2)")))
 
     @cached_property
     def fct_payments(self) -> DataFrame:
@@ -117,7 +126,7 @@ class Warehouse:
         by = ["store_id", "store_sk", "business_date"]
         joined = self.store_calendar.join(self.daily_orders, by, "left").join(self.daily_items, by, "left")
         filled = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in SALES})
-        return filled.withColumn("average_order_value", ratio(F.col("total_sales"), F.col("transaction_count"), 2)).persist()
+        return self.kept("fct_store_daily_sales", filled.withColumn("average_order_value", ratio(F.col("total_sales"), F.col("transaction_count"), 2)))
 
     @cached_property
     def dim_date(self) -> DataFrame:
@@ -129,24 +138,21 @@ class Warehouse:
             F.countDistinct("store_day_key").alias("store_days"), F.countDistinct("store_id").alias("active_stores"), *sums(*SALES)
         )
         c = F.col
-        return (
-            days.join(self.dim_date, c("business_date") == c("calendar_date"))
+        return self.kept("executive_daily", days.join(self.dim_date, c("business_date") == c("calendar_date"))
             .drop("calendar_date")
             .withColumns({
                 "average_order_value": ratio(c("total_sales"), c("transaction_count"), 2),
                 "average_daily_sales": ratio(c("total_sales"), c("store_days"), 2),
                 "average_daily_quantity": ratio(c("product_quantity"), c("store_days"), 2),
                 "margin_rate": ratio(c("gross_margin"), c("item_sales"), 4),
-            })
-            .persist()
-        )
+            }))
 
     @cached_property
     def store_performance(self) -> DataFrame:
         stores = self.dim_store.select(F.col("store_sk").alias("s"), "store_name", "store_type", "city", "area_name", "region_name")
         days = self.dim_date.select("calendar_date", "year", "month_number", "is_weekend")
         joined = self.fct_store_daily_sales.join(stores, F.col("store_sk") == F.col("s")).join(days, F.col("business_date") == F.col("calendar_date"))
-        return joined.drop("s", "calendar_date").withColumn("margin_rate", ratio(F.col("gross_margin"), F.col("item_sales"), 4)).persist()
+        return self.kept("store_performance", joined.drop("s", "calendar_date").withColumn("margin_rate", ratio(F.col("gross_margin"), F.col("item_sales"), 4)))
 
     @cached_property
     def product_performance(self) -> DataFrame:
@@ -160,16 +166,13 @@ class Warehouse:
         )
         products = self.dim_product.select(F.col("product_sk").alias("p"), "product_id", "product_name", "category_name", "category_group")
         c = F.col
-        return (
-            lines.join(products, c("product_sk") == c("p"))
+        return self.kept("product_performance", lines.join(products, c("product_sk") == c("p"))
             .drop("p")
             .withColumns({
                 "product_day_key": F.concat_ws("-", F.date_format("business_date", "yyyyMMdd"), "product_sk"),
                 "average_selling_price": ratio(c("product_sales"), c("quantity_sold"), 2),
                 "margin_rate": ratio(c("gross_margin"), c("product_sales"), 4),
-            })
-            .persist()
-        )
+            }))
 
     @cached_property
     def identified(self) -> DataFrame:
@@ -194,11 +197,11 @@ class Warehouse:
             .join(sizes, F.col("cohort_month") == F.col("m"))
             .drop("m")
         )
-        return grouped.withColumns({
+        return self.kept("customer_cohorts", grouped.withColumns({
             "cohort_month_key": F.concat_ws("-", "cohort_month", "month_number"),
             "retention_rate": ratio(F.col("active_customers"), F.col("cohort_size"), 4),
             "sales_per_active_customer": ratio(F.col("total_sales"), F.col("active_customers"), 2),
-        }).persist()
+        }))
 
     @cached_property
     def rfm_metrics(self) -> DataFrame:
@@ -226,7 +229,7 @@ class Warehouse:
             .otherwise("Needs Attention")
         )
         customers = self.dim_customer.select("customer_id", "customer_sk", "full_name", "city", "loyalty_tier", "signup_date")
-        return scored.join(customers, "customer_id").withColumns({"rfm_score": F.concat(r.cast("string"), f.cast("string"), m.cast("string")), "rfm_total_score": r + f + m, "customer_segment": segment}).persist()
+        return self.kept("customer_rfm", scored.join(customers, "customer_id").withColumns({"rfm_score": F.concat(r.cast("string"), f.cast("string"), m.cast("string")), "rfm_total_score": r + f + m, "customer_segment": segment}))
 
     @cached_property
     def trading_calendar(self) -> DataFrame:
@@ -237,9 +240,12 @@ class Warehouse:
         return getattr(self, name)
 
     def release(self) -> None:
-        """Give back what is kept; frames that are asked for again are built anew."""
+        """Remove what is written; frames that are asked for again are built anew."""
         for name in [n for n, df in vars(self).items() if isinstance(df, DataFrame)]:
-            vars(self).pop(name).unpersist()
+            vars(self).pop(name)
+        if self.path:
+            remove(self.spark, self.path)
+            self.path = None
 
 
 @lru_cache(maxsize=4)

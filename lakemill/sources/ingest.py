@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from datetime import date
 
 from pyspark.errors import AnalysisException
@@ -219,6 +220,19 @@ def write_table(df: DataFrame, path: str, partition: str, cluster: list[str]) ->
     df.repartitionByRange(partition, *cluster).sortWithinPartitions(partition, *cluster).write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
+def write_colocated(frames: dict[str, DataFrame], key: str, buckets: int, path: str) -> dict[str, DataFrame]:
+    """Tables that hold equal keys in equal buckets, ordered by the key, so that joins and sums by the key shuffle nothing.
+
+    Each table is shuffled once, when it is written. Take as many buckets as make a bucket of the largest table fit a task.
+    """
+    out = {}
+    for name, df in frames.items():
+        table = f"{name}_{uuid.uuid4().hex}"
+        df.repartition(buckets, key).write.format("parquet").option("path", f"{path}/{name}").bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+        out[name] = df.sparkSession.table(table)
+    return out
+
+
 def append_audit(events: DataFrame, path: str) -> None:
     """Append events; fields that an event does not have are null, but for REQUIRED ones."""
     if lacking := [c for c in REQUIRED if c not in events.columns]:

@@ -59,10 +59,6 @@ def run_to_totals(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
     spark = stream.sparkSession
     stream.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(f"{ddl(stream.schema)}, batch long").parquet(path)
+    rows = spark.read.schema(f"{ledger.ddl(stream)}, batch long").parquet(path)
     last = rows.agg(F.max("batch")).first()[0]
     return rows.filter(F.col("batch") == last).drop("batch")
-
-
-def ddl(schema: StructType) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
