@@ -1,11 +1,12 @@
 """URL filters: rules first, then empirical-Bayes reputation of hosts, on DataFrame functions alone.
 
-Every page is a labelled outcome: bad where the rules block it, good where they do not. A host's share of
-good pages is shrunk towards that of its registered domain, that one towards its suffix, and a suffix
-towards all pages: at each level a beta prior has the parent's posterior mean, and its strength comes from
-the spread of the children's shares (moments). A page without a rule is blocked if the upper bound of its
-host's posterior is under one half, so only where the rules block most of what the host itself has, and the
-host has enough pages to say so. A host or a suffix of which no page is blocked is allowed.
+Pages that a rule judges are labelled outcomes: bad where it blocks, good where it allows. A page without a rule has no outcome
+and changes nobody's verdict. A host's share of good outcomes is shrunk towards that of its registered domain, that one
+towards its suffix, and a suffix towards all outcomes: at each level a beta prior has the parent's posterior mean. Its strength
+comes from the spread of the children's shares (moments), but is never more than the outcomes that stand behind the
+parent's mean, so what is not known above stays unknown below. A page without a rule is blocked if the upper
+bound of its host's posterior is under one half. Labels of a path thus speak for the whole host, and those of its
+neighbours for a host that has none; where neither host, domain nor suffix has labels the bound is wide and the page is allowed.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits no rule; pages
 repeat as they come; an empty table gives an empty one; other columns are ignored.
@@ -77,17 +78,19 @@ def reputation(judged: DataFrame) -> DataFrame:
     domains = settle(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     suffixes = settle(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("good"), F.lit(0))).first()
-    mean = F.lit((total[1] + 1) / (total[0] + 2))
-    k = strength(suffixes, mean)
-    above = suffixes.select("suffix", ((k * mean + F.col("good")) / (k + F.col("n"))).alias("mean"))
-    at_domain = settle(domains.join(above, "suffix"))
-    k = strength(at_domain, F.col("mean"))
-    above = at_domain.select("domain", ((k * F.col("mean") + F.col("good")) / (k + F.col("n"))).alias("mean"))
-    at_host = settle(hosts.join(above, "domain"))
-    k = strength(at_host, F.col("mean"))
-    post = (k * F.col("mean") + F.col("good")) / (k + F.col("n"))
-    deviation = F.sqrt(post * (1 - post) / (k + F.col("n") + 1))
-    return at_host.select("host", (post + Z * deviation).alias("upper"))
+    mean, known = F.lit((total[1] + 1) / (total[0] + 2)), F.lit(float(total[0] + 2))
+    above = posterior(suffixes, strength(suffixes, mean), mean, known)
+    at_domain = settle(domains.join(above.select("suffix", "mean", "known"), "suffix"))
+    above = posterior(at_domain, strength(at_domain, F.col("mean")), F.col("mean"), F.col("known"))
+    at_host = settle(hosts.join(above.select("domain", "mean", "known"), "domain"))
+    found = posterior(at_host, strength(at_host, F.col("mean")), F.col("mean"), F.col("known"))
+    return found.select("host", (F.col("mean") + Z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("known") + 1))).alias("upper"))
+
+
+def posterior(children: DataFrame, strength: Column, mean: Column, known: Column) -> DataFrame:
+    """``children`` with the mean of their posterior and the outcomes behind it, from the parent's (``mean``, ``known``)."""
+    k = F.least(strength, known)
+    return children.withColumns({"mean": (k * mean + F.col("good")) / (k + F.col("n")), "known": k + F.col("n")})
 
 
 def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
@@ -96,7 +99,7 @@ def judge(pages: DataFrame, key: str = "page_id", url: str = "url", rules: tuple
     parsed = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
     rule, says = first_rule(F.col("host"), F.col("path"), rules)
     judged = parsed.withColumns({"rule": rule, "says": says})
-    hosts = reputation(judged.select("host", (F.coalesce("says", F.lit("allow")) != "block").cast("long").alias("good")))
+    hosts = reputation(judged.select("host", (F.col("says") == "allow").cast("long").alias("good")))
     joined = judged.join(hosts, "host", "left")
     verdict = F.coalesce("says", F.when(F.col("upper") < LEAST_GOOD, F.lit("block")).otherwise(F.lit("allow")))
     return joined.select(F.col("key").alias(key), "host", "path", "rule", verdict.alias("verdict"))
@@ -122,18 +125,20 @@ h AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
 ), j AS (SELECT *, CASE {' '.join(cases[0])} END AS rule, CASE {' '.join(cases[1])} END AS says FROM h),
-b AS (SELECT host, count(*)::DOUBLE AS n, sum((says IS DISTINCT FROM 'block')::INT)::DOUBLE AS good, string_split(host, '.') AS p FROM j GROUP BY host),
+b AS (SELECT host, count(says)::DOUBLE AS n, count(*) FILTER (says = 'allow')::DOUBLE AS good, string_split(host, '.') AS p FROM j GROUP BY host),
 w AS (SELECT *, array_to_string(p[-2:], '.') IN ({wide}) AS wide FROM b),
 hosts AS (
   SELECT host, n, good, CASE WHEN wide THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
          CASE WHEN wide THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix FROM w
 ),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY ALL),
-s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM domains) AS mean FROM domains GROUP BY suffix),
-d0 AS (SELECT d.*, (k * s.mean + s.good) / (k + s.n) AS mean FROM domains d JOIN s0 s USING (suffix), (SELECT {k('s0')} AS k)),
-h0 AS (SELECT h.*, (k * d.mean + d.good) / (k + d.n) AS mean FROM hosts h JOIN d0 d USING (domain), (SELECT {k('d0')} AS k)),
-p0 AS (SELECT host, n, k, (k * mean + good) / (k + n) AS post FROM h0, (SELECT {k('h0')} AS k)),
-r AS (SELECT host, post + {Z} * sqrt(post * (1 - post) / (k + n + 1)) AS upper FROM p0)
+s0 AS (SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT (sum(good) + 1) / (sum(n) + 2) FROM domains) AS mean, (SELECT sum(n) + 2 FROM domains) AS known FROM domains GROUP BY suffix),
+s1 AS (SELECT suffix, (m * mean + good) / (m + n) AS mean, m + n AS known FROM (SELECT s0.*, least({k('s0')}, known) AS m FROM s0)),
+d0 AS (SELECT d.*, mean, known FROM domains d JOIN s1 USING (suffix)),
+d1 AS (SELECT domain, (m * mean + good) / (m + n) AS mean, m + n AS known FROM (SELECT d0.*, least({k('d0')}, known) AS m FROM d0)),
+h0 AS (SELECT h.*, mean, known FROM hosts h JOIN d1 USING (domain)),
+h1 AS (SELECT host, (m * mean + good) / (m + n) AS mean, m + n AS known FROM (SELECT h0.*, least({k('h0')}, known) AS m FROM h0)),
+r AS (SELECT host, mean + {Z} * sqrt(mean * (1 - mean) / (known + 1)) AS upper FROM h1)
 SELECT page_id, host, path, rule, coalesce(says, CASE WHEN upper < {LEAST_GOOD} THEN 'block' ELSE 'allow' END) AS verdict
 FROM j JOIN r USING (host)
 """

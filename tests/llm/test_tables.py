@@ -167,23 +167,26 @@ def test_reputation_shrinks_towards_the_domain(spark):
     assert upper["one.b.org"] > 0.5 and upper["far.io"] > 0.5
 
 
-def test_only_a_host_of_blocked_pages_is_blocked(spark):
-    bad, good = "http://bad.example.net", "http://fine.example.net"
-    urls = [f"{bad}/es/{i}" for i in range(60)] + [f"{bad}/de/1"] + [f"{good}/es/{i}" for i in range(10)] + [f"{good}/de/{i}" for i in range(30)]
-    urls += ["http://a.org/1", "http://few.example.net/fr/1", "http://few.example.net/de/1", "", None]
-    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    verdict = {urls[r["page_id"]]: r["verdict"] for r in url_filter.judge(df).collect()}
-    assert verdict[f"{bad}/de/1"] == "block"
-    assert {verdict[u] for u in urls if u and (u.startswith(f"{good}/de") or "few.example.net/de" in u or ".org" in u)} == {"allow"}
-    assert verdict[""] == verdict[None] == "allow"
-
-
-def test_given_pages_without_a_rule_are_allowed_but_not_those_of_a_bad_host(spark):
-    given = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
-    planted = spark.createDataFrame([(10**6 + i, f"https://planted.example.net/{'fr' if i else 'de'}/{i}") for i in range(80)], "page_id long, url string")
-    rows = url_filter.judge(given.unionByName(planted)).filter("rule is null").collect()
+def verdicts(spark, urls):
+    return {urls[r["page_id"]]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+
+
+def test_pages_without_a_rule_have_no_outcome(spark):
+    bad, mixed = "http://bad.example.net", "http://shop.example.com"
+    urls = [f"{bad}/es/{i}" for i in range(60)] + [f"{bad}/de/1"] + [f"{mixed}/en/{i}" for i in range(20)] + [f"{mixed}/de/{i}" for i in range(40)]
+    urls += ["http://a.org/1", "http://new.example.net/de/1", "", None]
+    first = verdicts(spark, urls)
+    assert first[f"{bad}/de/1"] == first["http://new.example.net/de/1"] == "block"
+    assert first["http://a.org/1"] == first[""] == first[None] == "allow"
+    #: However many pages without a rule a host has, and wherever, the others keep their verdicts.
+    more = verdicts(spark, urls + [f"{bad}/de/{i}" for i in range(2, 400)] + [f"http://h{i}.org/" for i in range(50)] + [f"http://h{i}.net/x" for i in range(50)])
+    assert {u: more[u] for u in first} == first
+
+
+def test_given_pages_have_both_verdicts_by_evidence(spark):
+    rows = url_filter.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).filter("rule is null").collect()
+    assert {r["verdict"] for r in rows if r["host"].endswith(".net")} == {"block"}
     assert {r["verdict"] for r in rows if r["host"].endswith(".org")} == {"allow"}
-    assert {r["verdict"] for r in rows if r["host"] == "planted.example.net"} == {"block"}
 
 
 def test_url_query_equals_sql(spark):
