@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as Over
 from pyspark.sql import functions as F
 
+from lakemill.operators.digests import range_diff
 from lakemill.operators.quality import set_diff
 from lakemill.sources.adapters import ZONE_HOURS
 from lakemill.sources.contracts import CONTRACTS, Contract, conform
@@ -290,11 +291,14 @@ def reconcile_local(manifest: DataFrame, audit: DataFrame, problems: DataFrame |
     return proved.withColumns({"landing_problems": problems_of_day, "passed": F.col("passed") & (problems_of_day == 0)}).drop("everywhere")
 
 
-def reconcile_full(source: DataFrame, bronze: DataFrame, contract: Contract, cutoff: Column) -> DataFrame:
-    """One row: keys and newest change on both sides up to the cutoff, and the keys that only one side has."""
+def reconcile_full(source: DataFrame, bronze: DataFrame, contract: Contract, cutoff: Column, by_ranges: bool = False) -> DataFrame:
+    """One row: keys and newest change on both sides up to the cutoff, and the keys that only one side has.
+
+    ``by_ranges`` finds these by digests of key ranges, so that only ranges that differ move their keys.
+    """
     a, b = source.filter(F.col(contract.cursor) < cutoff), bronze.filter(F.col(contract.cursor) < cutoff)
     side = lambda df, name: df.agg(F.countDistinct(contract.key).alias(f"{name}_keys"), F.max(contract.cursor).alias(f"{name}_newest"))
-    diff = set_diff(a, b, contract.key).agg(F.count_if(F.col("side") == "left").alias("missing_in_bronze"), F.count_if(F.col("side") == "right").alias("missing_in_source"))
+    diff = (range_diff if by_ranges else set_diff)(a, b, contract.key).agg(F.count_if(F.col("side") == "left").alias("missing_in_bronze"), F.count_if(F.col("side") == "right").alias("missing_in_source"))
     joined = side(a, "source").join(F.broadcast(side(b, "bronze"))).join(F.broadcast(diff))
     same = (F.col("source_keys") == F.col("bronze_keys")) & F.col("source_newest").eqNullSafe(F.col("bronze_newest")) & (F.col("missing_in_bronze") == 0) & (F.col("missing_in_source") == 0)
     return joined.withColumn("passed", same)
