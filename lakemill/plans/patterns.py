@@ -270,6 +270,22 @@ def cohort_pivot_all(spark, sf_dir):
     return cohort_pivot(spark, sf_dir, tuple(months))
 
 
+def sellable_products(spark, sf_dir):
+    """For each business day and category the products that may be sold: active, and launched by then.
+
+    Launches are summed by category and day first, so the running sum goes over days, not over products and days.
+    """
+    w = warehouse(spark, sf_dir)
+    days = w.dim_date.select("calendar_date")
+    first = days.agg(F.min("calendar_date").alias("first"))
+    current = w.dim_product.filter("is_current and is_active").join(F.broadcast(first)).select("category_name", F.greatest("launched_date", "first").alias("since"))
+    launched = current.groupBy("category_name", "since").agg(F.count(F.lit(1)).alias("n"))
+    grid = launched.select(F.col("category_name").alias("c")).distinct().join(F.broadcast(days))
+    joined = grid.join(launched, (F.col("c") == F.col("category_name")) & (F.col("calendar_date") == F.col("since")), "left")
+    running = F.sum("n").over(Window.partitionBy("c").orderBy("calendar_date").rowsBetween(Window.unboundedPreceding, 0))
+    return joined.select("calendar_date", F.col("c").alias("category_name"), F.coalesce(running, F.lit(0)).alias("sellable_products"))
+
+
 def status_amounts(spark, sf_dir):
     w = warehouse(spark, sf_dir)
     side = lambda df, kind, status, amount: df.groupBy(F.lit(kind).alias("kind"), F.col(status).alias("status")).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).cast("double").alias("amount"))
@@ -318,7 +334,7 @@ QUERIES = {
     "pt20_update_ranges": update_ranges, "pt21_latest_updates": latest_update_dates, "pt21_update_lag": update_lag, "pt22_counters": change_counters, "pt23_changed_stores": stores_changed,
     "pt24_openings": openings, "bi25_region_pivot": ads_by_region_pivot, "bi41_cohort_pivot": cohort_pivot, "bi41_cohort_all_months": cohort_pivot_all, "in1_statuses": status_amounts, "in3_company_customers": company_and_customers,
     "win10_inversions": region_inversions, "jon16_primary_tender": primary_tender, "jon17_promotion_violations": promotion_violations, "tir1_upgrades": tier_upgrades,
-    "pt15_quantities": quantities, "pt20_recent_writes": recent_writes, "pt22_changed_rows": changed_rows, "pt24_launches": launches, "flt7_trading_days": lambda spark, sf_dir: warehouse(spark, sf_dir).trading_calendar,
+    "pt15_quantities": quantities, "pt20_recent_writes": recent_writes, "pt22_changed_rows": changed_rows, "pt24_launches": launches, "flt7_sellable_products": sellable_products, "flt7_trading_days": lambda spark, sf_dir: warehouse(spark, sf_dir).trading_calendar,
 }
 
 _TABLES = tuple(CONTRACTS)
@@ -355,6 +371,7 @@ SQL = {
     "pt20_recent_writes": over_warehouse(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS recent FROM s_{t} WHERE updated_at > (SELECT max(updated_at) FROM s_{t}) - INTERVAL 7 DAY" for t in _VERSIONED)),
     "pt22_changed_rows": over_warehouse(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) - count(DISTINCT {CONTRACTS[t].key}) AS changes FROM s_{t}" for t in _VERSIONED)),
     "pt24_launches": over_warehouse(", f AS (SELECT product_id, min(business_date) AS first_sale FROM fct_order_items GROUP BY 1), p AS (SELECT product_id, DATE '1994-12-01' + (product_id % 400)::INT AS launched_date FROM dim_product WHERE is_current) SELECT product_id, launched_date, first_sale FROM p LEFT JOIN f USING (product_id) WHERE launched_date > (SELECT min(business_date) FROM fct_orders)"),
+    "flt7_sellable_products": over_warehouse(", l AS (SELECT p_type AS category_name, DATE '1994-12-01' + (p_partkey % 400)::INT AS launched FROM part) SELECT d AS calendar_date, c.category_name, (SELECT count(*) FROM l WHERE l.category_name = c.category_name AND launched <= d) AS sellable_products FROM days, (SELECT DISTINCT category_name FROM l) c"),
     "flt7_trading_days": over_warehouse("SELECT c.* FROM store_calendar c JOIN dim_store USING (store_sk) WHERE status NOT IN ('closed', 'temporarily_closed')"),
     "pt16_promotions": _with("li AS (SELECT order_id, sum(line_discount) AS line_discount FROM l_order_items GROUP BY 1)", "SELECT promo_type, split_part(promo_name, ' ', 1) AS campaign, count(*) AS orders, sum(discount_amount)::DOUBLE AS order_discount, coalesce(sum(line_discount), 0)::DOUBLE AS line_discount FROM l_orders LEFT JOIN dim_promotion USING (promotion_id) LEFT JOIN li USING (order_id) GROUP BY 1, 2"),
     "pt17_tenders": _with("b AS (SELECT payment_method, payment_status, count(*) AS payments FROM l_payments GROUP BY ALL)", f"SELECT *, {_PCT.format('payments', '')} AS pct FROM b"),
