@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lakemill.functions.columns import local_date, local_time, ratio
 from lakemill.functions.lineage import settle
-from lakemill.operators.ranking import rank_inversions, share_of_total
-from lakemill.operators.selection import tiles_by_selection
+from lakemill.operators.ranking import inversion_counts, rank_inversions, share_of_total
+from lakemill.operators.selection import cents, tiles_by_selection
 from lakemill.plans.counterpart import over_warehouse
 from lakemill.plans.models import plain
 from lakemill.plans.warehouse import warehouse
@@ -305,6 +305,12 @@ def region_inversions(spark, sf_dir):
     return rank_inversions(by, "area_name", "sales", "ads")
 
 
+def product_inversions(spark, sf_dir):
+    """For each product how many that sold fewer units brought in more."""
+    sold = warehouse(spark, sf_dir).fct_order_items.groupBy("product_id").agg(F.sum("quantity").alias("units"), F.sum("line_total").alias("sales"))
+    return inversion_counts(sold, "product_id", F.col("units"), cents("sales"))
+
+
 def tier_upgrades(spark, sf_dir, day: str = "1998-06-30"):
     """Customers with an order on the day whose net spend of 365 days reaches a higher tier than they have."""
     w = warehouse(spark, sf_dir)
@@ -333,7 +339,7 @@ QUERIES = {
     "pt15_baskets": basket_sizes, "pt16_promotions": promotion_mix, "pt17_tenders": tender_mix, "pt17_split_tenders": split_tenders, "pt18_statuses": status_mix,
     "pt20_update_ranges": update_ranges, "pt21_latest_updates": latest_update_dates, "pt21_update_lag": update_lag, "pt22_counters": change_counters, "pt23_changed_stores": stores_changed,
     "pt24_openings": openings, "bi25_region_pivot": ads_by_region_pivot, "bi41_cohort_pivot": cohort_pivot, "bi41_cohort_all_months": cohort_pivot_all, "in1_statuses": status_amounts, "in3_company_customers": company_and_customers,
-    "win10_inversions": region_inversions, "jon16_primary_tender": primary_tender, "jon17_promotion_violations": promotion_violations, "tir1_upgrades": tier_upgrades,
+    "win10_inversions": region_inversions, "win10_products": product_inversions, "jon16_primary_tender": primary_tender, "jon17_promotion_violations": promotion_violations, "tir1_upgrades": tier_upgrades,
     "pt15_quantities": quantities, "pt20_recent_writes": recent_writes, "pt22_changed_rows": changed_rows, "pt24_launches": launches, "flt7_sellable_products": sellable_products, "flt7_trading_days": lambda spark, sf_dir: warehouse(spark, sf_dir).trading_calendar,
 }
 
@@ -388,6 +394,7 @@ SQL = {
     "bi41_cohort_pivot": over_warehouse("SELECT cohort_month, max(cohort_size) AS cohort_size, " + ", ".join(f"max(retention_rate) FILTER (month_number = {m}) AS m{m}" for m in range(4)) + " FROM customer_cohorts GROUP BY 1"),
     "in1_statuses": over_warehouse("SELECT 'order' AS kind, order_status AS status, count(*) AS n, sum(total_amount)::DOUBLE AS amount FROM fct_orders GROUP BY ALL UNION ALL SELECT 'payment', payment_status, count(*), sum(amount)::DOUBLE FROM fct_payments GROUP BY ALL"),
     "in3_company_customers": over_warehouse("SELECT company_sales, customer_sales, customer_sales / company_sales AS share FROM (SELECT sum(total_sales)::DOUBLE AS company_sales FROM executive_daily), (SELECT sum(monetary)::DOUBLE AS customer_sales FROM customer_rfm)"),
+    "win10_products": over_warehouse(", t AS MATERIALIZED (SELECT product_id, sum(quantity) AS units, sum(line_total) AS sales FROM fct_order_items GROUP BY 1) SELECT a.product_id, count(b.product_id) AS overtaken_by FROM t a LEFT JOIN t b ON a.units > b.units AND a.sales < b.sales GROUP BY 1"),
     "win10_inversions": _with("g AS (SELECT area_name, rank() OVER (ORDER BY sum(total_sales) DESC) AS r1, rank() OVER (ORDER BY sum(total_sales)::DOUBLE / count(DISTINCT store_day_key) DESC) AS r2 FROM store_performance GROUP BY 1)", "SELECT a.area_name AS higher, b.area_name AS lower FROM g a JOIN g b ON a.r1 < b.r1 AND a.r2 > b.r2"),
     "jon16_primary_tender": over_warehouse("SELECT order_id, payment_method AS method FROM l_payments WHERE payment_status = 'paid' QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY amount DESC, payment_id) = 1"),
     "jon17_promotion_violations": over_warehouse("SELECT order_id, promotion_id, business_date FROM fct_orders JOIN dim_promotion USING (promotion_id) WHERE business_date NOT BETWEEN start_date AND end_date"),

@@ -14,7 +14,7 @@ CHECKED = [
     "bi22_bottom_stores", "bi23_store_type_ads", "bi25_region_pivot", "bi42_tiers", "flt5_filtered_regions", "flt5_filtered_store_names", "flt5_filtered_product_ids", "flt5_filtered_segments",
     "flt5_filtered_cohorts", "flt7_trading_days", "pt15_quantities", "pt20_recent_writes", "pt22_changed_rows", "pt24_launches", "spn3_minutes", "dq07_calendar_gaps", "dq09_rfm_metrics", "dq11_more_formulas",
     "snk8_clustered", "snk9_audit", "silver_regions", "silver_payments", "fct_payments", "rec2_covered", "rec5_load_statuses", "str1_bronze", "str3_day_counts", "bi41_cohort_all_months", "pt13_top_fifth", "snk8_colocated",
-    "his1_merged", "fct4_incremental_fct_store_daily_sales", "mrt1_incremental_executive_daily", "mrt2_incremental_store_performance", "mrt3_incremental_product_performance", "agg17_bitmaps", "flt7_sellable_products", "rec3_ranges",
+    "his1_merged", "fct4_incremental_fct_store_daily_sales", "mrt1_incremental_executive_daily", "mrt2_incremental_store_performance", "mrt3_incremental_product_performance", "agg17_bitmaps", "flt7_sellable_products", "rec3_ranges", "win10_products",
 ]
 
 
