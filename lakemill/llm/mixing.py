@@ -9,12 +9,18 @@ documents whose hash lies under a threshold. The thresholds come from a histogra
 source and hash bucket; only the bucket in which a source's budget ends is cut into finer buckets,
 level by level. Nothing is sorted but histograms, and thresholds for smaller budgets select subsets.
 
+Rows with equal key and text share one hash. Where a budget ends among them, a second hash, of the row, cuts
+their class in the same way, so that as many of them come as bring the source nearest to its target. Which of
+them come makes no difference, since they are equal.
+
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its
-own, after all others; repeated rows share one hash and go together. Without any row, no row comes.
+own, after all others; repeated rows come equally often, or some of them once more. Without any row, no row comes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,83 +63,111 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repea
     return levels.withColumn("target", F.coalesce(target, F.col("cap"))).select("source", "source_size", "target")
 
 
-def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each source the whole repeats and the hash below which a document comes once more.
+def narrow(rows: DataFrame, state: DataFrame, by: str, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``state`` (source, rest) with the value of ``by``, at {by}_at, at which the rest of each source's budget ends.
 
-    ``sized`` has source, size and h (a hash of HASH_BITS bits). The result is broadcast where it has
-    few sources, and is joined by a shuffle otherwise.
+    ``rows`` has source, size and ``by`` (HASH_BITS bits); what then remains in ``rest`` is for the rows with
+    this very value, of which the result gives the size and the number.
     """
-    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    state = targets.withColumn("repeats", full).select(
-        "source", "source_size", "target", "repeats", (F.col("target") - F.col("repeats") * F.col("source_size")).alias("rest"), F.lit(0).cast("long").alias("prefix")
-    )
-    #: A source whose budget whole repeats use up takes no document once more, not even an empty one.
-    state = state.withColumn("partly", F.col("rest") > 0)
-    few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    small = F.broadcast if few else (lambda df: df)
+    kept = [c for c in state.columns if c not in ("rest", "cell", "rows")]
+    at = f"{by}_at"
+    state = state.withColumn(at, F.lit(0).cast("long"))
     for level in range(LEVELS):
         shift = HASH_BITS - LEVEL_BITS * (level + 1)
-        inside = sized
+        inside = rows
         if level:
-            at = state.select(F.col("source").alias("s"), F.col("prefix").alias("p"))
-            inside = sized.join(small(at), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("p")), "left_semi")
-        cells = inside.groupBy(F.col("source").alias("s"), F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("cell"))
+            here = state.select(F.col("source").alias("s"), F.col(at).alias("p"))
+            inside = rows.join(small(here), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright(by, shift + LEVEL_BITS) == F.col("p")), "left_semi")
+        cells = inside.groupBy(F.col("source").alias("s"), F.shiftright(by, shift).alias("bucket")).agg(F.sum("size").alias("cell"), F.count(F.lit(1)).alias("rows"))
         earlier = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         run = cells.withColumn("before", F.coalesce(F.sum("cell").over(earlier), F.lit(0)))
         #: The bucket in which the rest of the budget ends: the last that begins within it.
         budget = state.select(F.col("source").alias("q"), "rest")
         ends = run.join(small(budget), F.col("s").eqNullSafe(F.col("q"))).filter(F.col("before") <= F.col("rest"))
-        edge = ends.groupBy("s").agg(F.max(F.struct("bucket", "before", "cell")).alias("edge"))
-        state = settle(
-            state.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select(
-                "source",
-                "source_size",
-                "target",
-                "repeats",
-                "partly",
-                (F.col("rest") - F.coalesce(F.col("edge.before"), F.lit(0))).alias("rest"),
-                F.coalesce(F.col("edge.bucket"), F.shiftleft("prefix", LEVEL_BITS)).alias("prefix"),
-                F.coalesce(F.col("edge.cell"), F.lit(0)).alias("cell"),
-            )
-        )
-    #: The last bucket comes along where that brings the sum nearer to the budget.
+        edge = ends.groupBy("s").agg(F.max(F.struct("bucket", "before", "cell", "rows")).alias("edge"))
+        of = lambda name: F.coalesce(F.col(f"edge.{name}"), F.lit(0))
+        place = F.coalesce(F.col("edge.bucket"), F.shiftleft(at, LEVEL_BITS)).alias(at)
+        joined = state.join(edge, F.col("source").eqNullSafe(F.col("s")), "left")
+        state = settle(joined.select(*kept, (F.col("rest") - of("before")).alias("rest"), place, of("cell").alias("cell"), of("rows").alias("rows")))
+    return state
+
+
+def budgets(targets: DataFrame) -> DataFrame:
+    """Whole repeats of each source and the rest of its budget; none is left to a source that whole repeats use up, not even for empty texts."""
+    full = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    rest = F.col("target") - F.col("repeats") * F.col("source_size")
+    return targets.withColumn("repeats", full).withColumn("rest", rest).withColumn("partly", F.col("rest") > 0)
+
+
+def on_edge() -> Column:
+    """Rows of the hash at which their source's budget ends."""
+    return F.col("partly") & (F.col("h") == F.col("h_at"))
+
+
+def copies(state: DataFrame) -> Column:
+    """How often a row with ``h`` (and ``u``, where the edge was split) comes; the last class comes along where that brings the sum nearer to the budget."""
     along = (2 * F.col("rest") >= F.col("cell")) & (F.col("cell") > 0)
-    below = F.when(F.col("partly"), F.col("prefix") + along.cast("long")).otherwise(F.lit(0))
-    return small(state.select(F.col("source").alias("s"), "source_size", "target", "repeats", below.alias("below")))
+    last = F.col("u") < F.col("u_at") + along.cast("long") if "u_at" in state.columns else along
+    more = F.col("partly") & ((F.col("h") < F.col("h_at")) | ((F.col("h") == F.col("h_at")) & last))
+    return (F.col("repeats") + more.cast("long")).cast("long")
+
+
+def splits(state: DataFrame) -> bool:
+    """Whether repeated rows of a text stand where a budget ends, so that some of them come and others not."""
+    return state.filter("partly and rows > 1 and cell > 0").limit(1).count() > 0
 
 
 def mix_hash(key: str, text: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text), F.lit("mix")), 64 - HASH_BITS)
 
 
-def copies() -> Column:
-    return (F.col("repeats") + (F.col("h") < F.col("below")).cast("long")).cast("long")
+def row_hash() -> Column:
+    """Tells repeated rows apart; only of use once the frame is written."""
+    return F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id(), F.lit("row")), 64 - HASH_BITS)
 
 
 def sizes(docs: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """The texts are read once; what the histograms need of them is small."""
-    return settle(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), mix_hash(key, text).alias("h")))
+    return settle(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), mix_hash(key, text).alias("h"), row_hash().alias("u")))
 
 
-def cuts(sized: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
+def cuts(sized: DataFrame, weights: tuple[int, ...], repeats: int) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Where each source's budget ends, one row a source, and how to send that: broadcast if it has few sources, by a shuffle otherwise."""
     sources = settle(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
-    return thresholds(sized, settle(source_targets(sources, weights, repeats)))
+    targets = settle(source_targets(sources, weights, repeats))
+    small = F.broadcast if targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else (lambda df: df)
+    return narrow(sized, budgets(targets), "h", small), small
+
+
+def beside(rows: DataFrame, state: DataFrame, small: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Each row with the state of its source."""
+    return rows.join(small(state.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """One row for each row of ``docs``: key, size, source_size, target, and copies, the times that the mix takes it."""
     sized = sizes(docs, key, text, source)
-    joined = sized.join(cuts(sized, weights, repeats), F.col("source").eqNullSafe(F.col("s")))
-    return joined.select(F.col("key").alias(key), "size", "source_size", "target", copies().alias("copies"))
+    state, small = cuts(sized, weights, repeats)
+    if splits(state):
+        edge = beside(sized, state.select("source", "partly", "h_at"), small).filter(on_edge()).select("source", "size", "u")
+        state = narrow(edge, state, "u", small)
+    return beside(sized, state, small).select(F.col("key").alias(key), "size", "source_size", "target", copies(state).alias("copies"))
 
 
 def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as many times as the mix takes it, with the columns that came."""
+    state, small = cuts(sizes(docs, key, text, source), weights, repeats)
     kept = F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns])
     rows = docs.select(kept.alias("row"), F.col(source).alias("source"), mix_hash(key, text).alias("h"))
-    joined = rows.join(cuts(sizes(docs, key, text, source), weights, repeats), F.col("source").eqNullSafe(F.col("s")))
-    taken = joined.select("row", copies().cast("int").alias("n")).filter("n > 0")
-    return taken.select("row", F.explode(F.array_repeat(F.lit(1), F.col("n"))).alias("copy")).select("row.*")
+    joined = beside(rows, state, small)
+    taken = joined.select("row", copies(state).alias("n"))
+    if splits(state):
+        #: Repeated rows at the edge are written, so that each keeps what tells it from the others.
+        edge = joined.filter(on_edge()).select("row", "source", "h", word_count(F.col("row")[text]).alias("size"), row_hash().alias("u"))
+        edge = settle(edge)
+        parted = narrow(edge.select("source", "size", "u"), state, "u", small)
+        taken = joined.filter(~on_edge()).select("row", copies(state).alias("n")).unionByName(beside(edge, parted, small).select("row", copies(parted).alias("n")))
+    return taken.filter("n > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("copy")).select("row.*")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
