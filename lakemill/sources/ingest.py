@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lakemill.operators.digests import range_diff
 from lakemill.operators.quality import set_diff
 from lakemill.sources.adapters import ZONE_HOURS
+from lakemill.sources.checksums import LEAF, checksums, listed
 from lakemill.sources.contracts import CONTRACTS, Contract, conform
 from lakemill.sources.windows import LOOKBACK_MINUTES, Window, effective_mode
 
@@ -24,6 +25,9 @@ AUDIT = (
 )
 REQUIRED = ("event", "dt", "table_name", "run_mode", "status", "started_at", "finished_at", "duration_s")
 MANIFEST_VERSION = 1
+#: File names and days from the paths of landing files.
+NAME = "[^/]+$"
+FOLDER = "try_to_date(regexp_extract(path, '/dt=([^/]+)/', 1), 'yyyy-MM-dd')"
 
 
 def extract(df: DataFrame, contract: Contract, window: Window, requested: str = "incremental") -> DataFrame:
@@ -102,19 +106,16 @@ def build_manifest(
 
     ``source_rows`` is what the source counted; without it, the rows that landed.
     """
-    path = f"{root}/{table}/dt={day}"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    files = checksums(listed(spark, f"{root}/{table}/dt={day}"), LEAF)
     landed = read_landing(spark, root, CONTRACTS[table], day)
     rows = landed.agg(*_counts(landed, CONTRACTS[table])).withColumn("source_rows", F.col("parquet_rows") if source_rows is None else F.lit(source_rows).cast("long"))
-    hashed = files.select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    hashed = files.select(F.regexp_extract("path", NAME, 0).alias("file"), "bytes", "sha256")
     return _described(hashed.join(F.broadcast(rows)).withColumn("dt", F.lit(day)), table, batch, mode, started, finished)
 
 
 def _landing_files(spark: SparkSession, root: str, table: str) -> DataFrame:
     """(dt, file, bytes, sha256) of all landing files of the table."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/{table}")
-    day = F.expr("try_to_date(regexp_extract(path, '/dt=([^/]+)/', 1), 'yyyy-MM-dd')").alias("dt")
-    return files.select(day, F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return checksums(listed(spark, f"{root}/{table}", recursive=True), LEAF).select(F.expr(FOLDER).alias("dt"), F.regexp_extract("path", NAME, 0).alias("file"), "bytes", "sha256")
 
 
 def build_manifest_days(spark: SparkSession, root: str, table: str, extracted: DataFrame, batch: str, mode: str = "incremental", started: Column | None = None, finished: Column | None = None) -> DataFrame:
@@ -161,7 +162,7 @@ def verify_landing(spark: SparkSession, root: str, manifest: DataFrame, table: s
     too many or too few, and the schema inside the files another than the declared one.
     """
     path = f"{root}/{table}/dt={day}"
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"), F.sha2("content", 256).alias("found"))
+    found = checksums(listed(spark, path), LEAF).select(F.regexp_extract("path", NAME, 0).alias("file"), F.col("sha256").alias("found"))
     mine = manifest.filter((F.col("table_name") == table) & (F.col("dt") == F.lit(day)))
     rows = read_landing(spark, root, CONTRACTS[table], day).agg(F.lit(day).alias("dt"), F.count(F.lit(1)).alias("n"))
     return _proof(spark, mine, found, rows, ["file"], path, table)
@@ -177,8 +178,7 @@ def verify_landing_days(spark: SparkSession, root: str, manifest: DataFrame, tab
 
 def list_partitions(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Days that have landing files; folders with other names are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{root}/{table}")
-    return files.select(F.expr("try_to_date(regexp_extract(path, '/dt=([^/]+)/', 1), 'yyyy-MM-dd')").alias("dt")).filter("dt is not null").distinct()
+    return listed(spark, f"{root}/{table}", recursive=True).select(F.expr(FOLDER).alias("dt")).filter("dt is not null").distinct()
 
 
 def load_partition(spark: SparkSession, root: str, bronze: str, table: str, day: date, at: Column) -> int:
