@@ -8,13 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.sources.contracts import CONTRACTS
-from lakemill.sources.tables import read_table
+from lakemill.sources.contracts import CONTRACTS, Contract
+from lakemill.sources.tables import read_source
 
 #: Business time is so many hours ahead of UTC, without summer time.
 ZONE_HOURS = 8
 LATE_MINUTES = 60
 
+#: The driver's tables as they are declared; no footer is opened to find a schema, and a file of another type is an error when it is read.
+DECLARED = {
+    c.name: c
+    for c in (
+        Contract("region", "r_regionkey int, r_name string", "r_regionkey", None),
+        Contract("nation", "n_nationkey int, n_name string, n_regionkey int", "n_nationkey", None),
+        Contract("customer", "c_custkey bigint, c_name string, c_nationkey int, c_mktsegment string", "c_custkey", None),
+        Contract("supplier", "s_suppkey bigint, s_name string, s_nationkey int", "s_suppkey", None),
+        Contract("part", "p_partkey bigint, p_name string, p_type string, p_retailprice double", "p_partkey", None),
+        Contract("orders", "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz", "o_orderkey", None),
+        Contract("lineitem", "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz", "l_orderkey", None),
+    )
+}
+
 _SELECTS = {
     "regions": ("region", "cast(r_regionkey as bigint) region_id, r_name region_name", ""),
     "areas": ("nation", "cast(n_nationkey as bigint) area_id, cast(n_regionkey as bigint) region_id, n_name area_name", ""),
@@ -65,12 +79,16 @@ _SELECTS = {
 }
 
 
+def _declared(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return read_source(spark, f"{sf_dir}/{table}.parquet", DECLARED[table])
+
+
 def _versions(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     source, columns, versions = _SELECTS[table]
-    df = read_table(spark, sf_dir, source)
+    df = _declared(spark, sf_dir, source)
     if table == "orders":
         #: One row: stores are numbered from 0, and orders spread over them.
-        stores = read_table(spark, sf_dir, "supplier").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("stores"))
+        stores = _declared(spark, sf_dir, "supplier").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("stores"))
         df = df.join(F.broadcast(stores))
     if versions:
         df = df.selectExpr("*", f"explode(array({versions})) k")
@@ -106,7 +124,7 @@ def source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     if table == "payments":
         df = payments(source(spark, sf_dir, "orders"))
     elif table == "product_categories":
-        df = read_table(spark, sf_dir, "part").select("p_type").distinct().selectExpr(
+        df = _declared(spark, sf_dir, "part").select("p_type").distinct().selectExpr(
             "element_at(map('ECONOMY', 1L, 'LARGE', 2L, 'MEDIUM', 3L, 'PROMO', 4L, 'SMALL', 5L, 'STANDARD', 6L), p_type) category_id", "p_type category_name"
         ).selectExpr("category_id", "category_name", "element_at(array('beverage', 'food', 'merchandise'), cast(category_id % 3 as int) + 1) category_group")
     else:
