@@ -6,10 +6,11 @@ adds up to the word's number, and the number points to the word's ids. The autom
 arrays in one file, which Spark sends to every executor and each worker maps into memory. Words that
 it lacks are merged exactly, so its size changes the speed and never the ids.
 
-A worker takes some megabytes of text at a time and cuts them into words with arrays over their
-characters; each different word is looked up once, and the ids of all words are put together by one
-gather. Many short words merge side by side, a long word by a heap of its pairs, so the time follows the
-length of a text even where it has no break.
+A worker takes some megabytes of text at a time and gives their ids before it takes more. It cuts them into
+words with arrays over their characters; each different word is looked up once, and the ids of all words
+are put together by one gather. The tokenizer file is read once, by the driver. Many short words merge side
+by side, a long word by a heap of its pairs, so the time follows the length of a text even where it has no
+break.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; repeated rows are
 encoded one by one; other columns pass through. The special token's own string in a text is that token.
@@ -18,12 +19,14 @@ encoded one by one; other columns pass through. The special token's own string i
 from __future__ import annotations
 
 import atexit
+import functools
 import heapq
 import json
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -36,14 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakemill.functions.lineage import settle
-from lakemill.llm.batches import slices_of, text_bytes
+from lakemill.llm.batches import slices_of, steps, text_bytes
 from lakemill.sources.tables import read_table
 
 #: Words in the automaton at most, and how often a word must stand in the corpus to be counted as frequent.
 LEXICON_WORDS = 150_000
 LEAST_COUNT = 3
 #: Bytes of text in one step of a worker.
-STEP_BYTES = 1_500_000
+STEP_BYTES = 1_000_000
 #: Words of more bytes are merged one by one, with a heap.
 LONG_WORD = 128
 NO_PAIR = np.int64(1) << 62
@@ -269,8 +272,9 @@ class Lexicon:
         return Runs(self.ids, self.offsets)
 
 
+@functools.cache
 def character_classes() -> np.ndarray:
-    """The class of each code point."""
+    """The class of each code point, found once in a worker."""
     out = np.full(0x110000, OTHER, np.uint8)
     for start in range(0, 0x110000, 0x800):
         if 0xD800 <= start < 0xE000:
@@ -354,8 +358,8 @@ class Words:
 class Encoder:
     """Texts to ids in one worker."""
 
-    def __init__(self, vocabulary: str, lexicon: str | None) -> None:
-        self.vocabulary = Vocabulary(vocabulary)
+    def __init__(self, vocabulary: str | Vocabulary, lexicon: str | None) -> None:
+        self.vocabulary = Vocabulary(vocabulary) if isinstance(vocabulary, str) else vocabulary
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self.words = Words(list(self.vocabulary.special))
         #: Different words that were looked up, and how many of them the automaton had.
@@ -452,27 +456,27 @@ class Decoder:
         return texts.cast(pa.string())
 
 
+def encoded_steps(encoder: Encoder, decoder: Decoder | None, columns: Iterator[pa.Array]) -> Iterator[pa.StructArray]:
+    """(ids, decoded) of the texts of some columns, an array for each STEP_BYTES of them."""
+    for texts in steps(columns, STEP_BYTES):
+        ids = encoder.encode(texts)
+        yield pa.StructArray.from_arrays([ids, decoder.decode(ids) if decoder else pa.nulls(len(texts), pa.string())], ["ids", "decoded"])
+
+
 def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with the ids of each text; ``vocabulary`` is a tokenizer file's content.
 
     With ``decoded``, the text of the ids comes along under that name, from the same worker, so the ids
-    need not be sent to another one.
+    need not be sent to another one. Results leave the worker step by step, so neither it nor the executor
+    holds those of a whole Arrow batch.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    made = []
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
     kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     @F.arrow_udf(kind)
-    def pieces(column: pa.Array) -> pa.Array:
-        if not made:
-            made.append(Encoder(shared.value, SparkFiles.get(lexicon) if lexicon else None))
-            made.append(Decoder(made[0].vocabulary))
-        ids, texts = [], []
-        for a, b in slices_of(column, STEP_BYTES):
-            ids.append(made[0].encode(column[a:b]))
-            texts.append(made[1].decode(ids[-1]) if decoded else pa.nulls(b - a, pa.string()))
-        join = lambda parts, kind: pa.concat_arrays(parts) if parts else pa.array([], kind)
-        return pa.StructArray.from_arrays([join(ids, pa.list_(pa.int32())), join(texts, pa.string())], ["ids", "decoded"])
+    def pieces(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(shared.value, SparkFiles.get(lexicon) if lexicon else None)
+        yield from encoded_steps(encoder, Decoder(encoder.vocabulary) if decoded else None, columns)
 
     both = docs.withColumn("__pieces", pieces.asNondeterministic()(F.col(text))).withColumn(into, F.col("__pieces.ids"))
     return (both.withColumn(decoded, F.col("__pieces.decoded")) if decoded else both).drop("__pieces")
@@ -480,14 +484,12 @@ def encode(docs: DataFrame, vocabulary: str, lexicon: str | None = None, text: s
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``docs`` with the text of each list of ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    made = []
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
     @F.arrow_udf(T.StringType())
-    def texts(column: pa.Array) -> pa.Array:
-        if not made:
-            made.append(Decoder(Vocabulary(shared.value)))
-        return made[0].decode(column)
+    def texts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        decoder = Decoder(shared.value)
+        yield from map(decoder.decode, columns)
 
     return docs.withColumn(into, texts.asNondeterministic()(F.col(ids)))
 

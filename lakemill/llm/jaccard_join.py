@@ -25,6 +25,7 @@ rows are copies. Without any row there is no result row.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakemill.functions.lineage import settle
-from lakemill.llm.batches import slices, whole_numbers
+from lakemill.llm.batches import steps, whole_numbers
 from lakemill.llm.components import components
 from lakemill.llm.hashing import odd_numbers, run_hashes
 from lakemill.sources.tables import read_table
@@ -77,9 +78,9 @@ def sketch(shingle_set: np.ndarray) -> np.ndarray:
 
 
 @F.arrow_udf(T.BinaryType())
-def sketches(column: pa.Array) -> pa.Array:
-    texts = column.to_pylist()
-    return pa.array([sketch(s).tobytes() if len(s) else None for a, b in slices(texts) for s in shingles(texts[a:b])], pa.binary())
+def sketches(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in steps(columns):
+        yield pa.array([sketch(s).tobytes() if len(s) else None for s in shingles(texts.to_pylist())], pa.binary())
 
 
 @lru_cache

@@ -11,13 +11,15 @@ name of the result is replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakemill.llm.batches import numbered_words, slices
+from lakemill.llm.batches import numbered_words, steps
 from lakemill.sources.tables import read_table
 
 SYMBOLS = "#*$%&|<>"
@@ -135,12 +137,10 @@ def with_repetition(df: DataFrame, text: str = "text", into: str = "repetition",
     """``df`` with a struct of the counts of each text; no shuffle, one text at a time."""
 
     @F.arrow_udf(RESULT)
-    def counts(column: pa.Array) -> pa.Array:
-        texts = column.to_pylist()
-        parts = [measure(texts[a:b], min_repeat) for a, b in slices(texts)]
-        return pa.StructArray.from_arrays(
-            [pa.array(np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()) for c in COUNTS], list(COUNTS)
-        )
+    def counts(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in steps(columns):
+            found = measure(texts.to_pylist(), min_repeat)
+            yield pa.StructArray.from_arrays([pa.array(found[c], pa.int64()) for c in COUNTS], list(COUNTS))
 
     return df.withColumn(into, counts.asNondeterministic()(F.col(text)))
 

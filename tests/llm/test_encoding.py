@@ -98,6 +98,25 @@ def test_query_equals_the_library(spark, docs, tables):
     assert len(got) == len(texts)
 
 
+def test_results_leave_a_worker_step_by_step():
+    column = pa.array([*ODD, "some words of a text " * 30_000, *noise(200), "more words " * 70_000, *ODD], pa.string())
+    steps = list(bpe.encoded_steps(ENCODER(), DECODER(), iter([column, column[:3], column[:0]])))
+    sizes = [[len((t or "").encode()) for t in s.field("decoded").to_pylist()] for s in steps]
+    assert len(steps) == 3 and all(len(x) == 1 or sum(x) <= bpe.STEP_BYTES for x in sizes)
+    texts = column.to_pylist() + column[:3].to_pylist()
+    assert [r["ids"] for s in steps for r in s.to_pylist()] == [LIBRARY().encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [r["decoded"] for s in steps for r in s.to_pylist()] == [t or "" for t in texts]
+
+
+def test_an_arrow_batch_of_several_steps(spark):
+    """More rows than a step in one Arrow batch, so results come in other pieces than the input."""
+    texts = [f"{i} " + "several words in a row " * 40 for i in range(4000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = bpe.encode(rows, bpe.vocabulary_file(PATH), decoded="decoded").orderBy("doc_id").collect()
+    assert [r["decoded"] for r in got] == texts
+    assert [list(r["ids"]) for r in got] == [LIBRARY().encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_word_counts_and_broken_bytes(spark, docs):
     counted = {r["word"]: r["n"] for r in bpe.word_counts(docs(["the cat the", None, "", "the cat"])).collect()}
     assert counted == {"the": 2, " cat": 2, " the": 1}
