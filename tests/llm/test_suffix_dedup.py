@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakemill.llm import suffix_dedup as sd
 
@@ -104,6 +105,26 @@ def test_levels_are_merged_by_size(spark):
     index.drop()
 
 
+def test_places_of_a_hot_suffix_are_split_over_tasks(spark, tmp_path):
+    sizes = {"skewJoin.skewedPartitionThresholdInBytes": "16k", "skewJoin.skewedPartitionFactor": "1.5", "advisoryPartitionSizeInBytes": "16k", "coalescePartitions.enabled": "false"}
+    settings = {f"spark.sql.adaptive.{k}": v for k, v in sizes.items()} | {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    suffix = F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).cast("binary").alias("suffix")
+    spark.range(0, 60_000, 1, 8).select("id", F.sha2(F.col("id").cast("string"), 512).alias("more"), suffix).write.parquet(f"{tmp_path}/known")
+    spark.createDataFrame([(b"hot",), (b"hot",), (b"3",), (b"none",)], "suffix binary").write.parquet(f"{tmp_path}/found")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        hits = sd.places_of(spark.read.parquet(f"{tmp_path}/known"), spark.read.parquet(f"{tmp_path}/found"))
+        rows = [r["id"] for r in hits.select("id").collect()]
+        tasks = [r["count"] for r in hits.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sorted(rows) == [i for i in range(60_000) if i % 3 or i == 3]
+    assert max(tasks) < 0.5 * sum(tasks)
+
+
 def test_given_table(spark):
     sf = "/root/testdata/sf0.001"
     df = sd.op13_suffix_dedup(spark, sf)
